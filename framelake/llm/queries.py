@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, sharding
+from . import exact_dedup, lexicon, packing, records, separators, sharding
 
+BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -43,3 +45,31 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@query
+def op3_transducer_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text by the transducer, and the text decoded from them."""
+    df = documents(spark, sf_dir)
+    out = lexicon.decode(lexicon.encode(df, BYTE_BPE), BYTE_BPE)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document starts in flat token files, and how many ids it has with its separator."""
+    return separators.token_counts(documents(spark, sf_dir), BYTE_BPE, 50256)
+
+
+@query
+def op9_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each piece of a document with its sequence of at most 1024 tokens."""
+    out = packing.pack_documents(documents(spark, sf_dir), BYTE_BPE, end_id=2, capacity=1024)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op10_framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the record files give back: each document's place and ids."""
+    out = records.read(records.write(documents(spark, sf_dir), WORD_BPE, end_id=1))
+    return out.select(F.col("key").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
