@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lexicon, packing, records, separators, sharding
+from . import exact_dedup, lexicon, packing, records, separators, sharding, substrings
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,10 @@ def op10_framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the record files give back: each document's place and ids."""
     out = records.read(records.write(documents(spark, sf_dir), WORD_BPE, end_id=1))
     return out.select(F.col("key").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op6_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without its repeated windows of 20 words."""
+    out = substrings.dedup(documents(spark, sf_dir), 20)
+    return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
