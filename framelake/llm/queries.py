@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lexicon, packing, records, separators, sharding, substrings
+from . import exact_dedup, jaccard, lexicon, packing, records, separators, sharding, substrings
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,9 @@ def op6_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without its repeated windows of 20 words."""
     out = substrings.dedup(documents(spark, sf_dir), 20)
     return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op7_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's number of shingles of 3 words and its component at a similarity of 0.9."""
+    return jaccard.join(documents(spark, sf_dir), n=3, num=9, den=10)
