@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, lexicon, packing, records, separators, sharding, substrings
+from . import exact_dedup, jaccard, lexicon, neighbours, packing, records, separators, sharding, substrings, toxicity
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,18 @@ def op6_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's number of shingles of 3 words and its component at a similarity of 0.9."""
     return jaccard.join(documents(spark, sf_dir), n=3, num=9, den=10)
+
+
+@query
+def op2_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    df = documents(spark, sf_dir)
+    model = toxicity.fit(df, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = toxicity.score(df, model, carry=["doc_id"])
+    return out.select("row.doc_id", toxicity.held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
+@query
+def op4_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector."""
+    return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
