@@ -7,8 +7,8 @@ that reaches into it and the number of documents before; a second scan then give
 
 Defined cases: a null or empty text is a document of no ids before its separator (n_tokens counts the separator); a
 block without a separator passes on what it got; ids after a file's last separator are a document without end, which
-is counted only if asked for (`unended`); an empty file has no documents; texts of equal keys stand in the order of
-their texts; a null key comes first.
+is counted only if asked for (`unended`); an empty file has no documents; rows that repeat a key, or have none, are
+documents of their own.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import bpe
-from .records import filesystem, ordered
+from .records import filesystem
 from .scratch import materialise, new_path
 
 #: Ids in a block.
@@ -32,7 +32,7 @@ BLOCK = 1 << 21
 
 
 def write(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", width: int = 2, path: str | None = None) -> DataFrame:
-    """Encodes all texts in ascending key order into flat files. Returns (written): part, file, ids, and a row for each document: nth (in its file), key."""
+    """Encodes all texts into flat files as they lie, a file a task. Returns (written): part, file, and for each document nth (in its file), key; for each file ids."""
     path = path or new_path(df.sparkSession, "flat")
     fs, folder = filesystem(path)
     fs.create_dir(folder)
@@ -53,7 +53,8 @@ def write(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text:
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"{path}/{name}"]), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([total])], names)
 
     names = ["part", "file", "nth", "key", "ids"]
-    return materialise(ordered(df, key, text).mapInArrow(run, "part int, file string, nth long, key long, ids long"), "flat-written")
+    rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
+    return materialise(rows.mapInArrow(run, "part int, file string, nth long, key long, ids long"), "flat-written")
 
 
 def block_table(spark: SparkSession, files: list[tuple[int, str, int]], block: int = BLOCK) -> DataFrame:
@@ -101,7 +102,7 @@ def scan(spark: SparkSession, files: list[tuple[int, str, int]], end_id: int, wi
 
 
 def token_counts(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", width: int = 2) -> DataFrame:
-    """Writes df's texts as flat files, and counts from these: key, start (ids of all documents before), n_tokens (with the separator)."""
+    """Writes df's texts as flat files, and counts from these: key, start (ids in all files before the document), n_tokens (with the separator)."""
     written = write(df, tokenizer, end_id, key, text, width)
     files = sorted((r.part, r.file, r.ids) for r in written.where("nth is null").collect())  # one row a file
     before, base = 0, []
