@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 
 #: Bytes of text worked on at once. A longer single text is a block of its own.
 BLOCK_BYTES = 8 << 20
@@ -90,12 +89,6 @@ def codes(packed: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, pa.Array
     return found.indices.to_numpy(), found.dictionary
 
 
-def hashes(distinct: pa.Array) -> np.ndarray:
-    """64-bit hash of each distinct word."""
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(x) for x in distinct.to_pylist()), np.uint64, len(distinct))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of 64 bits (a bijection)."""
     x = x ^ (x >> np.uint64(30))
@@ -105,6 +98,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A number of 64 bits for each byte, and the odd base of the sums below.
+BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+BASE = np.uint64(0xD1342543DE82EF95)
+
+
+def hashes(distinct: pa.Array) -> np.ndarray:
+    """64-bit hash of each distinct word: the sum over its bytes of a number of the byte times a power of BASE, mixed."""
+    data, offsets = buffers(distinct)
+    length = np.diff(offsets)
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(length.max(initial=0)), BASE)]))
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], length)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(BYTE[data] * power[place])])
+    return mix(total[offsets[1:]] - total[offsets[:-1]] + length.astype(np.uint64))
+
+
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each n consecutive words, in order; one shorter by n - 1."""
     if len(h) < n:

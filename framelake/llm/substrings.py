@@ -48,7 +48,7 @@ class Block:
         starts, ends, self.packed, self.first = B.words(data, offsets)
         self.length = ends - starts
         self.code, distinct = B.codes(self.packed, self.length)
-        self.hash = B.hashes(distinct)[self.code]
+        self.distinct = distinct
         self.keys = keys
         n = len(starts)
         self.valid = np.zeros(n, bool)
@@ -62,16 +62,17 @@ class Block:
         self.doc = np.searchsorted(self.first, self.at, "right") - 1
 
     def windows(self) -> np.ndarray:
-        """Hash of each window in self.at."""
-        n = len(self.hash)
+        """Hash of each window in self.at, for comparisons inside the block."""
+        n = len(self.code)
+        own = B.mix(np.arange(1, len(self.distinct) + 1, dtype=np.uint64))[self.code]
         power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, STEP, np.uint64)]))
         back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(pow(int(STEP), -1, 1 << 64)), np.uint64)]))
-        total = np.concatenate([[np.uint64(0)], np.cumsum(self.hash * power[:n])])
+        total = np.concatenate([[np.uint64(0)], np.cumsum(own * power[:n])])
         return B.mix((total[self.at + self.size] - total[self.at]) * back[self.at])
 
     def minimisers(self, hot: np.ndarray) -> np.ndarray:
         """The minimiser of each window in self.at."""
-        g = B.grams(self.hash, GRAM) & ~TOP
+        g = B.grams(B.hashes(self.distinct)[self.code], GRAM) & ~TOP
         if len(hot) and len(g):
             k = np.minimum(np.searchsorted(hot, g), len(hot) - 1)
             g = np.where(hot[k] == g, g | TOP, g)
@@ -170,7 +171,7 @@ def packed(df: DataFrame, size: int, buckets: int, hot: np.ndarray, key: str, te
             if len(again):
                 d, lo, hi = intervals(b.doc[again], start[again], size)
                 blob = np.concatenate([b.keys[d], lo, hi]).tobytes()
-                rows.append((int(b.hash[0] % np.uint64(buckets)), 1, len(d), len(blob), codec.compress(blob).to_pybytes()))
+                rows.append((len(d) * 0x9E3779B1 % buckets, 1, len(d), len(blob), codec.compress(blob).to_pybytes()))
             travels = np.ones(len(b.at), bool)
             travels[again] = False
             m, at, doc, start = b.minimisers(hot)[travels], b.at[travels], b.doc[travels], start[travels]
