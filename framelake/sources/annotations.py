@@ -72,10 +72,10 @@ def frames(spark: SparkSession, path: str, flight: str, start: int | None = None
     paths = [p for _, p, done in found if done]
     if not paths:
         raise ValueError(f"no finished chunks of {flight}")
-    order = {p: k for k, p in enumerate(paths)}
+    order = {p.rpartition("/")[2]: k for k, p in enumerate(paths)}
     raw = lines(spark, paths)
-    place = F.create_map(*[x for p, k in order.items() for x in (F.lit(p.replace("file:///", "file:/").replace("file:/", "")), F.lit(k))])
-    parsed = raw.select(place[F.regexp_replace("path", "^file:/*", "/")].alias("file"), "line", F.from_json("value", FRAME).alias("f")).where("f.sample_index is not null")
+    place = F.create_map(*[x for p, k in order.items() for x in (F.lit(p), F.lit(k))])
+    parsed = raw.select(place[F.regexp_extract("path", "[^/]+$", 0)].alias("file"), "line", F.from_json("value", FRAME).alias("f")).where("f.sample_index is not null")
     if start is not None:
         parsed = parsed.where(F.col("f.sample_index") >= start)
     if end is not None:
