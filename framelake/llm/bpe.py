@@ -213,7 +213,7 @@ class Bpe:
                 parts.append((known, None, word[known]))
         todo = todo[np.argsort(length[todo], kind="stable")]
         sizes, at = np.unique(length[todo], return_index=True)
-        for size, a, z in zip(sizes, at, [*at[1:], len(todo)], strict=True):
+        for size, a, z in zip(sizes, at, np.append(at[1:], len(todo))[: len(sizes)], strict=True):
             rows = todo[a:z]
             if size <= LONG:
                 block = data[offsets[rows][:, None] + np.arange(size)]
