@@ -288,7 +288,8 @@ def links(df: DataFrame, nodes: DataFrame, n: int, num: int, den: int, key: str,
     first = nodes.where("node is not null").groupBy("node").agg(F.min_by("key", F.coalesce("key", F.lit(1 << 62))).alias("key"))
     cells = materialise(cells.join(first, "node"), "cells")
     texts = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    filled = cells.join(texts, cells["key"].eqNullSafe(texts["key"])).select("g", "i", "j", "node", "member", "query", "text")
+    # by a merge at every size: where the cells are few enough to be sent to all tasks, texts would not move, and figures not compare
+    filled = cells.hint("merge").join(texts, cells["key"].eqNullSafe(texts["key"])).select("g", "i", "j", "node", "member", "query", "text")
     return filled.groupBy("g", "i", "j").applyInArrow(_cell(n, num, den), "a long, b long")
 
 
