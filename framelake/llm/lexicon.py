@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import blocks as B
 from . import bpe
-from .scratch import new_path, write_bytes
+from .scratch import materialise, new_path, write_bytes
 
 #: Words in the automaton.
 WORDS = 1 << 15
@@ -176,7 +177,15 @@ class Lexicon:
 def build(df: DataFrame, tokenizer: str, text: str = "text", words: int = WORDS) -> str:
     """Counts all texts' words, compiles the most frequent, and gives every executor the file. Returns its name."""
     spark = df.sparkSession
-    top = [bytes(r.word) for r in counts(df, tokenizer, text).orderBy(F.desc("n"), "word").limit(words).collect()]
+    found = materialise(counts(df, tokenizer, text).withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "word-counts")
+    # the least step of counts above which there are no more than `words` words: of any corpus, a few hundred rows and those words come here
+    steps, least, room = found.groupBy("step").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("step")).collect(), 1 << 30, words
+    for r in steps:
+        room -= r.k
+        if room < 0:
+            break
+        least = r.step
+    top = sorted(bytes(r.word) for r in found.where(F.col("step") >= least).select("word").collect())
     coder = bpe.Bpe(tokenizer)
     offsets = np.concatenate([[0], np.cumsum([len(w) for w in top])]).astype(np.int64)
     flat, n = coder.distinct(np.frombuffer(b"".join(top), np.uint8), offsets)
@@ -200,7 +209,7 @@ def encode(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_with(tokenizer, lexicon)
-        for block in B.blocks(batches, "text"):
+        for block in B.blocks(batches, "text", B.BLOCK_BYTES // 2):
             ids, count = coder.encode(*B.buffers(block.column("text")))
             yield pa.RecordBatch.from_arrays([block.column("key"), ids_column(ids, count), pa.array(count)], ["key", "ids", "n_tokens"])
 
@@ -218,7 +227,7 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.load(tokenizer)
-        for block in B.blocks(batches, ids):
+        for block in B.blocks(batches, ids, B.BLOCK_BYTES // 2):
             data, offsets = B.buffers(block.column(ids))
             out, ends = coder.decode(data.view("<u4").astype(np.int64), np.diff(offsets) // 4)
             texts = B.binary_of(out, np.diff(ends))
@@ -228,8 +237,8 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
                 texts = pa.array([x.decode("utf-8", "replace") for x in texts.to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(block.column(c) for c in others), texts], [*others, "decoded"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in others)
-    return df.select(*others).mapInArrow(run, f"{schema}, decoded string")
+    schema = T.StructType([*(df.schema[c] for c in others), T.StructField("decoded", T.StringType())])
+    return df.select(*[F.col(f"`{c}`") for c in others]).mapInArrow(run, schema)
 
 
 def digest(x: bytes) -> str:
