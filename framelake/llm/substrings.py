@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import blocks as B
 from .scratch import materialise
@@ -271,5 +272,5 @@ def dedup(df: DataFrame, size: int = 20, key: str = "doc_id", text: str = "text"
     """For each row: row (a struct of key, or of the columns to carry), n_words, n_removed, kept (the words that stay, joined by one space)."""
     gone = removals(df, size, key, text)
     out = df.select(F.struct(*[F.col(f"`{c}`") for c in carry or [key]]).alias("row"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LOW)).alias("key"), F.col(f"`{text}`").alias("text"))
-    schema = f"row {out.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept string"
+    schema = T.StructType([out.schema["row"], *T.StructType.fromDDL("n_words long, n_removed long, kept string")])
     return out.join(gone, "key", "left").select("row", "text", "spans").mapInArrow(_kept, schema)

@@ -115,6 +115,8 @@ def test_substrings(docs, rows, nothing, clashing, size):
     for df in (docs, clashing):
         got = {r.row.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.dedup(df, size).collect()}
         assert got == want
+    assert substrings.dedup(clashing, size, carry=clashing.columns).select("row.*").columns == clashing.columns
+    assert substrings.dedup(clashing, size, carry=clashing.columns).count() == len(rows)
     assert substrings.dedup(nothing, size).count() == 0
 
 
