@@ -31,7 +31,7 @@ WHOLE_GROUPS = 0.02
 #: New probes in each open interval a round.
 PROBES = 48
 #: Rows that a range of the final exchange should have at most.
-RANGE_ROWS = 1_000_000
+RANGE_ROWS = 100_000
 
 Key = tuple[int, int]
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
