@@ -43,7 +43,7 @@ def by_strata(df: DataFrame, strata: list[tuple[str, int, Column]], key: list[st
 
 
 def diverse(df: DataFrame, stratum: list[str], quota: int, source: str, buckets: list[str], key: list[str]) -> DataFrame:
-    """Greedy draw of `quota` rows a stratum: each row repeats source (twice the weight) and buckets of those drawn before as little as can be; ties by hash order. Columns of df and `draw`."""
+    """Greedy draw of `quota` rows a stratum: each row repeats source (twice the weight) and buckets of those drawn before as little as can be; ties by hash order. Strata are drawn one apart from the other. Columns of df and `draw`."""
     hashed = df.withColumn("__h", F.xxhash64(*key))
     schema = f"{df._jdf.schema().toDDL()}, draw int"
 
