@@ -3,17 +3,19 @@
 A document's set holds its distinct shingles of n words. Two documents link when den * |intersection| >= num * |union|.
 Documents of one set are a single node from the start.
 
-1. Similar nodes are partitioned into groups. Two linked sets differ in at most k tokens, k known from their sizes; so
-   of more than k parts of all tokens (dealt out by hash) some must be the same in both. Each node names its parts; those
-   that share one are neighbours, and a node's group is the least node it meets so. Every linked pair therefore shares a
-   name, and each node is a query to the groups of all nodes with which it shares one.
-2. A group keeps the union of its members' tokens; the members, ordered by size, are dealt to rows of a matrix (tokens by
-   rows), so the overlap of a query with a row's union bounds its similarity with each member.
-3. Only rows whose bound reaches the threshold are opened, and their members compared exactly. Groups above CELL members
-   are split into cells, and their queries too, so no task grows with a group.
+1. Two linked sets differ in at most k tokens, k known from their sizes; so of more than k parts of all tokens (dealt out
+   by hash) some must be the same in both. Each node names its parts, and nodes that share a name are of one family.
+2. A family's nodes, in the order of their least token (similar sets mostly share it) and size, are partitioned into
+   groups of ROW. A group keeps the union of its members' tokens: a row of the matrix of tokens by groups. The overlap of
+   a query with a union bounds its similarity with each member.
+3. Only groups whose bound reaches the threshold are opened, and their members compared exactly. Families above CELL nodes
+   are dealt into blocks, of which each two meet in a task of their own, so no task grows with a family.
 
 Links are kept as a spanning forest of each cell; components come from these. All pairs of a group are never emitted.
 
+Tokens that a large share of all sets has (COMMON: a line or passage that very many documents repeat) name no parts:
+leaving tokens out of both sets never makes them differ in more, so what is said above still holds.
+
 Parts that hold few tokens (under `least`) would be shared by chance. There are `spare` more parts than k + 1 needs, so
 they can be left out by every node that has at most `spare` of them; a node that has more also names its parts under
 another dealing, and so on until it has not. As equal parts are small in both nodes or in neither, the dealing at which
@@ -41,14 +43,18 @@ from . import blocks as B
 from .components import components
 from .scratch import drop_path, materialise, new_path
 
-#: Members, and queries, of a cell.
-CELL = 384
-#: Members in a row of the matrix.
+#: Members, and queries, of a cell at most, or about.
+CELL = 1024
+#: Members of a group.
 ROW = 16
 #: Dealings that a node may go through.
 DEALINGS = 8
 #: Tokens that a dense part of the matrix has.
-SLAB = 8192
+SLAB = 4096
+#: Tokens in this share of all sets name no parts. There are at most 1 / COMMON times as many as tokens in a set.
+COMMON = 0.0005
+#: Sets of a block with a token for it to be reported.
+LEAST = 4
 
 
 @lru_cache(maxsize=None)
@@ -101,10 +107,15 @@ def token_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarra
     return np.concatenate(out) if out else np.zeros(0, np.uint64), count
 
 
-def names(tokens: np.ndarray, count: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """The parts that nodes name: which node, and the part's name. tokens: sorted in each node."""
-    at = np.concatenate([[0], np.cumsum(count)])
+def names(tokens: np.ndarray, count: np.ndarray, num: int, den: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The parts that nodes name: which node, and the part's name. tokens: sorted in each node; common: those that name none, sorted."""
     band = np.searchsorted(bands(num, den), count)
+    left = count
+    if common is not None and len(common) and len(tokens):
+        rare = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] != tokens
+        left = np.bincount(np.repeat(np.arange(len(count)), count)[rare], minlength=len(count))
+        tokens = tokens[rare]
+    at = np.concatenate([[0], np.cumsum(left)])
     nodes, out = [], []
     for step in (0, 1):  # as the smaller of a pair, and as the larger of one whose smaller is a band below
         todo = np.flatnonzero((count > 0) & (band >= step))
@@ -115,7 +126,7 @@ def names(tokens: np.ndarray, count: np.ndarray, num: int, den: int) -> tuple[np
             todo, parts, spare, least = todo[go], parts[go], spare[go], least[go]
             if not len(todo):
                 break
-            size = count[todo]
+            size = left[todo]
             own = np.repeat(np.arange(len(todo)), size)
             t = tokens[B.ragged(at[todo], size)]
             salt = B.mix(np.array([turn + 1], np.uint64))[0]
@@ -126,9 +137,9 @@ def names(tokens: np.ndarray, count: np.ndarray, num: int, den: int) -> tuple[np
             slot = base[own] + part.astype(np.int64)
             order = np.argsort(slot, kind="stable")
             slot, dealt = slot[order], dealt[order]
-            head = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+            head = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])[: len(slot)])
             held = np.diff(np.append(head, len(slot)))
-            what = np.add.reduceat(B.mix(dealt + np.uint64(1)), head)
+            what = np.add.reduceat(B.mix(dealt + np.uint64(1)), head) if len(head) else dealt
             slot = slot[head]
             who = np.searchsorted(base, slot, "right") - 1
             big = held >= least[who]
@@ -152,8 +163,29 @@ def _name(what: np.ndarray, part: np.ndarray, band: np.ndarray | int, turn: int,
     return B.mix(B.mix(what + held.astype(np.uint64)) ^ B.mix(place + np.uint64(0x51ED2701)))
 
 
+def common_tokens(df: DataFrame, n: int, text: str) -> np.ndarray:
+    """Tokens in a share COMMON of all sets, found over all texts: each block reports those that LEAST of its different sets have."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in B.gathered(batches, "text", 2 * B.BLOCK_BYTES):
+            tokens, size = token_sets(*B.buffers(block.column("text")), n)
+            at = np.concatenate([[0], np.cumsum(size)])
+            whole = np.concatenate([[np.uint64(0)], np.cumsum(tokens)])
+            _, once = np.unique(whole[at[1:]] - whole[at[:-1]], return_index=True)  # near enough for counts: equal sums, equal sets
+            token, times = np.unique(tokens[B.ragged(at[once], size[once])], return_counts=True)
+            keep = times >= LEAST
+            token, times = np.append(token[keep].view(np.int64), 0), np.append(times[keep], len(once))  # 0: all sets
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(times)], ["token", "n"])
+
+    sums = df.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    total = next((r.n for r in sums.where("token = 0").collect()), 0)
+    found = sums.where((F.col("token") != 0) & (F.col("n") >= max(16, COMMON * total))).collect()
+    return np.sort(np.array([r.token for r in found], np.int64).view(np.uint64))
+
+
 def nodes_of(df: DataFrame, n: int, num: int, den: int, key: str, text: str) -> DataFrame:
     """key, node (null without words), size, twin (another hash of the set), parts (null where the same block has named them)."""
+    common = common_tokens(df, n, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in B.gathered(batches, "text", B.BLOCK_BYTES):
@@ -165,7 +197,7 @@ def nodes_of(df: DataFrame, n: int, num: int, den: int, key: str, text: str) ->
             twin = np.array([x >> 64 for x in whole], np.uint64).view(np.int64)
             _, once = np.unique(node, return_index=True)
             once = once[count[once] > 0]
-            which, name = names(tokens[B.ragged(at[once], count[once])], count[once], num, den)
+            which, name = names(tokens[B.ragged(at[once], count[once])], count[once], num, den, common)
             order = np.argsort(which, kind="stable")
             ends = np.searchsorted(which[order], np.arange(len(once) + 1))
             full = np.zeros(len(count), np.int64)
@@ -186,7 +218,8 @@ def linked(sets: list[np.ndarray], member: np.ndarray, query: np.ndarray, num: i
     """A spanning forest of the links between queries and members (indices of sets), by the matrix."""
     size = np.array([len(s) for s in sets])
     m = np.flatnonzero(member)
-    m = m[np.argsort(size[m], kind="stable")]
+    least = np.array([s[0] if len(s) else np.uint64(0) for s in sets], np.uint64)
+    m = m[np.lexsort((size[m], least[m]))]
     q = np.flatnonzero(query)
     flat = np.concatenate(sets)
     own = np.repeat(np.arange(len(sets)), size)
@@ -233,21 +266,14 @@ def linked(sets: list[np.ndarray], member: np.ndarray, query: np.ndarray, num: i
     sizes = size[q[some_q]][:, None] + size[picked][None, :]
     link = den * common >= num * (sizes - common)
     link &= np.repeat(opened[np.ix_(some_q, some_r)], [len(rows[r]) for r in some_r], 1)
-    root = np.arange(len(sets))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for i, j in zip(*np.nonzero(link), strict=True):
-        x, y = int(q[some_q[i]]), int(picked[j])
-        a, b = find(x), find(y)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((x, y))
+    label, out = np.arange(len(sets)), []
+    for i in np.flatnonzero(link.any(1)):
+        x, met = int(q[some_q[i]]), picked[link[i]]
+        others, at = np.unique(label[met], return_index=True)
+        new = others != label[x]
+        if new.any():
+            out += [(x, int(y)) for y in met[at[new]]]
+            label[np.isin(label, np.append(others, label[x]))] = min(int(label[x]), int(others[0]))
     return out
 
 
@@ -268,23 +294,12 @@ def links(df: DataFrame, nodes: DataFrame, n: int, num: int, den: int, key: str,
     """Pairs of nodes (a, b) whose components are those of all links. nodes: from nodes_of, written; its parts may be dropped afterwards."""
     w = Window.partitionBy("part")
     named = nodes.where("node is not null").select("node", F.explode("parts").alias("part"))
-    met = named.select("node", "part", F.min("node").over(w).alias("least"), F.max("node").over(w).alias("most")).where("least < most").select("node", "part", "least").distinct()
-    met = materialise(met, "met")
-    group = met.groupBy("node").agg(F.min("least").alias("g"))
-    placed = materialise(met.select("node", "part").join(group, "node"), "placed")  # each part with its nodes and their groups
-    mixed = placed.groupBy("part").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a < b").select("part")
-    across = placed.join(mixed, "part")
-    asked = across.select("node", "part").join(across.select("part", "g").distinct(), "part").select("node", "g").distinct()
-    queries = asked.union(placed.select("node", "g")).distinct()
-    members = placed.select("node", "g").distinct()
-    # cells: members and queries of a group, each dealt into so many as needed
-    need = lambda rows, name: rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias(name))
-    split = need(members, "n_m").join(need(queries, "n_q"), "g")
-    deal = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    as_member = members.join(split, "g").select("node", "g", deal("n_m").alias("i"), every("n_q").alias("j"), F.lit(True).alias("member"), F.lit(False).alias("query"))
-    as_query = queries.join(split, "g").select("node", "g", every("n_m").alias("i"), deal("n_q").alias("j"), F.lit(False).alias("member"), F.lit(True).alias("query"))
-    cells = as_member.union(as_query).groupBy("node", "g", "i", "j").agg(F.max("member").alias("member"), F.max("query").alias("query"))
+    met = named.select(F.col("node").alias("a"), F.min("node").over(w).alias("b")).where("a > b").distinct()
+    family = materialise(components(materialise(met, "met")).select("node", F.col("label").alias("g")), "families")
+    # a family of several cells' size is dealt into blocks, and each two blocks meet once: the first as queries, the second as members
+    blocks = family.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("n"))
+    own = family.join(blocks, "g").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    cells = own.select("node", "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") >= F.col("other")).alias("member"), (F.col("own") <= F.col("other")).alias("query"))
     first = nodes.where("node is not null").groupBy("node").agg(F.min_by("key", F.coalesce("key", F.lit(1 << 62))).alias("key"))
     cells = materialise(cells.join(first, "node"), "cells")
     texts = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
