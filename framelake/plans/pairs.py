@@ -41,7 +41,36 @@ def j3_cells(spark, sf_dir):
     return pairs.select("frame", F.col("a_pos").alias("truth_pos"), F.col("b_pos").alias("pos"), F.round("iou", 9).alias("iou"))
 
 
-@query("j4_greedy_match")
+def greedy_sql(least: float, source: str = "boxes", key: str = "frame") -> str:
+    """CTEs up to m, which has a row for each box found in the order of scores, with the truth that it takes (or null). key: columns of a frame."""
+    on = " AND ".join(f"a.{k} = b.{k}" for k in key.split(", "))
+    step = " AND ".join(f"p.{k} = m.{k}" for k in key.split(", "))
+    cols = lambda t: ", ".join(f"{t}.{k}" for k in key.split(", "))
+    return f"""c AS (SELECT {cols('b')}, b.pos, list({{'truth': a.pos, 'iou': {IOU}}} ORDER BY {IOU} DESC, a.pos) FILTER (WHERE {IOU} >= {least} AND {IOU} > 0) AS near
+  FROM {source} b LEFT JOIN {source} a ON {on} AND a.is_truth WHERE NOT b.is_truth GROUP BY {cols('b')}, b.pos),
+p AS (SELECT c.*, row_number() OVER (PARTITION BY {cols('c')} ORDER BY s.score DESC, c.pos) AS r FROM c JOIN {source} s ON {" AND ".join(f"s.{k} = c.{k}" for k in key.split(", "))} AND s.pos = c.pos),
+m AS (SELECT DISTINCT {key}, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS pos, CAST(NULL AS STRUCT(truth BIGINT, iou DOUBLE)) AS pick FROM {source}
+  UNION ALL SELECT {key}, r, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick.truth) END, pos, pick
+  FROM (SELECT {cols('m')}, p.r, m.taken, p.pos, list_filter(p.near, lambda x: NOT list_contains(m.taken, x.truth))[1] AS pick FROM m JOIN p ON {step} AND p.r = m.r + 1) t)"""
+
+
+BIN = "CASE WHEN least(x2 - x1, y2 - y1) >= 128 THEN 128 WHEN least(x2 - x1, y2 - y1) >= 96 THEN 96 WHEN least(x2 - x1, y2 - y1) >= 64 THEN 64 WHEN least(x2 - x1, y2 - y1) >= 32 THEN 32 WHEN least(x2 - x1, y2 - y1) >= 16 THEN 16 ELSE 0 END"
+
+
+def recall_sql(source: str, key: str, by: str) -> str:
+    """Recall by size bin and in all (bin -1), after greedy_sql."""
+    lead = f"{by}, " if by else ""
+    join = " AND ".join(f"g.{k} = h.{k}" for k in key.split(", "))
+    total = f"SELECT {lead}CAST(-1 AS INTEGER) AS bin, CAST(sum(gt) AS BIGINT) AS gt, CAST(sum(hits) AS BIGINT) AS hits FROM k" + (f" GROUP BY {by}" if by else "")
+    same = f" WHERE f.{by} = t.{by}" if by else ""
+    return f""", g AS (SELECT {", ".join(dict.fromkeys([*key.split(", "), *(by.split(", ") if by else [])]))}, pos, {BIN} AS bin FROM {source} WHERE is_truth), h AS (SELECT {key}, pick.truth AS pos FROM m WHERE pick IS NOT NULL),
+k AS (SELECT {f"g.{by} AS {by}, " if by else ""}bin, count(*) AS gt, count(h.pos) AS hits FROM g LEFT JOIN h ON {join} AND g.pos = h.pos GROUP BY ALL), t AS ({total}),
+q AS (SELECT t.*, (SELECT count(*) FROM {source} f{same + " AND" if by else " WHERE"} NOT f.is_truth) AS pred, (SELECT count(*) FROM h f{same}) AS tp FROM t)
+SELECT {lead}bin, gt, hits, NULL AS pred, NULL AS tp, round(hits / gt, 9) AS recall, NULL AS "precision" FROM k
+UNION ALL SELECT {lead}bin, gt, hits, pred, tp, CASE WHEN gt > 0 THEN round(hits / gt, 9) ELSE 0.0 END, CASE WHEN pred > 0 THEN round(tp / pred, 9) ELSE 0.0 END FROM q"""
+
+
+@query("j4_greedy_match", f"WITH RECURSIVE {BOXES}, {greedy_sql(0.3)} SELECT frame, pick.truth AS truth_pos, pos, round(pick.iou, 9) AS iou FROM m WHERE pick IS NOT NULL")
 def j4(spark, sf_dir):
     return matching.match(boxes(spark, sf_dir), ["frame"], 0.3).withColumn("iou", F.round("iou", 9))
 
@@ -79,14 +108,18 @@ def j9(spark, sf_dir):
     return o.join(c, o.o_custkey == c.c_custkey, "left_semi").select("o_orderkey")
 
 
-@query("a1_size_binned_recall")
+@query("a1_size_binned_recall", f"WITH RECURSIVE {BOXES}, v AS (SELECT * FROM boxes WHERE is_truth OR score >= 0.02), {greedy_sql(0.3, 'v')}{recall_sql('v', 'frame', '')}")
 def a1(spark, sf_dir):
     b = boxes(spark, sf_dir).where("is_truth or score >= 0.02")
     out = metrics.binned_recall(b, matching.match(b, ["frame"], 0.3), ["frame"])
     return out.withColumns({"recall": F.round("recall", 9), "precision": F.round("precision", 9)})
 
 
-@query("a1_recall_at_thresholds")
+@query(
+    "a1_recall_at_thresholds",
+    f"""WITH RECURSIVE {BOXES}, v AS (SELECT threshold, boxes.* FROM boxes, (VALUES (0.0::DOUBLE), (0.03::DOUBLE), (0.06::DOUBLE)) w(threshold) WHERE is_truth OR score >= threshold),
+{greedy_sql(0.3, 'v', 'threshold, frame')}{recall_sql('v', 'threshold, frame', 'threshold')}""",
+)
 def a1_sweep(spark, sf_dir):
     """All thresholds in one job: raw scores are stored once and replayed."""
     b = boxes(spark, sf_dir).withColumn("threshold", F.explode(F.array(*map(F.lit, (0.0, 0.03, 0.06)))))
@@ -107,12 +140,32 @@ def a1_ceiling(spark, sf_dir):
     return b.where("is_truth").join(near, ["frame", "pos"], "left").agg(F.count(F.lit(1)).alias("gt"), F.count("hit").alias("reachable"))
 
 
-@query("g8_suppression_clusters")
+@query(
+    "g8_suppression_clusters",
+    f"""WITH RECURSIVE {BOXES}, o AS (SELECT a.frame, a.pos, list(b.pos) FILTER (WHERE {IOU} >= 0.5) AS near FROM boxes a JOIN boxes b ON a.frame = b.frame GROUP BY a.frame, a.pos),
+p AS (SELECT o.*, row_number() OVER (PARTITION BY o.frame ORDER BY s.score DESC, o.pos) AS r FROM o JOIN boxes s ON s.frame = o.frame AND s.pos = o.pos),
+m AS (SELECT DISTINCT frame, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS heads, CAST(NULL AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS head FROM boxes
+  UNION ALL SELECT frame, r, CASE WHEN h IS NULL THEN list_append(heads, pos) ELSE heads END, pos, coalesce(h, pos)
+  FROM (SELECT m.frame, p.r, m.heads, p.pos, list_filter(m.heads, lambda x: list_contains(p.near, x))[1] AS h FROM m JOIN p ON p.frame = m.frame AND p.r = m.r + 1) t)
+SELECT frame, pos, head FROM m WHERE pos IS NOT NULL""",
+)
 def g8(spark, sf_dir):
     return matching.clusters(boxes(spark, sf_dir), ["frame"], 0.5)
 
 
-@query("g7_rejoin_at_seams")
+def seam_sql(axis: str, other: str) -> str:
+    """Pairs of boxes that a seam on an axis cut."""
+    return f"""SELECT a.frame, a.pos AS u, b.pos AS v FROM boxes a JOIN boxes b ON a.frame = b.frame, (VALUES (48, 64), (96, 112)) s(start, stop)
+  WHERE abs(a.{axis}2 - stop) <= 6 AND a.{axis}1 < start AND abs(b.{axis}1 - start) <= 6 AND b.{axis}2 > stop AND greatest(a.{other}2, b.{other}2) > least(a.{other}1, b.{other}1)
+  AND (least(a.{other}2, b.{other}2) - greatest(a.{other}1, b.{other}1)) / (greatest(a.{other}2, b.{other}2) - least(a.{other}1, b.{other}1)) >= 0.2"""
+
+
+@query(
+    "g7_rejoin_at_seams",
+    f"""WITH RECURSIVE {BOXES}, e AS ({seam_sql('x', 'y')} UNION {seam_sql('y', 'x')}), d AS (SELECT frame, u, v FROM e WHERE u <> v UNION SELECT frame, v, u FROM e WHERE u <> v),
+r(frame, pos, seen) AS (SELECT DISTINCT frame, u, u FROM d UNION SELECT r.frame, r.pos, d.v FROM r JOIN d ON d.frame = r.frame AND d.u = r.seen)
+SELECT frame, pos, min(seen) AS piece_of FROM r GROUP BY frame, pos""",
+)
 def g7(spark, sf_dir):
     bands = [(48, 64), (96, 112)]
     return matching.rejoin(boxes(spark, sf_dir), ["frame"], (bands, bands), 6.0, 0.2)

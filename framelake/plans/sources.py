@@ -184,10 +184,14 @@ def i1(spark, sf_dir):
     return spark.read.parquet(out).select("sample_index", F.size("shapes").cast("long").alias("n"))
 
 
-@query("i2_windowed_counts")
+@query(
+    "i2_windowed_counts",
+    f"""WITH {BOXES}, f AS (SELECT frame + 1 AS s, count(*) AS n FROM boxes GROUP BY frame)
+SELECT s // 60 * 60 AS "start", 'f' AS flight, count(*) AS frames, CAST(sum(n) AS BIGINT) AS boxes FROM f GROUP BY s // 60 HAVING s // 60 * 60 + 60 <= (SELECT max(s) FROM f) - 30""",
+)
 def i2(spark, sf_dir):
     """Frames and boxes by minute, as windows close."""
     path, out, check = (shared(spark, x) for x in ("incoming", "windows", "progress"))
     frames_of(spark, sf_dir).write.json(path)
     ingest.write(ingest.counts_by_window(ingest.frame_stream(spark, path), "60 seconds", "30 seconds"), out, check).awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).withColumn("start", F.unix_seconds("start"))
