@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialise
@@ -25,7 +25,7 @@ from .scratch import materialise
 #: Vectors that the classifier learns from, at most.
 SAMPLE = 12_000
 #: Vectors in a part, and parts at most.
-PART, PARTS = 400, 128
+PART, PARTS = 800, 64
 RECALL = 0.96
 #: Vectors, and queries, of a cell of the search.
 CELL = 4096
@@ -203,12 +203,17 @@ def search(df: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id", vec
     queries = asked.join(split, "part").select("part", every_("n").alias("i"), deal("m").alias("j"), "id", "x")
 
     def cell(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        a, b, c = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        if len(own) and len(queries):
-            a, b, c = best(queries["id"].to_numpy(), np.stack(queries["x"].to_list()), own["id"].to_numpy(), np.stack(own["x"].to_list()), k)
-        return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
+        """A row for each query, with its k nearest in the cell."""
+        if not len(own) or not len(queries):
+            return pd.DataFrame({"query_id": [], "near": []})
+        a, b, c = best(queries["id"].to_numpy(), np.stack(queries["x"].to_list()), own["id"].to_numpy(), np.stack(own["x"].to_list()), k)
+        head = np.flatnonzero(np.append(True, a[1:] != a[:-1])[: len(a)])
+        ends = np.append(head[1:], len(a))[: len(head)]
+        near = [[{"less": -s, "vec_id": v} for s, v in zip(c[i:j].tolist(), b[i:j].tolist(), strict=True)] for i, j in zip(head, ends, strict=True)]
+        return pd.DataFrame({"query_id": a[head], "near": near})
 
     keys = ("part", "i", "j")
-    found = own.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(cell, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = own.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(cell, "query_id long, near array<struct<less: double, vec_id: long>>")
+    # k entries of each cell that a query opened
+    top = found.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    return top.select("query_id", F.posexplode("near").alias("place", "n")).select("query_id", (F.col("place") + 1).alias("rank"), "n.vec_id", (-F.col("n.less")).alias("score"))
