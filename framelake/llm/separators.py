@@ -29,6 +29,8 @@ from .scratch import materialise, new_path
 
 #: Ids in a block.
 BLOCK = 1 << 21
+#: Tasks of a scan at most.
+TASKS = 50_000
 
 
 def write(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", width: int = 2, path: str | None = None) -> DataFrame:
@@ -62,7 +64,12 @@ def block_table(spark: SparkSession, files: list[tuple[int, str, int]], block: i
     table = spark.createDataFrame(files, "part int, file string, ids long").where("ids > 0")
     cut = table.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("ids") - 1) / block).cast("long"))))
     cut = cut.select("part", "file", "block", (F.col("block") * block).alias("at"), F.least(F.lit(block).cast("long"), F.col("ids") - F.col("block") * block).alias("n"))
-    return cut.repartition("file", "block")
+    return cut.repartition(_tasks(files, block), "file", "block")
+
+
+def _tasks(files: list[tuple[int, str, int]], block: int) -> int:
+    """A number of its own for the scans' exchanges: their rows are few bytes each, and would all be put in one task otherwise."""
+    return max(1, min(TASKS, sum(-(-ids // block) for _, _, ids in files)))
 
 
 def _ids(row: dict, width: int) -> np.ndarray:
@@ -87,7 +94,7 @@ def scan(spark: SparkSession, files: list[tuple[int, str, int]], end_id: int, wi
     known = sums.select(
         "part", "file", "at", "n", F.coalesce(F.sum("found").over(earlier), F.lit(0)).alias("nth"), F.coalesce(F.max("last").over(earlier), F.lit(0)).alias("since"),
         F.lead("block").over(w).isNull().alias("ends"),
-    ).repartition("file", "at")
+    ).repartition(_tasks(files, block), "file", "at")
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for batch in batches for r in batch.to_pylist()):
@@ -112,4 +119,5 @@ def token_counts(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id"
     bases = F.broadcast(df.sparkSession.createDataFrame(base, "part int, before long"))  # one row a file
     found = scan(df.sparkSession, files, end_id, width)
     keys = written.where("nth is not null").select("part", "nth", "key")
-    return found.join(keys, ["part", "nth"]).join(bases, "part").select(F.col("key").alias(key), (F.col("before") + F.col("at")).alias("start"), "n_tokens")
+    # by a merge: the table of keys is small as a file only
+    return found.join(keys.hint("merge"), ["part", "nth"]).join(bases, "part").select(F.col("key").alias(key), (F.col("before") + F.col("at")).alias("start"), "n_tokens")
