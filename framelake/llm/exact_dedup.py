@@ -6,8 +6,8 @@ that an identifier stands for one chunk. Documents are then compared by their or
 Should two different chunks share an identifier, documents that hold one carry their text in the recipe as well.
 
 Defined cases: a null text counts as empty and equals the empty text, whose recipe is empty; a null key is smaller than
-any other; rows that repeat both text and key are each returned, and all marked as the key that stays; an empty table
-gives an empty result; other columns aren't read, whatever their names (dedup) or come along unchanged (survivors).
+any other; rows that repeat both text and key are each returned by dedup, and all marked as the key that stays, while
+survivors keeps one of them; an empty table gives an empty result; other columns aren't read, whatever their names (dedup) or come along unchanged (survivors).
 """
 
 from __future__ import annotations
@@ -56,5 +56,9 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", identifier: Ca
 
 
 def survivors(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df that stay, with all its columns."""
-    return _matched(df, key, text, df.columns, F.xxhash64).where(F.col("k").eqNullSafe(F.col("keep_id"))).select("row.*")
+    """The rows of df that stay, with all its columns. Of rows that repeat both text and key one stays, any."""
+    kept = _matched(df, key, text, df.columns, F.xxhash64).where(F.col("k").eqNullSafe(F.col("keep_id")))
+    pairs = df.select(F.col(f"`{key}`").alias("k"), F.xxhash64(_text(text)).alias("h"))
+    if pairs.groupBy("k", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        kept = kept.dropDuplicates(["k", "sha"])  # a second exchange of what stays, for tables with such rows only
+    return kept.select("row.*")

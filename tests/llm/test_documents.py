@@ -82,6 +82,7 @@ def test_exact_dedup_of_null_keys_and_repeats(spark):
     df = spark.createDataFrame([(None, "a"), (None, "a"), (None, "b"), (3, "b"), (3, "b"), (2, None), (1, "")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup(df).collect()), key=str)
     assert got == sorted([(None, None, 2, True)] * 2 + [(None, 3, 3, False)] + [(3, 3, 3, True)] * 2 + [(2, 2, 2, True), (1, 2, 2, False)], key=str)
+    assert sorted(map(tuple, exact_dedup.survivors(df).collect()), key=str) == sorted([(None, "a"), (3, "b"), (2, None)], key=str)
 
 
 def test_chunks_give_the_text_back(spark, docs, rows):
