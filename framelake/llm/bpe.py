@@ -10,13 +10,17 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
 
 from . import blocks as B
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 #: Bytes up to which a piece is merged in arrays.
 LONG = 48
 NONE = np.int32(2**31 - 1)
@@ -110,12 +114,9 @@ class Bpe:
     """spec: a tokenizer file. ids are those of the library's encode(text, add_special_tokens=False)."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        spec = json.load(open(path, encoding="utf-8"))
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.path = path
         model, vocab = spec["model"], spec["model"]["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.spaced = not self.suffix
@@ -141,6 +142,16 @@ class Bpe:
         self.name_bytes = np.frombuffer(b"".join(names), np.uint8)
         self.lexicon = None
 
+    @cached_property
+    def library(self) -> "Tokenizer":
+        """Loaded where a text needs it only."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        return out
+
     @staticmethod
     def _table(keys: list[int], bits: int = 18) -> tuple[np.ndarray, np.ndarray]:
         table, rank = np.full(1 << bits, 0xFFFFFFFF, np.uint32), np.full(1 << bits, NONE, np.int32)
