@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once. A longer single text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -44,6 +44,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTE
         while at < n:
             to = max(at + 1, int(np.searchsorted(ends, below + limit, "right")))
             yield batch.slice(at, to - at)
+            pa.default_memory_pool().release_unused()  # what a block took goes back before the next
             at, below = to, int(ends[to - 1])
 
 

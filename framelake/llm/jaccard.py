@@ -54,7 +54,7 @@ SLAB = 4096
 #: Tokens in this share of all sets name no parts. There are at most 1 / COMMON times as many as tokens in a set.
 COMMON = 0.0005
 #: Sets of a block with a token for it to be reported.
-LEAST = 4
+LEAST = 3
 
 
 @lru_cache(maxsize=None)

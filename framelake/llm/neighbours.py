@@ -15,8 +15,11 @@ aren't read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -181,7 +184,10 @@ def search(df: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id", vec
     dim = (rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect() or [(0,)])[0][0]
     rows = rows.where(F.size("x") == dim)
     if index is None:
-        sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").collect()
+        # the share of hashes that gives about SAMPLE rows: no task sends more than its own share
+        share = min(1 << 30, math.ceil((1 << 30) * SAMPLE / max(n, 1)))
+        sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).limit(2 * SAMPLE).collect()
+        sample = sorted(sample, key=lambda r: xxhash.xxh3_64_intdigest(str(r.id)))[:SAMPLE]
         index = Index(np.array([r.x for r in sample]).reshape(len(sample), dim), n, k)
     shared = df.sparkSession.sparkContext.broadcast(index)  # of one size, whatever the input
 

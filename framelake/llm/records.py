@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import bpe
-from .scratch import materialise, new_path
+from .scratch import input_bytes, materialise, new_path
 
 #: Fixed values of the format.
 POLYNOMIAL = 0x82F63B78
@@ -33,6 +33,8 @@ MASK_DELTA = 0xA282EAD8
 SIGNATURE = 0x31584449_4B4C5246
 #: Bytes of frames read at once.
 READ_BYTES = 8 << 20
+#: Bytes of input for a file, where Spark's number of shuffle partitions would make them larger.
+FILE_BYTES = 256 << 20
 LANE = 256
 
 
@@ -157,9 +159,9 @@ def filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 def ordered(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, text in ranges of ascending keys: one exchange."""
+    """key, text in ranges of ascending keys, one for each file: one exchange."""
     rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df) // FILE_BYTES)
     return rows.repartitionByRange(n, "key").sortWithinPartitions("key", "text")
 
 

@@ -31,6 +31,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """What Spark's planner takes for the size of df: for files, theirs. 0 where it has no idea."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: what comes after no longer depends on its lineage."""
     spark = df.sparkSession

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks as B
-from .scratch import materialise
+from .scratch import input_bytes, materialise
 
 #: Words in a gram.
 GRAM = 3
@@ -233,8 +233,7 @@ def _bucket(size: int):
 def removals(df: DataFrame, size: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key (null: the smallest long), spans: the words (from, to) that go, in any order, overlapping."""
     spark = df.sparkSession
-    of_input = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 64, min(of_input // BUCKET_BYTES, 1 << 30))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 64, input_bytes(df) // BUCKET_BYTES)
     hot = frequent(df, size, key, text)
     found = packed(df, size, buckets, hot, key, text).groupBy("bucket").applyInArrow(_bucket(size), "key long, lo long, hi long")
     return materialise(found.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "removals")  # spans of one document
