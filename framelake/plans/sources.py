@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import boxes as bx
 from ..registry import query
 from ..sources import annotations as an
-from ..sources.scratch import shared, write_text
+from ..sources.scratch import named, shared, write_text
 from ..streaming import ingest
 from .base import BOXES, boxes, table
 
 #: Frames below this many are written as chunks of a third each; the last stays unfinished.
 LIMIT, CHUNK = 300, 100
+#: Frames of a chunk file, and images of a COCO document, where the whole table is written.
+WHOLE = 1000
 
 
 def frames_of(spark, sf_dir):
@@ -25,18 +27,19 @@ def frames_of(spark, sf_dir):
     return rows.select(F.lit("f").alias("flight"), F.col("frame").alias("sample_index"), (F.col("frame") / 30).alias("dts_s"), (F.col("frame") * 1000).alias("dts_ticks"), ((F.col("frame") + 1) * 1_000_000).alias("utc_us"), F.lit(256).alias("width"), F.lit(224).alias("height"), "shapes")
 
 
-def chunks_of(spark, sf_dir) -> str:
-    """A folder with chunk files: a stale line before each frame's own, broken lines, a marker for all but the last chunk."""
-    path = shared(spark, "chunks")
-    rows = frames_of(spark, sf_dir).where(F.col("sample_index") < LIMIT).select((F.floor(F.col("sample_index") / CHUNK) * CHUNK).alias("c"), "sample_index", F.to_json(F.struct("flight", "sample_index", "dts_s", "dts_ticks", "utc_us", "width", "height", "shapes")).alias("j"))
-    text: dict[int, list[str]] = {}
-    for r in rows.orderBy("sample_index").collect():  # LIMIT frames: a small set of files
-        text.setdefault(r.c, []).extend([f'{{"flight":"f","sample_index":{r.sample_index},"shapes":[]}}', r.j, '{"flight":"f","sample_i'])
-    for c, found in text.items():
-        name = f"{path}/f_chunk_{c}_{c + CHUNK}"
-        write_text(spark, name + ".jsonl", "\n".join(found) + "\n")
-        if c + CHUNK < LIMIT:
-            write_text(spark, name + ".done", "")
+def chunks_of(spark, sf_dir, below: int | None = LIMIT, size: int = CHUNK, open_last: bool = True) -> str:
+    """A folder with chunk files of the frames below (None: all), written by executors, a file a task at a time: a stale line before each frame's own, broken lines, a marker for all but the last chunk (or for all)."""
+    raw, path = shared(spark, "chunks-raw"), shared(spark, "chunks")
+    rows = frames_of(spark, sf_dir)
+    if below is not None:
+        rows = rows.where(F.col("sample_index") < below)
+    own = F.to_json(F.struct("flight", "sample_index", "dts_s", "dts_ticks", "utc_us", "width", "height", "shapes"))
+    stale = F.format_string('{"flight":"f","sample_index":%d,"shapes":[]}', "sample_index")
+    text = F.concat_ws("\n", stale, own, F.lit('{"flight":"f","sample_i'))
+    rows.select((F.floor(F.col("sample_index") / size) * size).alias("c"), text.alias("text")).repartition("c").write.partitionBy("c").text(raw)
+    found = named(spark, raw, path, lambda c: f"f_chunk_{c}_{c + size}.jsonl")
+    for c in sorted(found)[: -1 if open_last else None]:
+        write_text(spark, f"{path}/f_chunk_{c}_{c + size}.done", "")
     return path
 
 
@@ -50,15 +53,21 @@ def s1(spark, sf_dir):
 
 @query("s2_lines", f"{LINES} SELECT c AS \"start\", 3 * n AS lines FROM n")
 def s2(spark, sf_dir):
-    path = chunks_of(spark, sf_dir)
-    found = [r.path for r in an.chunk_files(spark, path).collect()]
+    return _lines(spark, chunks_of(spark, sf_dir))
+
+
+def _lines(spark, path):
+    found = [r.path for r in an.chunk_files(spark, path).collect()]  # a row a file
     return an.lines(spark, found).select(F.regexp_extract("path", an.CHUNK, 2).cast("long").alias("start")).groupBy("start").agg(F.count(F.lit(1)).alias("lines"))
 
 
 @query("s3_frames", f"WITH {BOXES} SELECT frame, pos, label, CASE WHEN pos % 4 = 3 THEN 1.0 ELSE score END AS score, x1, y1, x2, y2 FROM boxes WHERE frame >= 20 AND frame < {LIMIT - CHUNK}")
 def s3(spark, sf_dir):
-    found = an.boxes(an.frames(spark, chunks_of(spark, sf_dir), "f", 20, LIMIT, partial=True))
-    return found.select(F.col("sample_index").alias("frame"), F.col("pos").cast("long").alias("pos"), "label", "score", "x1", "y1", "x2", "y2")
+    return _frames(an.frames(spark, chunks_of(spark, sf_dir), "f", 20, LIMIT, partial=True))
+
+
+def _frames(found):
+    return an.boxes(found).select(F.col("sample_index").alias("frame"), F.col("pos").cast("long").alias("pos"), "label", "score", "x1", "y1", "x2", "y2")
 
 
 @query("s5_resume_scan", "SELECT CAST(i AS BIGINT) AS sample_index, CASE WHEN i = 2 THEN 'lost' ELSE '' END AS error FROM range(4) t(i)")
@@ -100,20 +109,26 @@ def s11(spark, sf_dir):
     return _coco(spark, sf_dir, None).select("image_id", "annotation_id", "label", "x1", "y1", "x2", "y2")
 
 
-def _coco(spark, sf_dir, category):
-    """200 images in one COCO document (the format is one document), read back."""
-    b = boxes(spark, sf_dir).where("frame < 200").withColumn("category_id", F.substring("label", 2, 9).cast("long"))
+def _coco(spark, sf_dir, category, below: int | None = 200, size: int = 200):
+    """Images below (None: all), `size` of them a COCO document (a file each, written by executors), read back."""
+    b = boxes(spark, sf_dir)
+    if below is not None:
+        b = b.where(F.col("frame") < below)
+    b = b.withColumn("g", F.floor(F.col("frame") / size)).withColumn("category_id", F.substring("label", 2, 9).cast("long"))
     image = F.struct(F.col("frame").alias("id"), F.concat(F.col("frame").cast("string"), F.lit(".jpg")).alias("file_name"), F.lit(256).alias("width"), F.lit(224).alias("height"))
     mark = F.struct((F.col("frame") * 100 + F.col("pos")).alias("id"), F.col("frame").alias("image_id"), "category_id", F.array("x1", "y1", bx.width(), bx.height()).alias("bbox"))
-    doc = b.agg(F.collect_set(image).alias("images"), F.collect_list(mark).alias("annotations"), F.collect_set(F.struct(F.col("category_id").alias("id"), F.col("label").alias("name"))).alias("categories"))
+    doc = b.groupBy("g").agg(F.collect_set(image).alias("images"), F.collect_list(mark).alias("annotations"), F.collect_set(F.struct(F.col("category_id").alias("id"), F.col("label").alias("name"))).alias("categories"))
     path = shared(spark, "coco")
-    doc.coalesce(1).write.json(path)
+    doc.write.partitionBy("g").json(path)
     return an.coco(spark, path, category)
 
 
 @query("s9_tracking_truth", f"WITH {BOXES} SELECT frame, pos, track AS target, x1, y1, x2, y2 FROM boxes WHERE frame < 300 AND pos % 3 <> 1")
 def s9(spark, sf_dir):
-    b = boxes(spark, sf_dir).where("frame < 300")
+    return _tracking(spark, boxes(spark, sf_dir).where("frame < 300"))
+
+
+def _tracking(spark, b):
     p = lambda x, y: F.array(F.col(x), F.col(y))
     tag = lambda k, v: F.struct(F.lit(k).alias("name"), v.alias("value"))
     tags = F.when(F.col("pos") % 3 == 1, F.array(tag("other", F.lit("1")))).otherwise(F.array(tag("other", F.lit("1")), tag("target id", F.col("track").cast("string"))))
@@ -173,6 +188,45 @@ def a12(spark, sf_dir):
     return an.chunk_progress(spark, chunks_of(spark, sf_dir))
 
 
+# S1-S3, A12, S8, S11, S9 above keep the range of frames that their SQL gives; these are over the whole table.
+EVERY = f"WITH {BOXES}, n AS (SELECT frame // {WHOLE} * {WHOLE} AS c, count(DISTINCT frame) AS n FROM boxes GROUP BY c), z AS (SELECT max(c) AS z FROM n)"
+
+
+@query("s1_chunk_files_whole", f"{EVERY} SELECT 'f' AS flight, c AS \"start\", c + {WHOLE} AS \"end\", c < z AS done FROM n, z")
+def s1_whole(spark, sf_dir):
+    return an.chunk_files(spark, chunks_of(spark, sf_dir, None, WHOLE)).select("flight", "start", "end", F.coalesce("done", F.lit(False)).alias("done"))
+
+
+@query("s2_lines_whole", f"{EVERY} SELECT c AS \"start\", 3 * n AS lines FROM n")
+def s2_whole(spark, sf_dir):
+    return _lines(spark, chunks_of(spark, sf_dir, None, WHOLE))
+
+
+@query("s3_frames_whole", f"WITH {BOXES} SELECT frame, pos, label, CASE WHEN pos % 4 = 3 THEN 1.0 ELSE score END AS score, x1, y1, x2, y2 FROM boxes")
+def s3_whole(spark, sf_dir):
+    return _frames(an.frames(spark, chunks_of(spark, sf_dir, None, WHOLE, open_last=False), "f"))
+
+
+@query("a12_chunk_progress_whole", f"{EVERY} SELECT 'f' AS flight, count(*) AS chunks, count(*) FILTER (WHERE c < z) AS done, count(*) FILTER (WHERE c = z) AS \"open\", CAST(sum(3 * n) AS BIGINT) AS lines FROM n, z")
+def a12_whole(spark, sf_dir):
+    return an.chunk_progress(spark, chunks_of(spark, sf_dir, None, WHOLE))
+
+
+@query("s8_coco_category_whole", f"WITH {BOXES} SELECT frame AS image_id, frame * 100 + pos AS annotation_id, label, x1, y1, x2, y2 FROM boxes WHERE label = 'L2'")
+def s8_whole(spark, sf_dir):
+    return _coco(spark, sf_dir, "L2", None, WHOLE).select("image_id", "annotation_id", "label", "x1", "y1", "x2", "y2")
+
+
+@query("s11_coco_all_whole", f"WITH {BOXES} SELECT frame AS image_id, frame * 100 + pos AS annotation_id, label, x1, y1, x2, y2 FROM boxes")
+def s11_whole(spark, sf_dir):
+    return _coco(spark, sf_dir, None, None, WHOLE).select("image_id", "annotation_id", "label", "x1", "y1", "x2", "y2")
+
+
+@query("s9_tracking_truth_whole", f"WITH {BOXES} SELECT frame, pos, track AS target, x1, y1, x2, y2 FROM boxes WHERE pos % 3 <> 1")
+def s9_whole(spark, sf_dir):
+    return _tracking(spark, boxes(spark, sf_dir))
+
+
 @query("i1_incremental_ingestion", f"WITH {BOXES} SELECT frame AS sample_index, count(*) AS n FROM boxes GROUP BY frame")
 def i1(spark, sf_dir):
     """Frames through the file source, a first part and then the rest, each frame once."""

@@ -72,10 +72,10 @@ def frames(spark: SparkSession, path: str, flight: str, start: int | None = None
     paths = [p for _, p, done in found if done]
     if not paths:
         raise ValueError(f"no finished chunks of {flight}")
-    order = {p.rpartition("/")[2]: k for k, p in enumerate(paths)}
     raw = lines(spark, paths)
-    place = F.create_map(*[x for p, k in order.items() for x in (F.lit(p), F.lit(k))])
-    parsed = raw.select(place[F.regexp_extract("path", "[^/]+$", 0)].alias("file"), "line", F.from_json("value", FRAME).alias("f")).where("f.sample_index is not null")
+    # a file's place is said by its name, so no expression grows with the number of files
+    file = F.struct(F.regexp_extract("path", CHUNK, 2).cast("long").alias("start"), F.regexp_extract("path", "[^/]+$", 0).alias("name"))
+    parsed = raw.select(file.alias("file"), "line", F.from_json("value", FRAME).alias("f")).where("f.sample_index is not null")
     if start is not None:
         parsed = parsed.where(F.col("f.sample_index") >= start)
     if end is not None:
@@ -115,17 +115,17 @@ def index(spark: SparkSession, path: str, stream: str | None = None, valid_only:
 
 
 def coco(spark: SparkSession, path: str, category: str | None = None, with_empty: bool = False) -> DataFrame:
-    """image_id, file_name, width, height, annotation_id, label, x1..y2 of COCO files. An unknown category is an error; images without annotation only if asked for."""
-    doc = spark.read.schema(COCO).option("multiLine", "true").json(path)
-    images = doc.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), "i.file_name", "i.width", "i.height")
-    kinds = doc.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), F.col("c.name").alias("label"))
-    marks = doc.select(F.explode("annotations").alias("a")).select(F.col("a.id").alias("annotation_id"), "a.image_id", "a.category_id", *bx.corners(F.col("a.bbox")))
+    """image_id, file_name, width, height, annotation_id, label, x1..y2 of COCO files (ids count in their own file). An unknown category is an error; images without annotation only if asked for."""
+    doc = spark.read.schema(COCO).option("multiLine", "true").json(path).select(F.col("_metadata.file_path").alias("doc"), "images", "annotations", "categories")
+    images = doc.select("doc", F.explode("images").alias("i")).select("doc", F.col("i.id").alias("image_id"), "i.file_name", "i.width", "i.height")
+    kinds = doc.select("doc", F.explode("categories").alias("c")).select("doc", F.col("c.id").alias("category_id"), F.col("c.name").alias("label"))
+    marks = doc.select("doc", F.explode("annotations").alias("a")).select("doc", F.col("a.id").alias("annotation_id"), "a.image_id", "a.category_id", *bx.corners(F.col("a.bbox")))
     if category is not None:
         kinds = kinds.where(F.col("label") == category)
         if not kinds.limit(1).count():
             raise ValueError(f"no category {category}")
-    marks = marks.join(kinds, "category_id").drop("category_id")
-    return images.join(marks, "image_id", "left" if with_empty else "inner")
+    marks = marks.join(kinds, ["doc", "category_id"]).drop("category_id")
+    return images.join(marks, ["doc", "image_id"], "left" if with_empty else "inner").drop("doc")
 
 
 def tracking_truth(spark: SparkSession, path: str) -> DataFrame:
