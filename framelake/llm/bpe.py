@@ -270,11 +270,11 @@ class Bpe:
         starts, ends = pieces(data, offsets, self.spaced)
         return data, starts, ends, np.searchsorted(starts, offsets)
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """ids of all documents one after the other (int32), and how many each has."""
+    def encode(self, data: np.ndarray, offsets: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all documents one after the other (int32), and how many each has. plain: strings of special tokens are text like any other."""
         raw = data
         n = len(offsets) - 1
-        odd = self._with_special(raw, offsets)
+        odd = [] if plain else self._with_special(raw, offsets)
         data, starts, ends, first = self.cut(data, offsets)
         length = ends - starts
         packed = data if self.spaced else data[B.ragged(starts, length)]

@@ -6,7 +6,8 @@ there are, and where the first and last end. A prefix scan of these by file give
 that reaches into it and the number of documents before; a second scan then gives every document's start and length.
 
 Defined cases: a null or empty text is a document of no ids before its separator (n_tokens counts the separator); a
-block without a separator passes on what it got; ids after a file's last separator are a document without end, which
+separator's own string within a text is encoded as plain text, so no text holds the separator, and it is an error if one
+does all the same or if a file's separators and documents differ in number; a block without a separator passes on what it got; ids after a file's last separator are a document without end, which
 is counted only if asked for (`unended`); an empty file has no documents; rows that repeat a key, or have none, are
 documents of their own.
 """
@@ -46,7 +47,9 @@ def write(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text:
         nth = total = 0
         with fs.open_output_stream(f"{folder}/{name}") as out:
             for block in B.gathered(batches, "text", B.BLOCK_BYTES):
-                ids, count = coder.encode(*B.buffers(block.column("text")))
+                ids, count = coder.encode(*B.buffers(block.column("text")), plain=True)
+                if (ids == end_id).any():
+                    raise ValueError(f"a text has the separator {end_id} among its ids")
                 ids = np.insert(ids, np.cumsum(count), end_id)
                 out.write(pa.py_buffer(ids.astype(f"<u{width}")))
                 n, total = len(count), total + len(ids)
@@ -78,8 +81,8 @@ def _ids(row: dict, width: int) -> np.ndarray:
         return np.frombuffer(f.read_at(row["n"] * width, row["at"] * width), f"<u{width}")
 
 
-def scan(spark: SparkSession, files: list[tuple[int, str, int]], end_id: int, width: int = 2, block: int = BLOCK, unended: bool = False) -> DataFrame:
-    """part, nth (document in its file, from 0), at (its start in the file), n_tokens (its separator counts)."""
+def scan(spark: SparkSession, files: list[tuple[int, str, int]], end_id: int, width: int = 2, block: int = BLOCK, unended: bool = False, documents_of: dict[int, int] | None = None) -> DataFrame:
+    """part, nth (document in its file, from 0), at (its start in the file), n_tokens (its separator counts). documents_of: how many each part must have."""
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for batch in batches for r in batch.to_pylist()):
@@ -89,6 +92,10 @@ def scan(spark: SparkSession, files: list[tuple[int, str, int]], end_id: int, wi
 
     kind = pa.schema([("part", pa.int32()), ("file", pa.string()), ("block", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("found", pa.int64()), ("last", pa.int64())])
     sums = materialise(block_table(spark, files, block).mapInArrow(summary, "part int, file string, block long, at long, n long, found long, last long"), "separators")
+    if documents_of is not None:
+        seen = {r.part: r.n for r in sums.groupBy("part").agg(F.sum("found").alias("n")).collect()}  # one row a file
+        if odd := {p: (seen.get(p, 0), n) for p, n in documents_of.items() if seen.get(p, 0) != n}:
+            raise ValueError(f"separators and documents differ in number, by part: {odd}")
     w = Window.partitionBy("part").orderBy("block")
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
     known = sums.select(
@@ -111,13 +118,14 @@ def scan(spark: SparkSession, files: list[tuple[int, str, int]], end_id: int, wi
 def token_counts(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", width: int = 2) -> DataFrame:
     """Writes df's texts as flat files, and counts from these: key, start (ids in all files before the document), n_tokens (with the separator)."""
     written = write(df, tokenizer, end_id, key, text, width)
-    files = sorted((r.part, r.file, r.ids) for r in written.where("nth is null").collect())  # one row a file
+    found = written.groupBy("part").agg(F.max("file").alias("file"), F.max("ids").alias("ids"), F.count("nth").alias("n")).collect()  # one row a file
+    files, documents = sorted((r.part, r.file, r.ids) for r in found), {r.part: r.n for r in found}
     before, base = 0, []
     for part, _, n in files:
         base.append((part, before))
         before += n
     bases = F.broadcast(df.sparkSession.createDataFrame(base, "part int, before long"))  # one row a file
-    found = scan(df.sparkSession, files, end_id, width)
+    found = scan(df.sparkSession, files, end_id, width, documents_of=documents)
     keys = written.where("nth is not null").select("part", "nth", "key")
     # by a merge: the table of keys is small as a file only
     return found.join(keys.hint("merge"), ["part", "nth"]).join(bases, "part").select(F.col("key").alias(key), (F.col("before") + F.col("at")).alias("start"), "n_tokens")
