@@ -11,8 +11,8 @@ a block's earliest travels; so a passage that a third of all rows repeat is sent
 row, and no bucket grows with the number of copies.
 
 Defined cases: a null or empty text has no words; a text of fewer words than a window loses none; rows that repeat a key
-count as one document in this order, so neither of two equal windows at the same start is earlier, and both stay; a null
-key is smaller than any other; texts and words of any length are taken whole; an empty table gives an empty result;
+count as one document in this order, so neither of two equal windows at the same start is earlier, and both stay, but each
+row loses its own words only (a row is known by its key and a hash of its text); a null key is smaller than any other; texts and words of any length are taken whole; an empty table gives an empty result;
 other columns aren't read (dedup) or come along unchanged (rewritten).
 """
 
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +39,8 @@ HOT = 0.0005
 #: Bytes of input for a bucket.
 BUCKET_BYTES = 4 << 20
 LOW = -(1 << 63)
+#: Seed of Spark's xxhash64.
+SEED = 42
 STEP, TOP = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(1 << 63)
 
 
@@ -130,7 +133,16 @@ def intervals(doc: np.ndarray, start: np.ndarray, size: int) -> tuple[np.ndarray
 def _sorted_block(block: pa.RecordBatch, size: int) -> Block:
     keys = block.column("key").to_numpy()
     order = np.argsort(keys, kind="stable")
-    return Block(keys[order], *B.buffers(B.text_array(block.column("text")).take(pa.array(order))), size)
+    data, offsets = B.buffers(B.text_array(block.column("text")).take(pa.array(order)))
+    out = Block(keys[order], data, offsets, size)
+    out.own = digests(data, offsets)
+    return out
+
+
+def digests(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64 gives for each text: with the key it says which row spans belong to."""
+    raw = memoryview(np.ascontiguousarray(data))
+    return np.array([xxhash.xxh64_intdigest(raw[a:z], SEED) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.uint64).view(np.int64)
 
 
 def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -171,7 +183,7 @@ def packed(df: DataFrame, size: int, buckets: int, hot: np.ndarray, key: str, te
             again = repeats(b.windows(), b.code, b.at, size, lambda i, j: (b.keys[b.doc[i]] < b.keys[b.doc[j]]) | ((b.doc[i] == b.doc[j]) & (b.at[i] < b.at[j])))  # noqa: B023
             if len(again):
                 d, lo, hi = intervals(b.doc[again], start[again], size)
-                blob = np.concatenate([b.keys[d], lo, hi]).tobytes()
+                blob = np.concatenate([b.keys[d], b.own[d], lo, hi]).tobytes()
                 rows.append((len(d) * 0x9E3779B1 % buckets, 1, len(d), len(blob), codec.compress(blob).to_pybytes()))
             travels = np.ones(len(b.at), bool)
             travels[again] = False
@@ -192,7 +204,7 @@ def packed(df: DataFrame, size: int, buckets: int, hot: np.ndarray, key: str, te
                 x, z = frm[at[head]], to[at[head] + n + size - 2]
                 edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
                 for i, j in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
-                    meta = np.concatenate([b.keys[doc[head[i:j]]], start[head[i:j]], n[i:j], z[i:j] - x[i:j]]).astype(np.int64).tobytes()
+                    meta = np.concatenate([b.keys[doc[head[i:j]]], b.own[doc[head[i:j]]], start[head[i:j]], n[i:j], z[i:j] - x[i:j]]).astype(np.int64).tobytes()
                     blob = meta + spaced[B.ragged(x[i:j], z[i:j] - x[i:j])].tobytes()
                     rows.append((int(bucket[i]), 0, int(j - i), len(blob), codec.compress(blob).to_pybytes()))
             for k in range(0, len(rows), 256):
@@ -202,41 +214,50 @@ def packed(df: DataFrame, size: int, buckets: int, hot: np.ndarray, key: str, te
     return _rows(df, key, text).mapInArrow(run, "bucket long, kind int, n long, raw long, blob binary")
 
 
-def _bucket(size: int):
+def _bucket(size: int, rows: bool = False):
+    """Of a bucket: key, lo, hi of the words that go; with rows also own, the text's hash, which tells rows of one key apart."""
+
     def run(table: pa.Table) -> pa.Table:
         codec = pa.Codec("zstd")
         found: dict[str, list] = defaultdict(list)
         for row in table.select(["kind", "n", "raw", "blob"]).to_pylist():
             raw = codec.decompress(row["blob"], row["raw"]).to_pybytes()
             if row["kind"]:
-                found["known"].append(np.frombuffer(raw, np.int64).reshape(3, -1))
+                found["known"].append(np.frombuffer(raw, np.int64).reshape(4, -1))
             else:
-                found["meta"].append(np.frombuffer(raw, np.int64, 4 * row["n"]).reshape(4, -1))
-                found["text"].append(np.frombuffer(raw, np.uint8, offset=32 * row["n"]))
+                found["meta"].append(np.frombuffer(raw, np.int64, 5 * row["n"]).reshape(5, -1))
+                found["text"].append(np.frombuffer(raw, np.uint8, offset=40 * row["n"]))
         parts = [tuple(np.concatenate(found["known"], 1))] if found["known"] else []
         if found["meta"]:
-            key, start, n, length = np.concatenate(found["meta"], 1)
+            key, own, start, n, length = np.concatenate(found["meta"], 1)
             offsets = np.concatenate([[0], np.cumsum(length)])
             b = Block(key, np.concatenate(found["text"]), offsets, size)
             at = b.at
-            key, start = key[b.doc], start[b.doc] + at - b.first[b.doc]
+            key, own, start = key[b.doc], own[b.doc], start[b.doc] + at - b.first[b.doc]
             order = np.lexsort((start, key))
-            at, key, start = at[order], key[order], start[order]
+            at, key, own, start = at[order], key[order], own[order], start[order]
             again = repeats(b.windows()[order], b.code, at, size, lambda i, j: (key[i] < key[j]) | ((key[i] == key[j]) & (start[i] < start[j])))
-            parts.append(intervals(key[again], start[again], size))
-        key, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
-        return pa.table({"key": pa.array(key, pa.int64()), "lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64())})
+            for_row = np.lexsort((own[again], key[again]))
+            again = again[for_row]
+            new = np.ones(len(again), bool)
+            new[1:] = (key[again][1:] != key[again][:-1]) | (own[again][1:] != own[again][:-1])
+            head = again[new]
+            row, lo, hi = intervals(np.cumsum(new) - 1, start[again], size)
+            parts.append((key[head][row], own[head][row], lo, hi))
+        key, own, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
+        out = {"key": pa.array(key, pa.int64()), "own": pa.array(own, pa.int64()), "lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64())}
+        return pa.table(out if rows else {c: x for c, x in out.items() if c != "own"})
 
     return run
 
 
 def removals(df: DataFrame, size: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key (null: the smallest long), spans: the words (from, to) that go, in any order, overlapping."""
+    """key (null: the smallest long), own (the text's hash), spans: the words (from, to) that go, in any order, overlapping."""
     spark = df.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 64, input_bytes(df) // BUCKET_BYTES)
     hot = frequent(df, size, key, text)
-    found = packed(df, size, buckets, hot, key, text).groupBy("bucket").applyInArrow(_bucket(size), "key long, lo long, hi long")
-    return materialise(found.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "removals")  # spans of one document
+    found = packed(df, size, buckets, hot, key, text).groupBy("bucket").applyInArrow(_bucket(size, rows=True), "key long, own long, lo long, hi long")
+    return materialise(found.groupBy("key", "own").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "removals")  # spans of one text
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,6 +268,8 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = pc.list_flatten(spans)
         edge = np.zeros(len(starts) + 1, np.int64)
         if len(own):
+            if (flat.field("hi").to_numpy() > np.diff(first)[own]).any():
+                raise ValueError("spans go beyond the words of their text")
             np.add.at(edge, first[own] + flat.field("lo").to_numpy(), 1)
             np.add.at(edge, first[own] + flat.field("hi").to_numpy(), -1)
         stays = np.cumsum(edge[:-1]) == 0
@@ -270,6 +293,6 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(df: DataFrame, size: int = 20, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """For each row: row (a struct of key, or of the columns to carry), n_words, n_removed, kept (the words that stay, joined by one space)."""
     gone = removals(df, size, key, text)
-    out = df.select(F.struct(*[F.col(f"`{c}`") for c in carry or [key]]).alias("row"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LOW)).alias("key"), F.col(f"`{text}`").alias("text"))
+    out = df.select(F.struct(*[F.col(f"`{c}`") for c in carry or [key]]).alias("row"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LOW)).alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("own"), F.col(f"`{text}`").alias("text"))
     schema = T.StructType([out.schema["row"], *T.StructType.fromDDL("n_words long, n_removed long, kept string")])
-    return out.join(gone, "key", "left").select("row", "text", "spans").mapInArrow(_kept, schema)
+    return out.join(gone, ["key", "own"], "left").select("row", "text", "spans").mapInArrow(_kept, schema)
