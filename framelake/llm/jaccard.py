@@ -22,7 +22,8 @@ another dealing, and so on until it has not. As equal parts are small in both no
 the first of two nodes stops has a part to share that both name.
 
 Defined cases: a null text or one without words has no set, links with nothing and is its own component; fewer words
-than n make one shingle of all of them; rows that repeat a key are nodes' rows of their own; a null key is never the
+than n make one shingle of all of them; rows that repeat a key are nodes' rows of their own (a node's text is found by key
+and a hash of the text, and its set is checked); a null key is never the
 name of a component unless all its rows' keys are null; texts are taken whole; an empty table gives an empty result;
 other columns aren't read.
 """
@@ -107,6 +108,14 @@ def token_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarra
     return np.concatenate(out) if out else np.zeros(0, np.uint64), count
 
 
+def node_hashes(tokens: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set: its node, and the twin that tells sets of one node apart."""
+    at = np.concatenate([[0], np.cumsum(count)])
+    raw = memoryview(np.ascontiguousarray(tokens)).cast("B")
+    whole = [xxhash.xxh3_128_intdigest(raw[8 * a : 8 * z]) for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return np.array([x & (1 << 64) - 1 for x in whole], np.uint64).view(np.int64), np.array([x >> 64 for x in whole], np.uint64).view(np.int64)
+
+
 def names(tokens: np.ndarray, count: np.ndarray, num: int, den: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The parts that nodes name: which node, and the part's name. tokens: sorted in each node; common: those that name none, sorted."""
     band = np.searchsorted(bands(num, den), count)
@@ -184,17 +193,14 @@ def common_tokens(df: DataFrame, n: int, text: str) -> np.ndarray:
 
 
 def nodes_of(df: DataFrame, n: int, num: int, den: int, key: str, text: str) -> DataFrame:
-    """key, node (null without words), size, twin (another hash of the set), parts (null where the same block has named them)."""
+    """key, own (the text's hash), node (null without words), size, twin (another hash of the set), parts (null where the same block has named them)."""
     common = common_tokens(df, n, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in B.gathered(batches, "text", B.BLOCK_BYTES):
             tokens, count = token_sets(*B.buffers(block.column("text")), n)
             at = np.concatenate([[0], np.cumsum(count)])
-            raw = memoryview(np.ascontiguousarray(tokens)).cast("B")
-            whole = [xxhash.xxh3_128_intdigest(raw[8 * a : 8 * z]) for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            node = np.array([x & (1 << 64) - 1 for x in whole], np.uint64).view(np.int64)
-            twin = np.array([x >> 64 for x in whole], np.uint64).view(np.int64)
+            node, twin = node_hashes(tokens, count)
             _, once = np.unique(node, return_index=True)
             once = once[count[once] > 0]
             which, name = names(tokens[B.ragged(at[once], count[once])], count[once], num, den, common)
@@ -208,10 +214,10 @@ def nodes_of(df: DataFrame, n: int, num: int, den: int, key: str, text: str) ->
             rows = np.flatnonzero(full)
             flat = name[order][B.ragged(ends[:-1][rank[rows]], full[rows])]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full)]).astype(np.int32)), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([block.column("key"), pa.array(node, mask=count == 0), pa.array(count), pa.array(twin), lists], ["key", "node", "size", "twin", "parts"])
+            yield pa.RecordBatch.from_arrays([block.column("key"), block.column("own"), pa.array(node, mask=count == 0), pa.array(count), pa.array(twin), lists], ["key", "own", "node", "size", "twin", "parts"])
 
-    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, node long, size long, twin long, parts array<long>")
+    rows = df.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("own"), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, own long, node long, size long, twin long, parts array<long>")
 
 
 def linked(sets: list[np.ndarray], member: np.ndarray, query: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -281,9 +287,12 @@ def _cell(n: int, num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         tokens, count = token_sets(*B.buffers(table["text"].combine_chunks() if table["text"].num_chunks != 1 else table["text"].chunk(0)), n)
-        at = np.cumsum(count)[:-1]
-        found = linked(np.split(tokens, at), table["member"].to_numpy(), table["query"].to_numpy(), num, den)
         node = table["node"].to_numpy()
+        own = np.flatnonzero(node_hashes(tokens, count)[0] == node)  # a text of the node, and of equal ones the first
+        own = own[np.sort(np.unique(node[own], return_index=True)[1])]
+        sets = np.split(tokens, np.cumsum(count)[:-1])
+        found = linked([sets[i] for i in own], table["member"].to_numpy()[own], table["query"].to_numpy()[own], num, den) if len(own) else []
+        node = node[own]
         a, b = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
         return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64())})
 
@@ -300,11 +309,11 @@ def links(df: DataFrame, nodes: DataFrame, n: int, num: int, den: int, key: str,
     blocks = family.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("n"))
     own = family.join(blocks, "g").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     cells = own.select("node", "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") >= F.col("other")).alias("member"), (F.col("own") <= F.col("other")).alias("query"))
-    first = nodes.where("node is not null").groupBy("node").agg(F.min_by("key", F.coalesce("key", F.lit(1 << 62))).alias("key"))
+    first = nodes.where("node is not null").groupBy("node").agg(F.min_by(F.struct("key", "own"), F.struct(F.coalesce("key", F.lit(1 << 62)), "own")).alias("row")).select("node", "row.key", F.col("row.own").alias("text_hash"))
     cells = materialise(cells.join(first, "node"), "cells")
-    texts = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    texts = df.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text"))
     # by a merge at every size: where the cells are few enough to be sent to all tasks, texts would not move, and figures not compare
-    filled = cells.hint("merge").join(texts, cells["key"].eqNullSafe(texts["key"])).select("g", "i", "j", "node", "member", "query", "text")
+    filled = cells.hint("merge").join(texts, cells["key"].eqNullSafe(texts["key"]) & (cells["text_hash"] == texts["text_hash"])).select("g", "i", "j", "node", "member", "query", "text")
     return filled.groupBy("g", "i", "j").applyInArrow(_cell(n, num, den), "a long, b long")
 
 
