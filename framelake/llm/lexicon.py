@@ -30,12 +30,10 @@ from .scratch import materialise, new_path, write_bytes
 
 #: Words in the automaton.
 WORDS = 1 << 15
-#: A block reports a word from so many times on: a word's count misses at most LEAST - 1 for each block.
-LEAST = 4
 
 
 def counts(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """word, n: pieces of all texts, as often as blocks report them."""
+    """word, n: pieces of all texts (longer ones than LONG are never looked up), and how often they occur."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.load(tokenizer)
@@ -44,7 +42,7 @@ def counts(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
             packed = data if coder.spaced else data[B.ragged(starts, ends - starts)]
             which, words = B.codes(packed, ends - starts)
             n = np.bincount(which, minlength=len(words))
-            keep = np.flatnonzero((n >= LEAST) & (np.diff(B.buffers(words)[1]) <= bpe.LONG))
+            keep = np.flatnonzero(np.diff(B.buffers(words)[1]) <= bpe.LONG)
             yield pa.RecordBatch.from_arrays([words.take(pa.array(keep)).cast(pa.binary()), pa.array(n[keep])], ["word", "n"])
 
     return df.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
