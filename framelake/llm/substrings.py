@@ -3,12 +3,15 @@
 A window is `size` consecutive words of one document. Of equal windows the earliest (smallest key, then earliest start)
 stays; words that any later one covers are removed. Windows are judged on the input, not on what is left.
 
-Each window has a minimiser: the least hash of its grams of GRAM words, grams that are found in a large share of the
-corpus (HOT) ranking last. Consecutive windows with the same minimiser travel to its bucket as one packed string, and
-equal windows therefore meet. There, sorting counts them exactly: hashes bring equal windows together, and their words
-are compared. Before they leave, the windows of a block of texts are compared with each other in the same way, and only
-a block's earliest travels; so a passage that a third of all rows repeat is sent once for each block, not once for each
-row, and no bucket grows with the number of copies.
+Each window has a minimiser: the least hash of its grams of GRAM words. Consecutive windows with the same minimiser travel
+to its bucket as one packed string, and equal windows therefore meet. There, sorting counts them exactly: hashes bring
+equal windows together, and their words are compared. Before they leave, the windows of a block of texts are compared
+with each other in the same way, and only a block's earliest travels; so a passage that a third of all rows repeat is
+sent once for each block, not once for each row, and no bucket grows with the number of copies.
+
+A first pass counts the exact bytes that each bucket would get from all texts. Grams of buckets beyond LARGE rank last,
+so their windows go where another gram leads; windows that hold no others go by the hash of the whole window, spread
+over all buckets. So no bucket grows with a gram's share of the corpus. What tasks get of this is a bit for each bucket.
 
 Defined cases: a null or empty text has no words; a text of fewer words than a window loses none; rows that repeat a key
 count as one document in this order, so neither of two equal windows at the same start is earlier, and both stay, but each
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +34,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks as B
-from .scratch import input_bytes, materialise
+from .scratch import materialise
 
 #: Words in a gram.
-GRAM = 3
-#: Grams that are the minimiser of this share of all super-k-mers rank last. At most 1 / HOT * 2 grams can be.
-HOT = 0.0005
-#: Bytes of input for a bucket.
-BUCKET_BYTES = 4 << 20
+GRAM = 5
+#: Bytes of text for a bucket; super-k-mers overlap, so that a bucket holds some three times as much.
+BUCKET_BYTES = 1 << 20
+#: Bytes of super-k-mers from which on a bucket's grams rank last.
+LARGE = 8 << 20
+#: Bytes of text whose windows are compared before they travel.
+BLOCK = 2 << 20
+#: Bytes from which on a packed string is compressed by itself.
+WORTH = 512
 LOW = -(1 << 63)
 #: Seed of Spark's xxhash64.
 SEED = 42
@@ -65,22 +73,41 @@ class Block:
         self.at = np.flatnonzero(self.valid)
         self.doc = np.searchsorted(self.first, self.at, "right") - 1
 
+    @cached_property
+    def hashed(self) -> np.ndarray:
+        """Hash of each word."""
+        return B.hashes(self.distinct)[self.code]
+
     def windows(self) -> np.ndarray:
-        """Hash of each window in self.at, for comparisons inside the block."""
+        """Hash of the words of each window in self.at."""
         n = len(self.code)
-        own = B.mix(np.arange(1, len(self.distinct) + 1, dtype=np.uint64))[self.code]
         power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, STEP, np.uint64)]))
+        total = np.concatenate([[np.uint64(0)], np.cumsum(self.hashed * power[:n])])
         back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(pow(int(STEP), -1, 1 << 64)), np.uint64)]))
-        total = np.concatenate([[np.uint64(0)], np.cumsum(own * power[:n])])
         return B.mix((total[self.at + self.size] - total[self.at]) * back[self.at])
 
-    def minimisers(self, hot: np.ndarray) -> np.ndarray:
-        """The minimiser of each window in self.at."""
-        g = B.grams(B.hashes(self.distinct)[self.code], GRAM) & ~TOP
-        if len(hot) and len(g):
-            k = np.minimum(np.searchsorted(hot, g), len(hot) - 1)
-            g = np.where(hot[k] == g, g | TOP, g)
-        return least(g, self.size - GRAM + 1)[self.at] if len(self.at) else g[:0]
+    def minimisers(self, buckets: int, large: np.ndarray | None = None, whole: np.ndarray | None = None) -> np.ndarray:
+        """The minimiser of each window in self.at. large: marks buckets whose grams rank last; whole: what stands for windows that hold no others."""
+        if not len(self.at):
+            return np.zeros(0, np.uint64)
+        n = min(GRAM, self.size)
+        g = B.grams(self.hashed, n) & ~TOP
+        if large is not None and large.any():
+            g |= large[bucket_of(g, buckets)].astype(np.uint64) << np.uint64(63)
+        out = least(g, self.size - n + 1)[self.at]
+        return out if whole is None else np.where(out >= TOP, whole | TOP, out)
+
+
+def bucket_of(minimiser: np.ndarray, buckets: int) -> np.ndarray:
+    return (B.mix(minimiser) % np.uint64(buckets)).astype(np.int64)
+
+
+def runs(minimiser: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Super-k-mers: the first window of each, and how many it has."""
+    new = np.ones(len(at), bool)
+    new[1:] = (minimiser[1:] != minimiser[:-1]) | (at[1:] != at[:-1] + 1)
+    head = np.flatnonzero(new)
+    return head, np.diff(np.append(head, len(at)))
 
 
 def least(x: np.ndarray, width: int) -> np.ndarray:
@@ -149,71 +176,85 @@ def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LOW)).alias("key"), F.col(f"`{text}`").alias("text"))
 
 
-def frequent(df: DataFrame, size: int, key: str = "doc_id", text: str = "text") -> np.ndarray:
-    """Grams that are the minimiser of a share HOT of all runs, found over all texts: each block reports those with half that share of its own."""
+def large_buckets(df: DataFrame, size: int, buckets: int, key: str = "doc_id", text: str = "text") -> np.ndarray:
+    """Marks the buckets that would get over LARGE bytes of super-k-mers: exact sums over all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in B.gathered(batches, "text", B.BLOCK_BYTES):
-            b = _sorted_block(block, size)
-            m = b.minimisers(np.zeros(0, np.uint64))
+        for block in B.gathered(batches, "text", BLOCK):
+            data, offsets = B.buffers(block.column("text"))
+            b = Block(np.zeros(len(offsets) - 1, np.int64), data, offsets, size)
+            m = b.minimisers(buckets)
             if len(m):
-                new = np.ones(len(m), bool)
-                new[1:] = (m[1:] != m[:-1]) | (b.at[1:] != b.at[:-1] + 1)
-                gram, n = np.unique(m[new], return_counts=True)
-                keep = n >= max(4, HOT / 2 * n.sum())
-                gram, n = np.append(gram[keep], TOP), np.append(n[keep], n.sum())  # TOP: all of them
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], ["gram", "n"])
-
-    sums = _rows(df, key, text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    total = next((r.n for r in sums.where(F.col("gram") == LOW).collect()), 0)
-    return np.sort(np.array([r.gram for r in sums.where((F.col("gram") != LOW) & (F.col("n") >= max(8, HOT / 2 * total))).collect()], np.int64)).view(np.uint64)
+                head, n = runs(m, b.at)
+                to = np.cumsum(b.length + 1)
+                first = b.at[head]
+                bucket, which = np.unique(bucket_of(m[head], buckets), return_inverse=True)
+                sums = np.bincount(which, to[first + n + size - 2] - to[first] + b.length[first] + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(sums.astype(np.int64))], ["bucket", "bytes"])
+
+    sums = _rows(df, key, text).mapInArrow(count, "bucket long, bytes long").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
+    out = np.zeros(buckets, bool)
+    out[[r.bucket for r in sums.where(F.col("bytes") > LARGE).select("bucket").collect()]] = True  # at most as many as LARGE goes into all super-k-mers
+    return out
 
 
-def packed(df: DataFrame, size: int, buckets: int, hot: np.ndarray, key: str, text: str) -> DataFrame:
-    """bucket, kind, blob: super-k-mers of a block for a bucket (kind 0), or intervals known in a block (kind 1)."""
+def packed(df: DataFrame, size: int, buckets: int, large: np.ndarray, key: str, text: str) -> DataFrame:
+    """bucket, kind, n, raw, blob: super-k-mers of a block for a bucket (kind 0), or intervals known in a block (kind 1). raw: bytes of what blob holds, compressed if it is shorter."""
+    marked = np.packbits(large)  # a bit for each BUCKET_BYTES of text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd", compression_level=1)
-        for block in B.gathered(batches, "text", B.BLOCK_BYTES):
-            b = _sorted_block(block, size)
-            if not len(b.at):
-                continue
+        large = np.unpackbits(marked, count=buckets).astype(bool)
+        for block in B.gathered(batches, "text", BLOCK):
             rows = []
-            start = b.at - b.first[b.doc]
-            again = repeats(b.windows(), b.code, b.at, size, lambda i, j: (b.keys[b.doc[i]] < b.keys[b.doc[j]]) | ((b.doc[i] == b.doc[j]) & (b.at[i] < b.at[j])))  # noqa: B023
-            if len(again):
-                d, lo, hi = intervals(b.doc[again], start[again], size)
-                blob = np.concatenate([b.keys[d], b.own[d], lo, hi]).tobytes()
-                rows.append((len(d) * 0x9E3779B1 % buckets, 1, len(d), len(blob), codec.compress(blob).to_pybytes()))
-            travels = np.ones(len(b.at), bool)
-            travels[again] = False
-            m, at, doc, start = b.minimisers(hot)[travels], b.at[travels], b.doc[travels], start[travels]
-            if len(m):
-                new = np.ones(len(m), bool)
-                new[1:] = (m[1:] != m[:-1]) | (at[1:] != at[:-1] + 1)
-                head = np.flatnonzero(new)
-                n = np.diff(np.append(head, len(m)))
-                bucket = (B.mix(m[head]) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                head, n, bucket = head[order], n[order], bucket[order]
-                # all words with one space after each
-                to = np.cumsum(b.length + 1)
-                spaced = np.full(int(to[-1]), 32, np.uint8)
-                spaced[B.ragged(to - b.length - 1, b.length)] = b.packed
-                frm = to - b.length - 1
-                x, z = frm[at[head]], to[at[head] + n + size - 2]
-                edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-                for i, j in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
-                    meta = np.concatenate([b.keys[doc[head[i:j]]], b.own[doc[head[i:j]]], start[head[i:j]], n[i:j], z[i:j] - x[i:j]]).astype(np.int64).tobytes()
-                    blob = meta + spaced[B.ragged(x[i:j], z[i:j] - x[i:j])].tobytes()
-                    rows.append((int(bucket[i]), 0, int(j - i), len(blob), codec.compress(blob).to_pybytes()))
-            for k in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 256], strict=True), kinds, strict=True)], names)
+            for row in _super_kmers(_sorted_block(block, size), size, buckets, large):
+                rows.append(row)
+                if len(rows) == 256:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     names, kinds = ["bucket", "kind", "n", "raw", "blob"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
     return _rows(df, key, text).mapInArrow(run, "bucket long, kind int, n long, raw long, blob binary")
 
 
+def _blob(data: bytes) -> tuple[int, bytes]:
+    short = pa.Codec("zstd", compression_level=1).compress(data).to_pybytes() if len(data) >= WORTH else data
+    return len(data), short if len(short) < len(data) else data
+
+
+def _super_kmers(b: Block, size: int, buckets: int, large: np.ndarray) -> Iterator[tuple]:
+    if not len(b.at):
+        return
+    whole, start = b.windows(), b.at - b.first[b.doc]
+    again = repeats(whole, b.code, b.at, size, lambda i, j: (b.keys[b.doc[i]] < b.keys[b.doc[j]]) | ((b.doc[i] == b.doc[j]) & (b.at[i] < b.at[j])))
+    if len(again):
+        d, lo, hi = intervals(b.doc[again], start[again], size)
+        yield int(b.own[d[0]]) % buckets, 1, len(d), *_blob(np.concatenate([b.keys[d], b.own[d], lo, hi]).tobytes())
+    travels = np.ones(len(b.at), bool)
+    travels[again] = False
+    m, at, doc, start = b.minimisers(buckets, large, whole)[travels], b.at[travels], b.doc[travels], start[travels]
+    del whole, again, travels
+    if not len(m):
+        return
+    head, n = runs(m, at)
+    bucket = bucket_of(m[head], buckets)
+    order = np.argsort(bucket, kind="stable")
+    head, n, bucket = head[order], n[order], bucket[order]
+    del m
+    # all words with one space after each
+    to = np.cumsum(b.length + 1)
+    frm = to - b.length - 1
+    spaced = np.full(int(to[-1]), 32, np.uint8)
+    spaced[B.ragged(frm, b.length)] = b.packed
+    x, z = frm[at[head]], to[at[head] + n + size - 2]
+    key, own, start = b.keys[doc[head]], b.own[doc[head]], start[head]
+    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    for i, j in zip(edges.tolist(), np.append(edges[1:], len(bucket)).tolist(), strict=True):
+        meta = np.concatenate([key[i:j], own[i:j], start[i:j], n[i:j], z[i:j] - x[i:j]]).tobytes()
+        yield int(bucket[i]), 0, j - i, *_blob(meta + spaced[B.ragged(x[i:j], z[i:j] - x[i:j])].tobytes())
+
+
 def _bucket(size: int, rows: bool = False):
     """Of a bucket: key, lo, hi of the words that go; with rows also own, the text's hash, which tells rows of one key apart."""
 
@@ -221,7 +262,7 @@ def _bucket(size: int, rows: bool = False):
         codec = pa.Codec("zstd")
         found: dict[str, list] = defaultdict(list)
         for row in table.select(["kind", "n", "raw", "blob"]).to_pylist():
-            raw = codec.decompress(row["blob"], row["raw"]).to_pybytes()
+            raw = codec.decompress(row["blob"], row["raw"]).to_pybytes() if len(row["blob"]) < row["raw"] else row["blob"]
             if row["kind"]:
                 found["known"].append(np.frombuffer(raw, np.int64).reshape(4, -1))
             else:
@@ -254,14 +295,15 @@ def _bucket(size: int, rows: bool = False):
 def removals(df: DataFrame, size: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key (null: the smallest long), own (the text's hash), spans: the words (from, to) that go, in any order, overlapping."""
     spark = df.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 64, input_bytes(df) // BUCKET_BYTES)
-    hot = frequent(df, size, key, text)
-    found = packed(df, size, buckets, hot, key, text).groupBy("bucket").applyInArrow(_bucket(size, rows=True), "key long, own long, lo long, hi long")
+    total = df.agg(F.sum(F.octet_length(f"`{text}`"))).first()[0] or 0  # not the size of its files, which are compressed
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 64, total // BUCKET_BYTES)
+    large = large_buckets(df, size, buckets, key, text)
+    found = packed(df, size, buckets, large, key, text).groupBy("bucket").applyInArrow(_bucket(size, rows=True), "key long, own long, lo long, hi long")
     return materialise(found.groupBy("key", "own").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "removals")  # spans of one text
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in B.blocks(batches, "text"):
+    for block in B.blocks(batches, "text", BLOCK):
         starts, ends, packed_, first = B.words(*B.buffers(block.column("text")))
         spans = block.column("spans")
         own = pc.list_parent_indices(spans).to_numpy()
