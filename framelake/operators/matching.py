@@ -33,7 +33,8 @@ def by_frame(df: DataFrame, keys: list[str], order: list[str], out: dict[str, st
             columns = {c: rows[c].to_numpy() for c in rows.columns}
             n = len(rows)
             new = np.ones(n, bool)
-            new[1:] = np.any([columns[k][1:] != columns[k][:-1] for k in keys], 0)
+            # two nulls are one key
+            new[1:] = np.any([(columns[k][1:] != columns[k][:-1]) & ~(pd.isna(columns[k][1:]) & pd.isna(columns[k][:-1])) for k in keys], 0)
             heads = np.flatnonzero(new)
             ends = np.append(heads[1:], n)
             last = len(heads) if batch is None else len(heads) - 1
@@ -149,6 +150,26 @@ def match(boxes: DataFrame, keys: list[str], least: float, how: str = "greedy")
     return by_frame(boxes.select(*keys, "pos", "is_truth", "score", *BOX), keys, ["pos"], {"truth_pos": "long", "pos": "long", "iou": "double"}, one)
 
 
+def outcomes(boxes: DataFrame, keys: list[str], least: float, carry: list[str] = ()) -> DataFrame:
+    """A row for each box: keys, is_truth, score (missing: 1.0), taken (the score of the box found that is in its match, null if it is in none), and columns to carry.
+
+    Boxes are matched greedily, best score first, so what a lower score threshold adds comes later and changes no earlier match: the matches at
+    any threshold are those with at least that score.
+    """
+    kinds = dict(boxes.dtypes)
+
+    def one(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        is_truth, box = rows["is_truth"].astype(bool), corners(rows)
+        score, taken = np.nan_to_num(rows["score"].astype(float), nan=1.0), np.full(len(box), np.nan)
+        t, f = np.flatnonzero(is_truth), np.flatnonzero(~is_truth)
+        for i, j, _ in greedy(box[t], box[f], score[f], least):
+            taken[[t[i], f[j]]] = score[f[j]]
+        return {"is_truth": is_truth, "score": score, "taken": taken} | {c: rows[c] for c in carry}
+
+    out = by_frame(boxes.select(*keys, "pos", "is_truth", "score", *BOX, *carry), keys, ["pos"], {"is_truth": "boolean", "score": "double", "taken": "double"} | {c: kinds[c] for c in carry}, one)
+    return out.withColumn("taken", F.nanvl("taken", F.lit(None).cast("double")))
+
+
 def containment(boxes: DataFrame, keys: list[str], track: str, part: float, ratio: float) -> DataFrame:
     """track, n, frac, container: in which share of its frames a track's box lies by `part` of its area in one at least `ratio` times as large, and most often whose (the smaller id of equals; of several in a frame the largest box, the first of equals)."""
     cols = [*keys, track, "pos", *BOX]

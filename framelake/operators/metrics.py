@@ -13,22 +13,24 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def binned_recall(boxes: DataFrame, matches: DataFrame, keys: list[str], by: list[str] = ()) -> DataFrame:
-    """by, bin, gt, hits, pred, tp, recall, precision by size of truth; bin -1 has the totals. Truths of no bin count nowhere, boxes found only in totals."""
-    by = list(by)
-    truth = boxes.where("is_truth").select(*by, *[k for k in keys if k not in by], "pos", bx.size_bin(bx.side_min()).alias("bin")).where("bin is not null")
-    hit = matches.select(*keys, F.col("truth_pos").alias("pos"), F.lit(1).alias("hit"))
-    bins = truth.join(hit, [*keys, "pos"], "left").groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("gt"), F.count("hit").alias("hits"))
-    found = boxes.where(~F.col("is_truth")).groupBy(*by).agg(F.count(F.lit(1)).alias("pred"))
-    taken = matches.groupBy(*by).agg(F.count(F.lit(1)).alias("tp"))
-    sums = bins.groupBy(*by).agg(F.sum("gt").alias("gt"), F.sum("hits").alias("hits"))
-    for t in (found, taken):
-        sums = sums.join(t, by, "left") if by else sums.join(F.broadcast(t), how="left")  # one row
-    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    totals = sums.select(*by, F.lit(-1).alias("bin"), "gt", "hits", n("pred"), n("tp"))
-    none = F.lit(None).cast("long")
-    rows = bins.select(*by, "bin", "gt", "hits", none.alias("pred"), none.alias("tp")).union(totals)
-    return rows.withColumns({"recall": ratio(F.col("hits"), F.col("gt")), "precision": F.when(F.col("bin") == -1, ratio(F.col("tp"), F.col("pred")))})
+def binned_recall(outcomes: DataFrame, thresholds: list[float]) -> DataFrame:
+    """threshold, bin, gt, hits, pred, tp, recall, precision by size of truth, at each score threshold; bin -1 has the totals. Truths of no bin count nowhere, boxes found only in totals.
+
+    outcomes: a row for each box (from matching.outcomes) with its bin. All thresholds and totals come from one pass: sums by threshold and bin, which then go to their totals too.
+    """
+    c, at = F.col, F.col("threshold")
+    rows = outcomes.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).where(c("is_truth") | (c("score") >= at))
+    counted = c("is_truth") & c("bin").isNotNull()
+    hit = F.coalesce(c("taken") >= at, F.lit(False))
+    sums = rows.groupBy("threshold", F.when(counted, c("bin")).alias("own")).agg(
+        F.count_if(counted).alias("gt"), F.count_if(counted & hit).alias("hits"), F.count_if(~c("is_truth")).alias("pred"), F.count_if(~c("is_truth") & hit).alias("tp")
+    )
+    both = sums.withColumn("bin", F.explode(F.array(c("own"), F.lit(-1)))).where("bin is not null")
+    total = lambda x: F.when(c("bin") == -1, F.sum(x)).alias(x)
+    out = both.groupBy("threshold", "bin").agg(F.sum("gt").alias("gt"), F.sum("hits").alias("hits"), total("pred"), total("tp"))
+    # a threshold without a truth of any bin has no rows, as nothing can be said of recall
+    seen = out.withColumn("__some", F.sum(F.when(c("bin") == -1, c("gt"))).over(Window.partitionBy("threshold"))).where("__some > 0").drop("__some")
+    return seen.withColumns({"recall": ratio(c("hits"), c("gt")), "precision": F.when(c("bin") == -1, ratio(c("tp"), c("pred")))})
 
 
 def track_quality(members: DataFrame, truths: Column | int, least: int = 1) -> DataFrame:

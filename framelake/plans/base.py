@@ -54,3 +54,11 @@ RUNS = """runs AS (
   FROM (SELECT d.doc_id AS item, lang, source, CAST(n_chars % 200 AS DOUBLE) AS side, quality AS truth,
                [((d.doc_id * 7 + n_chars) % 97) / 97.0::DOUBLE, ((d.doc_id * 13 + n_chars) % 97) / 97.0::DOUBLE, ((d.doc_id * 29 + n_chars) % 97) / 97.0::DOUBLE, ((d.doc_id * 31 + n_chars) % 97) / 97.0::DOUBLE] AS probs
         FROM documents d JOIN labels l ON d.doc_id = l.doc_id))"""
+
+
+def lattice_sql(keys: list[str], seed: int = 0) -> str:
+    """sampling.lattice in SQL."""
+    h = f"CAST({seed + 1} AS BIGINT)"
+    for k in keys:
+        h = f"(({h} * 48271 + CAST({k} AS BIGINT) * 69621 + 1) % 2147483647)"
+    return f"(({h} * 48271 % 2147483647 * 69621 % 2147483647) / 2147483647.0::DOUBLE)"

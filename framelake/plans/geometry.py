@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes as bx
 from ..operators import sampling, tiles
 from ..registry import query
-from .base import BOXES, boxes, table
+from .base import BOXES, boxes, lattice_sql, table
 
 SPREAD = "CASE WHEN {n} <= 64 THEN [0] ELSE list_concat(range(0, {n} - 64, 48), [{n} - 64]) END"
 
@@ -58,18 +58,28 @@ def g5(spark, sf_dir):
     return out.withColumns({k: F.round(k, 6) for k in ("cx", "cy", "w", "h")})
 
 
-@query("g6_empty_tiles")
+@query(
+    "g6_empty_tiles",
+    f"""WITH {TILED}, g AS (SELECT frame, unnest({SPREAD.format(n='256')}) AS tx FROM (SELECT DISTINCT frame FROM boxes)), h AS (SELECT frame, CAST(tx AS BIGINT) AS tx, CAST(unnest({SPREAD.format(n='224')}) AS BIGINT) AS ty FROM g)
+SELECT frame, tx, ty FROM h WHERE {lattice_sql(['frame', 'tx', 'ty'])} < 0.2 AND NOT EXISTS (SELECT 1 FROM c WHERE c.frame = h.frame AND c.tx = h.tx AND c.ty = h.ty AND share >= 0.35)""",
+)
 def g6(spark, sf_dir):
     """Empty tiles that a chance of 0.2, drawn from the tile's own key, keeps."""
     b = tiled(spark, sf_dir).where("kept").select("frame", "tx", "ty").distinct()
     grid = boxes(spark, sf_dir).select("frame").distinct().withColumn("tx", F.explode(tiles.spread_starts(256, 64, 0.25))).withColumn("ty", F.explode(tiles.spread_starts(224, 64, 0.25)))
-    return grid.join(b, ["frame", "tx", "ty"], "left_anti").where(sampling.chance(["frame", "tx", "ty"]) < 0.2)
+    return grid.where(sampling.lattice(["frame", "tx", "ty"]) < 0.2).join(b, ["frame", "tx", "ty"], "left_anti")
+
+
+def jittered_sql() -> str:
+    noise = lambda k, side: f"({lattice_sql(['frame', 'pos'], k)} - 0.5) * 0.2 * {side}"
+    cols = ", ".join(f"round({c} + {noise(k, '(x2 - x1)' if c[0] == 'x' else '(y2 - y1)')}, 6) AS {c}" for k, c in enumerate(("x1", "y1", "x2", "y2")))
+    return f"WITH {BOXES} SELECT frame, pos, {cols} FROM boxes WHERE {lattice_sql(['frame', 'pos'], 9)} >= 0.2"
 
 
-@query("g9_jittered_boxes")
+@query("g9_jittered_boxes", jittered_sql())
 def g9(spark, sf_dir):
     """Boxes with noise from a hash of their key, one in five dropped (inputs for tests of robustness)."""
-    noise = lambda seed, side: (sampling.chance(["frame", "pos"], seed) - 0.5) * 0.2 * side
-    b = boxes(spark, sf_dir).where(sampling.chance(["frame", "pos"], 9) >= 0.2)
+    noise = lambda seed, side: (sampling.lattice(["frame", "pos"], seed) - 0.5) * 0.2 * side
+    b = boxes(spark, sf_dir).where(sampling.lattice(["frame", "pos"], 9) >= 0.2)
     w, h = bx.width(), bx.height()
     return b.select("frame", "pos", *[F.round(F.col(c) + noise(k, w if c[0] == "x" else h), 6).alias(c) for k, c in enumerate(("x1", "y1", "x2", "y2"))])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import boxes as bx
 from ..operators import matching, metrics
 from ..registry import query
 from .base import BOXES, boxes, iou_sql, table
@@ -80,6 +81,21 @@ def j5(spark, sf_dir):
     return matching.match(boxes(spark, sf_dir), ["frame"], 0.3, "optimal").withColumn("iou", F.round("iou", 9))
 
 
+@query(
+    "j5_assignment_totals",
+    f"""WITH RECURSIVE {BOXES}, t AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY pos) AS i FROM boxes WHERE is_truth),
+o AS (SELECT a.frame, a.i, b.pos AS f, {IOU} AS iou FROM t a JOIN boxes b ON a.frame = b.frame AND NOT b.is_truth WHERE {IOU} > 0 UNION ALL SELECT frame, i, NULL, 0.0 FROM t),
+m AS (SELECT DISTINCT frame, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(0 AS DOUBLE) AS total FROM boxes
+  UNION ALL SELECT m.frame, o.i, CASE WHEN o.f IS NULL THEN m.used ELSE list_append(m.used, o.f) END, m.total + o.iou FROM m JOIN o ON o.frame = m.frame AND o.i = m.i + 1 WHERE o.f IS NULL OR NOT list_contains(m.used, o.f))
+SELECT frame, round(max(total), 6) AS total FROM m GROUP BY frame""",
+)
+def j5_totals(spark, sf_dir):
+    """The greatest total overlap of each frame's one-to-one pairs, which is the same for all optimal assignments."""
+    b = boxes(spark, sf_dir)
+    total = matching.match(b, ["frame"], 0.0, "optimal").groupBy("frame").agg(F.sum("iou").alias("total"))
+    return b.select("frame").distinct().join(total, "frame", "left").select("frame", F.round(F.coalesce("total", F.lit(0.0)), 6).alias("total"))
+
+
 @query(
     "j7_containment",
     f"""WITH {BOXES}, m AS (
@@ -110,8 +126,12 @@ def j9(spark, sf_dir):
 
 @query("a1_size_binned_recall", f"WITH RECURSIVE {BOXES}, v AS (SELECT * FROM boxes WHERE is_truth OR score >= 0.02), {greedy_sql(0.3, 'v')}{recall_sql('v', 'frame', '')}")
 def a1(spark, sf_dir):
-    b = boxes(spark, sf_dir).where("is_truth or score >= 0.02")
-    out = metrics.binned_recall(b, matching.match(b, ["frame"], 0.3), ["frame"])
+    return recall(spark, sf_dir, [0.02]).drop("threshold")
+
+
+def recall(spark, sf_dir, thresholds):
+    b = boxes(spark, sf_dir).withColumn("bin", bx.size_bin(bx.side_min()))
+    out = metrics.binned_recall(matching.outcomes(b, ["frame"], 0.3, ["bin"]), thresholds)
     return out.withColumns({"recall": F.round("recall", 9), "precision": F.round("precision", 9)})
 
 
@@ -121,11 +141,8 @@ def a1(spark, sf_dir):
 {greedy_sql(0.3, 'v', 'threshold, frame')}{recall_sql('v', 'threshold, frame', 'threshold')}""",
 )
 def a1_sweep(spark, sf_dir):
-    """All thresholds in one job: raw scores are stored once and replayed."""
-    b = boxes(spark, sf_dir).withColumn("threshold", F.explode(F.array(*map(F.lit, (0.0, 0.03, 0.06)))))
-    b = b.where(F.col("is_truth") | (F.col("score") >= F.col("threshold")))
-    out = metrics.binned_recall(b, matching.match(b, ["threshold", "frame"], 0.3), ["threshold", "frame"], ["threshold"])
-    return out.withColumns({"recall": F.round("recall", 9), "precision": F.round("precision", 9)})
+    """All thresholds from one match of each frame."""
+    return recall(spark, sf_dir, [0.0, 0.03, 0.06])
 
 
 OVERLAP = f"""WITH {BOXES}, h AS (SELECT a.frame, a.pos, max(CASE WHEN {IOU} >= 0.3 THEN 1 ELSE 0 END) AS hit FROM boxes a LEFT JOIN boxes b ON a.frame = b.frame AND NOT b.is_truth WHERE a.is_truth GROUP BY ALL)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes as bx
 from ..operators import sampling
 from ..registry import query
-from .base import table
+from .base import lattice_sql, table
 
 BIN = "CASE WHEN p_size >= 32 THEN 32 WHEN p_size >= 16 THEN 16 ELSE 0 END"
 
@@ -47,7 +47,22 @@ def m3(spark, sf_dir):
     return sampling.by_strata(parts(spark, sf_dir), strata, ["p_partkey"], [F.col("p_partkey")]).select("p_partkey", "stratum")
 
 
-@query("m4_diverse_draw")
+SAME = " + ".join(f"{w} * len(list_filter(m.picks, lambda y: y.{c} = x.{c}))" for c, w in (("brand", 2.5), ("bin", 1), ("length", 1), ("price", 1)))
+
+
+@query(
+    "m4_diverse_draw",
+    f"""WITH RECURSIVE p AS (SELECT p_partkey AS k, p_type, p_brand AS brand, {BIN} AS bin, CASE WHEN p_size >= 40 THEN 3 WHEN p_size >= 20 THEN 2 WHEN p_size >= 5 THEN 1 ELSE 0 END AS length,
+  CASE WHEN p_retailprice >= 1500 THEN 3 WHEN p_retailprice >= 1200 THEN 2 WHEN p_retailprice >= 1000 THEN 1 ELSE 0 END AS price, {lattice_sql(['p_partkey'], 4)} AS h FROM part),
+c AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY p_type, brand, bin, length, price ORDER BY h, k) <= 8),
+l AS (SELECT p_type, list({{'h': h, 'k': k, 'brand': brand, 'bin': bin, 'length': length, 'price': price}}) AS near FROM c GROUP BY p_type),
+m AS (SELECT p_type, CAST(0 AS INTEGER) AS n, list_filter(near, lambda x: false) AS picks FROM l
+  UNION ALL SELECT p_type, CAST(n + 1 AS INTEGER), list_append(picks, pick) FROM (
+    SELECT m.p_type, m.n, m.picks, list_sort(list_transform(list_filter(l.near, lambda x: NOT list_contains(m.picks, x)), lambda x: {{'cost': {SAME}, 'x': x}}))[1].x AS pick
+    FROM m JOIN l ON l.p_type = m.p_type WHERE m.n < 8 AND m.n < len(l.near)) t)
+SELECT p_type, picks[n].k AS p_partkey, CAST(n - 1 AS INTEGER) AS draw FROM m WHERE n > 0""",
+)
 def m4(spark, sf_dir):
-    p = parts(spark, sf_dir).withColumn("length", bx.bucket(F.col("p_size"), [5, 20, 40]))
-    return sampling.diverse(p, ["p_type"], 8, "p_brand", ["bin", "length"], ["p_partkey"]).select("p_type", "p_partkey", "draw")
+    price = table(spark, sf_dir, "part").select("p_partkey", bx.bucket(F.col("p_retailprice"), [1000, 1200, 1500]).alias("price"))
+    p = parts(spark, sf_dir).withColumn("length", bx.bucket(F.col("p_size"), [5, 20, 40])).join(price, "p_partkey")
+    return sampling.diverse(p, ["p_type"], 8, "p_brand", ["bin", "length", "price"], ["p_partkey"], sampling.lattice(["p_partkey"], 4)).select("p_type", "p_partkey", "draw")

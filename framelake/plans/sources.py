@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import boxes as bx
 from ..registry import query
 from ..sources import annotations as an
-from ..sources.scratch import named, shared, write_text
+from ..sources.scratch import named, renamed, shared, write_json, write_text
 from ..streaming import ingest
 from .base import BOXES, boxes, table
 
-#: Frames below this many are written as chunks of a third each; the last stays unfinished.
-LIMIT, CHUNK = 300, 100
-#: Frames of a chunk file, and images of a COCO document, where the whole table is written.
-WHOLE = 1000
+#: Frames of a chunk file, and images of a COCO document, in two sizes; where chunks have markers, the last stays unfinished.
+CHUNK, WHOLE = 700, 1000
 
 
 def frames_of(spark, sf_dir):
@@ -27,12 +25,10 @@ def frames_of(spark, sf_dir):
     return rows.select(F.lit("f").alias("flight"), F.col("frame").alias("sample_index"), (F.col("frame") / 30).alias("dts_s"), (F.col("frame") * 1000).alias("dts_ticks"), ((F.col("frame") + 1) * 1_000_000).alias("utc_us"), F.lit(256).alias("width"), F.lit(224).alias("height"), "shapes")
 
 
-def chunks_of(spark, sf_dir, below: int | None = LIMIT, size: int = CHUNK, open_last: bool = True) -> str:
-    """A folder with chunk files of the frames below (None: all), written by executors, a file a task at a time: a stale line before each frame's own, broken lines, a marker for all but the last chunk (or for all)."""
+def chunks_of(spark, sf_dir, size: int = CHUNK, open_last: bool = True) -> str:
+    """A folder with chunk files of all frames, written by executors, a file a task at a time: a stale line before each frame's own, broken lines, a marker for all but the last chunk (or for all)."""
     raw, path = shared(spark, "chunks-raw"), shared(spark, "chunks")
     rows = frames_of(spark, sf_dir)
-    if below is not None:
-        rows = rows.where(F.col("sample_index") < below)
     own = F.to_json(F.struct("flight", "sample_index", "dts_s", "dts_ticks", "utc_us", "width", "height", "shapes"))
     stale = F.format_string('{"flight":"f","sample_index":%d,"shapes":[]}', "sample_index")
     text = F.concat_ws("\n", stale, own, F.lit('{"flight":"f","sample_i'))
@@ -43,10 +39,14 @@ def chunks_of(spark, sf_dir, below: int | None = LIMIT, size: int = CHUNK, open_
     return path
 
 
-LINES = f"WITH {BOXES}, n AS (SELECT frame // {CHUNK} * {CHUNK} AS c, count(DISTINCT frame) AS n FROM boxes WHERE frame < {LIMIT} GROUP BY c)"
+def lines_sql(size: int) -> str:
+    return f"WITH {BOXES}, n AS (SELECT frame // {size} * {size} AS c, count(DISTINCT frame) AS n FROM boxes GROUP BY c), z AS (SELECT max(c) AS z FROM n)"
 
 
-@query("s1_chunk_files", f"{LINES} SELECT 'f' AS flight, c AS \"start\", c + {CHUNK} AS \"end\", c + {CHUNK} < {LIMIT} AS done FROM n")
+LINES = lines_sql(CHUNK)
+
+
+@query("s1_chunk_files", f"{LINES} SELECT 'f' AS flight, c AS \"start\", c + {CHUNK} AS \"end\", c < z AS done FROM n, z")
 def s1(spark, sf_dir):
     return an.chunk_files(spark, chunks_of(spark, sf_dir)).select("flight", "start", "end", F.coalesce("done", F.lit(False)).alias("done"))
 
@@ -61,15 +61,30 @@ def _lines(spark, path):
     return an.lines(spark, found).select(F.regexp_extract("path", an.CHUNK, 2).cast("long").alias("start")).groupBy("start").agg(F.count(F.lit(1)).alias("lines"))
 
 
-@query("s3_frames", f"WITH {BOXES} SELECT frame, pos, label, CASE WHEN pos % 4 = 3 THEN 1.0 ELSE score END AS score, x1, y1, x2, y2 FROM boxes WHERE frame >= 20 AND frame < {LIMIT - CHUNK}")
+@query("s3_frames", f"WITH {BOXES} SELECT frame, pos, label, CASE WHEN pos % 4 = 3 THEN 1.0 ELSE score END AS score, x1, y1, x2, y2 FROM boxes WHERE frame >= 20 AND frame < (SELECT max(frame) // {CHUNK} * {CHUNK} FROM boxes)")
 def s3(spark, sf_dir):
-    return _frames(an.frames(spark, chunks_of(spark, sf_dir), "f", 20, LIMIT, partial=True))
+    return _frames(an.frames(spark, chunks_of(spark, sf_dir), "f", 20, partial=True))
 
 
 def _frames(found):
     return an.boxes(found).select(F.col("sample_index").alias("frame"), F.col("pos").cast("long").alias("pos"), "label", "score", "x1", "y1", "x2", "y2")
 
 
+@query("s4_annotations_mixed", f"WITH {BOXES} SELECT frame, pos, label, CASE WHEN pos % 4 = 3 THEN 1.0 ELSE score END AS score, x1, y1, x2, y2 FROM boxes")
+def s4(spark, sf_dir):
+    """A folder with old lines of all frames, then a folder and some files that between them have the true ones."""
+    rows, text = frames_of(spark, sf_dir), F.to_json(F.struct("flight", "sample_index", "width", "height", "shapes"))
+    old, even, odd = (shared(spark, x) for x in ("old", "even", "odd"))
+    rows.select(F.format_string('{"flight":"f","sample_index":%d,"shapes":[{"label":"old","points":[[0,0],[1,1]]}]}', "sample_index")).write.text(f"{old}/raw")
+    rows.where("sample_index % 2 = 0").select(text).write.text(f"{even}/raw")
+    block = F.floor(F.col("sample_index") / CHUNK)
+    rows.where("sample_index % 2 = 1").select(block.alias("c"), text.alias("text")).repartition("c").write.partitionBy("c").text(f"{odd}-raw")
+    files = [f"{odd}/odd_{c}.jsonl" for c in named(spark, f"{odd}-raw", odd, lambda c: f"odd_{c}.jsonl")]
+    for folder in (old, even):
+        renamed(spark, f"{folder}/raw", folder, ".jsonl")
+    return _frames(an.annotations(spark, [old, even, *files]))
+
+
 @query("s5_resume_scan", "SELECT CAST(i AS BIGINT) AS sample_index, CASE WHEN i = 2 THEN 'lost' ELSE '' END AS error FROM range(4) t(i)")
 def s5(spark, sf_dir):
     path = shared(spark, "resume") + "/out.jsonl"
@@ -99,21 +114,19 @@ def s7(spark, sf_dir):
     return files.join(an.newest(files, ["name"]), ["name", "path"], "left_semi").select("name", F.col("length").cast("int").alias("size"))
 
 
-@query("s8_coco_category", f"WITH {BOXES} SELECT frame AS image_id, frame * 100 + pos AS annotation_id, label, x1, y1, x2, y2 FROM boxes WHERE frame < 200 AND label = 'L2'")
+@query("s8_coco_category", f"WITH {BOXES} SELECT frame AS image_id, frame * 100 + pos AS annotation_id, label, x1, y1, x2, y2 FROM boxes WHERE label = 'L2'")
 def s8(spark, sf_dir):
     return _coco(spark, sf_dir, "L2").select("image_id", "annotation_id", "label", "x1", "y1", "x2", "y2")
 
 
-@query("s11_coco_all", f"WITH {BOXES} SELECT frame AS image_id, frame * 100 + pos AS annotation_id, label, x1, y1, x2, y2 FROM boxes WHERE frame < 200")
+@query("s11_coco_all", f"WITH {BOXES} SELECT frame AS image_id, frame * 100 + pos AS annotation_id, label, x1, y1, x2, y2 FROM boxes")
 def s11(spark, sf_dir):
     return _coco(spark, sf_dir, None).select("image_id", "annotation_id", "label", "x1", "y1", "x2", "y2")
 
 
-def _coco(spark, sf_dir, category, below: int | None = 200, size: int = 200):
-    """Images below (None: all), `size` of them a COCO document (a file each, written by executors), read back."""
+def _coco(spark, sf_dir, category, size: int = CHUNK):
+    """All images, `size` of them a COCO document (a file each, written by executors), read back."""
     b = boxes(spark, sf_dir)
-    if below is not None:
-        b = b.where(F.col("frame") < below)
     b = b.withColumn("g", F.floor(F.col("frame") / size)).withColumn("category_id", F.substring("label", 2, 9).cast("long"))
     image = F.struct(F.col("frame").alias("id"), F.concat(F.col("frame").cast("string"), F.lit(".jpg")).alias("file_name"), F.lit(256).alias("width"), F.lit(224).alias("height"))
     mark = F.struct((F.col("frame") * 100 + F.col("pos")).alias("id"), F.col("frame").alias("image_id"), "category_id", F.array("x1", "y1", bx.width(), bx.height()).alias("bbox"))
@@ -123,9 +136,9 @@ def _coco(spark, sf_dir, category, below: int | None = 200, size: int = 200):
     return an.coco(spark, path, category)
 
 
-@query("s9_tracking_truth", f"WITH {BOXES} SELECT frame, pos, track AS target, x1, y1, x2, y2 FROM boxes WHERE frame < 300 AND pos % 3 <> 1")
+@query("s9_tracking_truth", f"WITH {BOXES} SELECT frame, pos, track AS target, x1, y1, x2, y2 FROM boxes WHERE pos % 3 <> 1")
 def s9(spark, sf_dir):
-    return _tracking(spark, boxes(spark, sf_dir).where("frame < 300"))
+    return _tracking(spark, boxes(spark, sf_dir))
 
 
 def _tracking(spark, b):
@@ -169,6 +182,16 @@ def s13(spark, sf_dir):
     return spark.read.schema("user_id long, event_id long").json(path).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s14_atomic_sink", f"WITH {BOXES} SELECT label, count(*) AS n FROM boxes GROUP BY label")
+def s14(spark, sf_dir):
+    """A small summary, written twice: whoever reads it meets one of the two whole."""
+    path = shared(spark, "summary") + "/summary.json"
+    found = boxes(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").collect()  # a row a label
+    write_json(spark, path, [{"label": "none", "n": 0}])
+    write_json(spark, path, [r.asDict() for r in found])
+    return spark.read.schema("label string, n long").json(path)
+
+
 COCO_OUT = f"""WITH {BOXES}, l AS (SELECT *, CASE WHEN score >= 0.05 THEN 'keep' WHEN score >= 0.02 THEN 'ignore' ELSE 'drop' END AS level, substr(label, 2)::INTEGER + 1 AS cat FROM boxes),
 i AS (SELECT frame, row_number() OVER (ORDER BY frame) AS id FROM (SELECT DISTINCT frame FROM boxes)), k AS (SELECT unnest(range(1, 7)) AS c),
 a AS (SELECT i.id AS image_id, pos, CAST(c AS INTEGER) AS category_id, (x2 - x1) * (y2 - y1) AS area, CAST(level <> 'keep' AS INTEGER) AS iscrowd
@@ -183,43 +206,43 @@ def s15(spark, sf_dir):
     return marks.select("id", "image_id", "category_id", "area", "iscrowd")
 
 
-@query("a12_chunk_progress", f"{LINES} SELECT 'f' AS flight, count(*) AS chunks, count(*) FILTER (WHERE c + {CHUNK} < {LIMIT}) AS done, count(*) FILTER (WHERE c + {CHUNK} >= {LIMIT}) AS \"open\", CAST(sum(3 * n) AS BIGINT) AS lines FROM n")
+@query("a12_chunk_progress", f"{LINES} SELECT 'f' AS flight, count(*) AS chunks, count(*) FILTER (WHERE c < z) AS done, count(*) FILTER (WHERE c = z) AS \"open\", CAST(sum(3 * n) AS BIGINT) AS lines FROM n, z")
 def a12(spark, sf_dir):
     return an.chunk_progress(spark, chunks_of(spark, sf_dir))
 
 
-# S1-S3, A12, S8, S11, S9 above keep the range of frames that their SQL gives; these are over the whole table.
-EVERY = f"WITH {BOXES}, n AS (SELECT frame // {WHOLE} * {WHOLE} AS c, count(DISTINCT frame) AS n FROM boxes GROUP BY c), z AS (SELECT max(c) AS z FROM n)"
+# The same in files of another size, with a marker for every chunk where frames are read.
+EVERY = lines_sql(WHOLE)
 
 
 @query("s1_chunk_files_whole", f"{EVERY} SELECT 'f' AS flight, c AS \"start\", c + {WHOLE} AS \"end\", c < z AS done FROM n, z")
 def s1_whole(spark, sf_dir):
-    return an.chunk_files(spark, chunks_of(spark, sf_dir, None, WHOLE)).select("flight", "start", "end", F.coalesce("done", F.lit(False)).alias("done"))
+    return an.chunk_files(spark, chunks_of(spark, sf_dir, WHOLE)).select("flight", "start", "end", F.coalesce("done", F.lit(False)).alias("done"))
 
 
 @query("s2_lines_whole", f"{EVERY} SELECT c AS \"start\", 3 * n AS lines FROM n")
 def s2_whole(spark, sf_dir):
-    return _lines(spark, chunks_of(spark, sf_dir, None, WHOLE))
+    return _lines(spark, chunks_of(spark, sf_dir, WHOLE))
 
 
 @query("s3_frames_whole", f"WITH {BOXES} SELECT frame, pos, label, CASE WHEN pos % 4 = 3 THEN 1.0 ELSE score END AS score, x1, y1, x2, y2 FROM boxes")
 def s3_whole(spark, sf_dir):
-    return _frames(an.frames(spark, chunks_of(spark, sf_dir, None, WHOLE, open_last=False), "f"))
+    return _frames(an.frames(spark, chunks_of(spark, sf_dir, WHOLE, open_last=False), "f"))
 
 
 @query("a12_chunk_progress_whole", f"{EVERY} SELECT 'f' AS flight, count(*) AS chunks, count(*) FILTER (WHERE c < z) AS done, count(*) FILTER (WHERE c = z) AS \"open\", CAST(sum(3 * n) AS BIGINT) AS lines FROM n, z")
 def a12_whole(spark, sf_dir):
-    return an.chunk_progress(spark, chunks_of(spark, sf_dir, None, WHOLE))
+    return an.chunk_progress(spark, chunks_of(spark, sf_dir, WHOLE))
 
 
 @query("s8_coco_category_whole", f"WITH {BOXES} SELECT frame AS image_id, frame * 100 + pos AS annotation_id, label, x1, y1, x2, y2 FROM boxes WHERE label = 'L2'")
 def s8_whole(spark, sf_dir):
-    return _coco(spark, sf_dir, "L2", None, WHOLE).select("image_id", "annotation_id", "label", "x1", "y1", "x2", "y2")
+    return _coco(spark, sf_dir, "L2", WHOLE).select("image_id", "annotation_id", "label", "x1", "y1", "x2", "y2")
 
 
 @query("s11_coco_all_whole", f"WITH {BOXES} SELECT frame AS image_id, frame * 100 + pos AS annotation_id, label, x1, y1, x2, y2 FROM boxes")
 def s11_whole(spark, sf_dir):
-    return _coco(spark, sf_dir, None, None, WHOLE).select("image_id", "annotation_id", "label", "x1", "y1", "x2", "y2")
+    return _coco(spark, sf_dir, None, WHOLE).select("image_id", "annotation_id", "label", "x1", "y1", "x2", "y2")
 
 
 @query("s9_tracking_truth_whole", f"WITH {BOXES} SELECT frame, pos, track AS target, x1, y1, x2, y2 FROM boxes WHERE pos % 3 <> 1")

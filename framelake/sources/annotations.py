@@ -54,9 +54,21 @@ def newest(files: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, line (its place in the file), value. Plain or zstd text; a file is read in order by one task."""
-    rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return rows.select("path", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line", "value")).where("value <> ''")
+    """path, line (its place in the file, from 0), value; empty lines are left out. Plain or zstd text.
+
+    Plain files are read in blocks by as many tasks as they need, lines are numbered in their block, and a block's first number comes from the
+    lines of the blocks before it.
+    """
+    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    own = rows.withColumn("i", F.row_number().over(Window.partitionBy("path", "block").orderBy("at")) - 1)
+    sizes = rows.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("path", "block", F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return own.join(before, ["path", "block"]).where("value <> ''").select("path", (F.col("i") + F.col("before")).cast("int").alias("line"), "value")
+
+
+def in_order(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, place (ascending in a file, with gaps), value: for rules that ask which of two lines is later, without numbering them."""
+    return spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("place"), "value")
 
 
 def frames(spark: SparkSession, path: str, flight: str, start: int | None = None, end: int | None = None, partial: bool = False) -> DataFrame:
@@ -72,16 +84,29 @@ def frames(spark: SparkSession, path: str, flight: str, start: int | None = None
     paths = [p for _, p, done in found if done]
     if not paths:
         raise ValueError(f"no finished chunks of {flight}")
-    raw = lines(spark, paths)
     # a file's place is said by its name, so no expression grows with the number of files
-    file = F.struct(F.regexp_extract("path", CHUNK, 2).cast("long").alias("start"), F.regexp_extract("path", "[^/]+$", 0).alias("name"))
-    parsed = raw.select(file.alias("file"), "line", F.from_json("value", FRAME).alias("f")).where("f.sample_index is not null")
+    return _latest_frames(in_order(spark, paths), F.struct(F.regexp_extract("path", CHUNK, 2).cast("long").alias("start"), F.col("path").alias("name")), start, end)
+
+
+def annotations(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Frames of JSON-lines files and of folders of such files, mixed: the later of two given paths wins, in a folder the later by name, in a file the later line."""
+    files = [(k, r.path) for k, p in enumerate(paths) for r in listing(spark, p).where(F.col("path").rlike(r"\.jsonl(\.zst)?$")).collect()]  # a row a file
+    if not files:
+        raise ValueError(f"no files of JSON lines in {paths}")
+    order = spark.createDataFrame(files, "given int, path string").groupBy("path").agg(F.max("given").alias("given"))
+    # names are compared without their schemes, which Spark and Hadoop write differently
+    bare = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")
+    raw = in_order(spark, sorted({p for _, p in files})).join(order.select(bare("path").alias("bare"), "given"), bare("path") == F.col("bare"))
+    return _latest_frames(raw, F.struct("given", "path"))
+
+
+def _latest_frames(raw: DataFrame, file: Column, start: int | None = None, end: int | None = None) -> DataFrame:
+    parsed = raw.select(file.alias("file"), "place", F.from_json("value", FRAME).alias("f")).where("f.sample_index is not null")
     if start is not None:
         parsed = parsed.where(F.col("f.sample_index") >= start)
     if end is not None:
         parsed = parsed.where(F.col("f.sample_index") < end)
-    last = parsed.groupBy("f.sample_index").agg(F.max_by("f", F.struct("file", "line")).alias("f"))
-    return last.select("f.*")
+    return parsed.groupBy("f.sample_index").agg(F.max_by("f", F.struct("file", "place")).alias("f")).select("f.*")
 
 
 def boxes(frame: DataFrame) -> DataFrame:
@@ -97,7 +122,8 @@ def done(raw: DataFrame, retry_errors: bool) -> DataFrame:
     """sample_index, error ('' if none) of what a resumed run needn't do again. raw: from lines(); of each file only lines before the first unparsable one count."""
     parsed = raw.withColumn("f", F.from_json("value", "sample_index long, error string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
     parsed = parsed.withColumn("bad", F.col("f._corrupt").isNotNull() | F.col("f").isNull())
-    good = parsed.withColumn("before", F.sum(F.col("bad").cast("int")).over(Window.partitionBy("path").orderBy("line"))).where("before = 0").where("f.sample_index is not null")
+    first = parsed.where("bad").groupBy("path").agg(F.min("line").alias("stop"))  # a row a file at most
+    good = parsed.join(first, "path", "left").where("stop is null or line < stop").where("f.sample_index is not null")
     if retry_errors:
         good = good.where(F.coalesce("f.error", F.lit("")) == "")
     return good.groupBy("f.sample_index").agg(F.max_by(F.coalesce("f.error", F.lit("")), F.struct("path", "line")).alias("error"))

@@ -41,3 +41,10 @@ def test_overlaps_share_one_exchange_key(spark, sf_dir):
     """Boxes are numbered and joined by frame: the numbering's exchange serves the join."""
     text = plan(registry.queries()["j3_iou_matrix"](spark, sf_dir))
     assert set(re.findall(r"hashpartitioning\((\w+)#", text)) == {"l_orderkey"}
+
+
+@pytest.mark.parametrize("name", ["a1_size_binned_recall", "a1_recall_at_thresholds"])
+def test_recall_matches_once(spark, sf_dir, name):
+    """One Python node and one scan, whatever the number of thresholds."""
+    text = plan(registry.queries()[name](spark, sf_dir)).split("(1)")[0]
+    assert len(re.findall("MapInPandas", text)) == 1 and len(re.findall("Scan parquet", text)) == 1
