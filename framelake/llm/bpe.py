@@ -2,7 +2,8 @@
 
 Pieces are cut by vectorised classes of bytes, each distinct piece of a block is merged once (all pieces of a length side
 by side, one merge each a step, lowest rank first, leftmost first), and ids are gathered back. Texts that hold the string
-of a special token, and pieces of over LONG bytes, go through the library itself.
+of a special token, or a character that Python's tables don't know (the library's may), and pieces of over LONG bytes, go
+through the library itself.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ if TYPE_CHECKING:
 #: Bytes up to which a piece is merged in arrays.
 LONG = 48
 NONE = np.int32(2**31 - 1)
-OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
+OTHER, LETTER, NUMBER, SPACE, UNKNOWN = 0, 1, 2, 3, 4
 #: White space outside ASCII.
 WIDE_SPACE = {0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
 
@@ -32,7 +33,8 @@ WIDE_SPACE = {0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F
 def _kind(cp: int) -> int:
     if cp in WIDE_SPACE or cp == 0x20 or 0x09 <= cp <= 0x0D:
         return SPACE
-    return {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(cp))[0], OTHER)
+    category = unicodedata.category(chr(cp))
+    return UNKNOWN if category == "Cn" else {"L": LETTER, "N": NUMBER}.get(category[0], OTHER)
 
 
 ASCII = np.zeros(256, np.uint8)
@@ -56,12 +58,13 @@ def kinds(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of pieces. spaced: a space belongs to what follows it and white space is kept; else it is dropped and digits stand alone."""
+def pieces(data: np.ndarray, offsets: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of pieces, and which documents hold characters of no known kind. spaced: a space belongs to what follows it and white space is kept; else it is dropped and digits stand alone."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     kind = kinds(data)
+    strange = np.unique(np.searchsorted(offsets, np.flatnonzero(kind == UNKNOWN), "right") - 1)
     edge = np.empty(n, bool)  # where a run of one kind, or a document, starts
     edge[0] = True
     edge[1:] = kind[1:] != kind[:-1]
@@ -107,7 +110,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, spaced: bool) -> tuple[np.ndar
     if not spaced:
         keep = kind[starts] != SPACE
         starts, ends = starts[keep], ends[keep]
-    return starts, ends
+    return starts, ends, strange
 
 
 class Bpe:
@@ -152,6 +155,15 @@ class Bpe:
         out.no_padding()
         return out
 
+    @cached_property
+    def plain_library(self) -> "Tokenizer":
+        """One to which strings of special tokens are text like any other."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_str(self.library.to_str())
+        out.encode_special_tokens = True
+        return out
+
     @staticmethod
     def _table(keys: list[int], bits: int = 18) -> tuple[np.ndarray, np.ndarray]:
         table, rank = np.full(1 << bits, 0xFFFFFFFF, np.uint32), np.full(1 << bits, NONE, np.int32)
@@ -264,18 +276,18 @@ class Bpe:
                 out.append(unicodedata.normalize("NFC", raw.decode("utf-8", "replace")).replace("Σ", "σ").lower().encode())
         return np.frombuffer(b"".join(out), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
 
-    def cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Normalised bytes, their pieces' starts and ends, and each document's first piece (n + 1)."""
+    def cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Normalised bytes, their pieces' starts and ends, each document's first piece (n + 1), and the documents that only the library can cut."""
         data, offsets = self.normalised(data, offsets)
-        starts, ends = pieces(data, offsets, self.spaced)
-        return data, starts, ends, np.searchsorted(starts, offsets)
+        starts, ends, strange = pieces(data, offsets, self.spaced)
+        return data, starts, ends, np.searchsorted(starts, offsets), strange
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """ids of all documents one after the other (int32), and how many each has. plain: strings of special tokens are text like any other."""
         raw = data
         n = len(offsets) - 1
-        odd = [] if plain else self._with_special(raw, offsets)
-        data, starts, ends, first = self.cut(data, offsets)
+        data, starts, ends, first, strange = self.cut(data, offsets)
+        odd = sorted({*([] if plain else self._with_special(raw, offsets)), *strange.tolist()})
         length = ends - starts
         packed = data if self.spaced else data[B.ragged(starts, length)]
         which, words = B.codes(packed, length)
@@ -291,7 +303,7 @@ class Bpe:
             parts = [ids[ends_[i] : ends_[i + 1]] for i in range(n)]
             for i in odd:
                 text = raw[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")
-                parts[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
+                parts[i] = np.array((self.plain_library if plain else self.library).encode(text, add_special_tokens=False).ids, np.int32)
             ids, counts = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
         return ids, counts
 

@@ -11,9 +11,7 @@ an empty automaton; repeated rows are encoded alike; other columns of any name c
 
 from __future__ import annotations
 
-import hashlib
 import os
-import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,7 +36,7 @@ def counts(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.load(tokenizer)
         for block in B.gathered(batches, "text", B.BLOCK_BYTES):
-            data, starts, ends, _ = coder.cut(*B.buffers(block.column("text")))
+            data, starts, ends, *_ = coder.cut(*B.buffers(block.column("text")))
             packed = data if coder.spaced else data[B.ragged(starts, ends - starts)]
             which, words = B.codes(packed, ends - starts)
             n = np.bincount(which, minlength=len(words))
@@ -237,15 +235,3 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
 
     schema = T.StructType([*(df.schema[c] for c in others), T.StructField("decoded", T.StringType())])
     return df.select(*[F.col(f"`{c}`") for c in others]).mapInArrow(run, schema)
-
-
-def digest(x: bytes) -> str:
-    return hashlib.sha256(x).hexdigest()
-
-
-def save(data: bytes) -> str:
-    """A compiled automaton in a file of this machine (tests)."""
-    f = tempfile.NamedTemporaryFile(suffix=".fsa", delete=False)
-    f.write(data)
-    f.close()
-    return f.name
