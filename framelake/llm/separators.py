@@ -7,9 +7,10 @@ that reaches into it and the number of documents before; a second scan then give
 
 Defined cases: a null or empty text is a document of no ids before its separator (n_tokens counts the separator); a
 separator's own string within a text is encoded as plain text, so no text holds the separator, and it is an error if one
-does all the same or if a file's separators and documents differ in number; a block without a separator passes on what it got; ids after a file's last separator are a document without end, which
-is counted only if asked for (`unended`); an empty file has no documents; rows that repeat a key, or have none, are
-documents of their own.
+does all the same, if a file's separators and documents differ in number, or if an id has more bytes than the file's; a
+block without a separator passes on what it got; ids after a file's last separator are a document without end, which is
+counted only if asked for (`unended`); an empty file, or table, has no documents; texts are encoded whole, however long;
+rows that repeat a key, or have none, are documents of their own; other columns of any name aren't read.
 """
 
 from __future__ import annotations
@@ -50,6 +51,8 @@ def write(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text:
                 ids, count = coder.encode(*B.buffers(block.column("text")), plain=True)
                 if (ids == end_id).any():
                     raise ValueError(f"a text has the separator {end_id} among its ids")
+                if max(end_id, int(ids.max(initial=0))) >> 8 * width:
+                    raise ValueError(f"{width} bytes an id are too few")
                 ids = np.insert(ids, np.cumsum(count), end_id)
                 out.write(pa.py_buffer(ids.astype(f"<u{width}")))
                 n, total = len(count), total + len(ids)
