@@ -3,14 +3,15 @@
 On a bounded sample a graph of nearest neighbours is cut into balanced parts: medians along principal directions first,
 then nodes move to where most of their neighbours are while parts keep their size. A small classifier learns the parts
 and places every vector of the index; another, trained on where neighbours were placed, gives each query its most
-probable parts. How many are opened is the least number that finds RECALL of the neighbours of sample vectors held out
-from training. Opened parts are searched exactly: the score is the inner product in double precision, summed in the
-order of components.
+probable parts. There are about as many parts as a part has vectors, up to one for LEARN_PART vectors of the sample, which
+must tell them apart; only tables of 2 * k candidates or fewer are one part. How many are opened is the least number that
+finds RECALL of the neighbours of sample vectors held out from training. Opened parts are searched exactly: the score is
+the inner product in double precision, summed in the order of components.
 
 Defined cases: vectors null, empty, zero, of another length than most, or with null or non-finite components take no
-part; a query's own vec_id is no candidate; ties go to the smaller id; fewer candidates than k give all of them; equal
-vectors have equal scores wherever they lie; a null id takes no part; an empty table gives an empty result; other columns
-aren't read.
+part; a query's own vec_id is no candidate; ties go to the smaller id; fewer candidates than k give all of them; rows
+that repeat an id count as one, that with the least hash of its vector; equal vectors have equal scores wherever they
+lie; a null id takes no part; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -27,11 +28,13 @@ from .scratch import materialise
 
 #: Vectors that the classifier learns from, at most.
 SAMPLE = 12_000
-#: Vectors in a part, and parts at most.
-PART, PARTS = 800, 64
+#: Vectors of the sample that a part needs.
+LEARN_PART = 25
 RECALL = 0.96
 #: Vectors, and queries, of a cell of the search.
-CELL = 4096
+VECTORS, QUERIES = 1 << 15, 1 << 13
+#: Scores worked on at once.
+SCORES = 1 << 22
 
 
 def usable(vector: Column) -> Column:
@@ -39,6 +42,10 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def stacked(x: pd.Series) -> np.ndarray:
+    return np.stack(x.to_list()).astype(float)
+
+
 def nearest(q: np.ndarray, x: np.ndarray, k: int, own: bool) -> np.ndarray:
     """Indices of the k largest inner products, in no order; own: row i of q is row i of x, and doesn't count."""
     out = np.empty((len(q), min(k, len(x) - own)), np.int64)
@@ -122,26 +129,30 @@ class Index:
     """What places vectors and routes queries. sample: vectors in rows; rows: how many the index will hold."""
 
     def __init__(self, sample: np.ndarray, rows: int, k: int = 20):
-        self.parts = max(1, min(PARTS, rows // PART, len(sample) // 50))
+        self.parts = 1 if rows <= 2 * k else max(1, min(round(math.sqrt(rows)), len(sample) // LEARN_PART))
         self.probes = 1
         if self.parts == 1:
             return
         x = sample.astype(np.float32)
         learn = np.arange(len(x)) % 10 != 9
-        graph = nearest(x, x, 12, True)
+        graph = nearest(x, x, min(12, len(x) - 1), True)
         part = cut(x, graph, self.parts)
-        eye = np.eye(self.parts, dtype=np.float32)
-        self.place = Net(x, 0.7 * eye[part] + 0.3 * eye[part[graph]].mean(1))
+        self.place = Net(x, 0.7 * self.shares(part[:, None]) + 0.3 * self.shares(part[graph]))
         placed = self.parts_of(x)
         # as many neighbours as k of the whole index are in a sample of it, but no fewer than a few
         some = max(8, round(k * len(x) / max(rows, len(x))))
         near = nearest(x, x, some, True)
-        self.route = Net(x[learn], eye[placed[near[learn]]].mean(1))
+        self.route = Net(x[learn], self.shares(placed[near[learn]]))
         rank = np.argsort(np.argsort(-self.route.logits(x[~learn]), 1, kind="stable"), 1, kind="stable")
         at = rank[np.arange(len(rank))[:, None], placed[near[~learn]]]
         found = np.cumsum(np.bincount(at.ravel(), minlength=self.parts)) / at.size
         self.probes = int(np.searchsorted(found, RECALL)) + 1
 
+    def shares(self, part: np.ndarray) -> np.ndarray:
+        """Which share of a row's entries each part has."""
+        at = np.arange(len(part))[:, None] * self.parts + part
+        return (np.bincount(at.ravel(), minlength=len(part) * self.parts).reshape(len(part), self.parts) / part.shape[1]).astype(np.float32)
+
     def parts_of(self, x: np.ndarray) -> np.ndarray:
         return self.place.logits(x).argmax(1) if self.parts > 1 else np.zeros(len(x), np.int64)
 
@@ -162,9 +173,10 @@ def dots(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def best(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k nearest of each query among x: query ids, ids, scores."""
     out = []
-    for a in range(0, len(q), 256):
-        s = q[a : a + 256] @ x.T
-        s[qid[a : a + 256][:, None] == vid[None, :]] = -np.inf
+    many = max(1, SCORES // max(1, len(x)))
+    for a in range(0, len(q), many):
+        s = q[a : a + many] @ x.T
+        s[qid[a : a + many][:, None] == vid[None, :]] = -np.inf
         least = np.partition(s, max(0, s.shape[1] - k), 1)[:, max(0, s.shape[1] - k)]
         i, j = np.nonzero((s >= (least - 1e-9 * (1 + np.abs(least)))[:, None]) & (s > -np.inf))  # all that may tie
         exact = dots(q[a + i], x[j])
@@ -179,30 +191,35 @@ def best(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, k: int)
 
 def search(df: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id", vector: str = "embedding", index: Index | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k nearest found among all rows."""
-    rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("x")).where(F.col("id").isNotNull() & usable(F.col("x")))
-    n = rows.count()
+    rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("x"))
+    if df.schema[vector].dataType.simpleString() != "array<float>":  # floats are carried as such, and are doubles where they are worked with
+        rows = rows.withColumn("x", F.col("x").cast("array<double>"))
+    rows = rows.where(F.col("id").isNotNull() & usable(F.col("x")))
     dim = (rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect() or [(0,)])[0][0]
     rows = rows.where(F.size("x") == dim)
+    n, ids = rows.agg(F.count(F.lit(1)), F.count_distinct("id")).first()
+    if ids < n:
+        n, rows = ids, materialise(rows.groupBy("id").agg(F.min(F.struct(F.xxhash64("x").alias("h"), "x"))["x"].alias("x")), "one-of-each-id")
     if index is None:
         # the share of hashes that gives about SAMPLE rows: no task sends more than its own share
         share = min(1 << 30, math.ceil((1 << 30) * SAMPLE / max(n, 1)))
         sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).limit(2 * SAMPLE).collect()
         sample = sorted(sample, key=lambda r: xxhash.xxh3_64_intdigest(str(r.id)))[:SAMPLE]
-        index = Index(np.array([r.x for r in sample]).reshape(len(sample), dim), n, k)
+        index = Index(np.array([r.x for r in sample], float).reshape(len(sample), dim), n, k)
     shared = df.sparkSession.sparkContext.broadcast(index)  # of one size, whatever the input
 
     @F.pandas_udf("int")
     def part(x: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.parts_of(np.stack(x.to_list()))).astype("int32")
+        return pd.Series(shared.value.parts_of(stacked(x))).astype("int32")
 
     @F.pandas_udf("array<int>")
     def routes(x: pd.Series) -> pd.Series:
-        return pd.Series(list(shared.value.opened(np.stack(x.to_list())).astype(np.int32)))
+        return pd.Series(list(shared.value.opened(stacked(x)).astype(np.int32)))
 
     placed = materialise(rows.withColumn("part", part("x")), "placed")
     asked = materialise(rows.where(F.col("id") % every == 0).withColumn("part", F.explode(routes("x"))), "asked")
-    need = lambda t, name: t.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias(name))
-    split = need(placed, "n").join(need(asked, "m"), "part")
+    need = lambda t, name, size: t.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    split = F.broadcast(need(placed, "n", VECTORS).join(need(asked, "m", QUERIES), "part"))  # a row for each part
     deal = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     every_ = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     own = placed.join(split, "part").select("part", deal("n").alias("i"), every_("m").alias("j"), "id", "x")
@@ -212,7 +229,7 @@ def search(df: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id", vec
         """A row for each query, with its k nearest in the cell."""
         if not len(own) or not len(queries):
             return pd.DataFrame({"query_id": [], "near": []})
-        a, b, c = best(queries["id"].to_numpy(), np.stack(queries["x"].to_list()), own["id"].to_numpy(), np.stack(own["x"].to_list()), k)
+        a, b, c = best(queries["id"].to_numpy(), stacked(queries["x"]), own["id"].to_numpy(), stacked(own["x"]), k)
         head = np.flatnonzero(np.append(True, a[1:] != a[:-1])[: len(a)])
         ends = np.append(head[1:], len(a))[: len(head)]
         near = [[{"less": -s, "vec_id": v} for s, v in zip(c[i:j].tolist(), b[i:j].tolist(), strict=True)] for i, j in zip(head, ends, strict=True)]

@@ -147,6 +147,32 @@ def test_recall_and_scores(spark):
     assert found / (20 * len(want)) >= 0.9
 
 
+@pytest.mark.parametrize(("n", "spread"), [(500, 1.0), (2000, 1.0), (2000, 0.1), (3000, 0.1)])
+def test_parts_grow_with_the_table(spark, n, spread):
+    """Even and clustered vectors: about sqrt(n) parts, and few of them opened where there are clusters."""
+    rng = np.random.default_rng(n)
+    x = (rng.standard_normal((n, 24)) * spread + rng.standard_normal((40, 24))[rng.integers(0, 40, n)] * (spread < 1)).astype(np.float32).astype(float)
+    index = neighbours.Index(x, n)
+    assert index.parts == min(round(n**0.5), n // neighbours.LEARN_PART)
+    assert spread == 1 or index.probes <= index.parts / 3
+    want = brute(list(range(n)), x, 20)
+    got = {}
+    for r in neighbours.search(vectors(spark, range(n), x)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[q] & {i for _, i in near}) for q, near in want.items()) >= 0.9 * 20 * len(want)
+
+
+def test_rows_that_repeat_an_id_count_once(spark):
+    rng = np.random.default_rng(4)
+    x, ids = rng.standard_normal((300, 8)).astype(np.float32).astype(float), np.arange(300)
+    once = sorted(map(tuple, neighbours.search(vectors(spark, ids, x)).collect()))
+    twice = sorted(map(tuple, neighbours.search(vectors(spark, [*ids, *ids], [*x, *x])).collect()))
+    assert len(once) == 15 * 20 == len({(r[0], r[2]) for r in twice})
+    assert once == twice
+    odd = neighbours.search(vectors(spark, [*ids, 20], [*x, x[21]])).collect()
+    assert len(odd) == 15 * 20 and sorted(r["rank"] for r in odd if r.query_id == 20) == list(range(1, 21))
+
+
 def test_ties_and_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     x = [[1, 0, 0]] * 30 + [[0, 2, 1]] * 5 + [None, [0, 0, 0], [nan, 1, 1], [inf, 1, 1], [1, None, 1], [1, 2], []]
