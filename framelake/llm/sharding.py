@@ -4,11 +4,13 @@ The sort key is (hash of the text, doc_id), so equal texts lie side by side. Pro
 cut the key space; each round counts the exact rows and bytes below every probe over all rows, and only the intervals
 in which a splitter must still lie get new probes, until each splitter is within the tolerance of its target. A boundary
 between two groups of equal texts is preferred; a group too large for that is cut by doc_id. Then rows are exchanged
-once, by ranges that are finer than shards, so that no shard has to fit in one task; slots come from the counts.
+once, by ranges that are finer than shards, so that no shard has to fit in one task; slots come from the counts. Where rows
+of one text and doc_id alone are too many for that (nulls, say), all rows are first written with numbers of their own,
+and the number takes the place of doc_id in the key; so equal rows can be cut like any others.
 
 Defined cases: a null text has no bytes and a size of 8, and its checksum is that of no bytes (0); a null doc_id sorts
 first; rows that repeat key and text share a shard unless they alone outgrow it, and get slots of their own in any
-order; fewer rows than shards leave shards empty; an empty table gives an empty result; other columns come along
+order (any of them may lie in either of two shards that a group is cut into); fewer rows than shards leave shards empty; an empty table gives an empty result; other columns come along
 (shard and slot as shard_in and slot_in).
 """
 
@@ -114,12 +116,32 @@ def splitters(rows: DataFrame, parts: int, strict: float, whole: float, probes:
             return chosen
 
 
+def uncut(known: dict[Key, tuple[int, int]], shards: int) -> bool:
+    """Whether rows of one key are too many for a range, or outweigh what a shard may be off by."""
+    keys, total = sorted(known), known[HIGH, HIGH]
+    for lo, hi in zip(keys, keys[1:], strict=False):
+        if hi[0] == lo[0] and hi[1] - lo[1] == 1:
+            n, b = (known[hi][k] - known[lo][k] for k in (0, 1))
+            if n > 1 and (n > RANGE_ROWS or b * shards > TOLERANCE * total[1]):
+                return True
+    return False
+
+
 def shard(df: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df's rows with `shard` and `slot` (from 0 in each shard), dealt out by ranges of the sort key: one exchange of whole rows."""
-    rows, known = materialise(keyed(df, key, text), "shard-keys"), {}
-    cuts = splitters(rows, shards, TOLERANCE, WHOLE_GROUPS, PROBES, known)
-    fine = shards * max(2, -(-known[HIGH, HIGH][0] // (RANGE_ROWS * shards)))
-    bounds = sorted({*cuts, *splitters(rows, fine, 0.2, 1.0, 4, known)} - {(LOW, LOW), (HIGH, HIGH)})
+    columns = df.columns
+
+    def ranges_of(rows: DataFrame) -> tuple[list[Key], list[Key], dict[Key, tuple[int, int]]]:
+        known: dict[Key, tuple[int, int]] = {}
+        cuts = splitters(rows, shards, TOLERANCE, WHOLE_GROUPS, PROBES, known)
+        fine = shards * max(2, -(-known[HIGH, HIGH][0] // (RANGE_ROWS * shards)))
+        return cuts, sorted({*cuts, *splitters(rows, fine, 0.2, 1.0, 4, known)} - {(LOW, LOW), (HIGH, HIGH)}), known
+
+    cuts, bounds, known = ranges_of(materialise(keyed(df, key, text), "shard-keys"))
+    if uncut(known, shards):
+        key = next(c for k in range(len(columns) + 1) if (c := f"number_{k}") not in {x.lower() for x in columns})
+        df = materialise(df.withColumn(key, F.monotonically_increasing_id()), "numbered")
+        cuts, bounds, known = ranges_of(materialise(keyed(df, key, text), "shard-keys"))
     table, first = [], {}
     for k, at in enumerate([(LOW, LOW), *bounds]):
         s = sum(c <= at for c in cuts)
@@ -132,10 +154,10 @@ def shard(df: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "tex
     # all columns travel in one struct, so that their names can't clash with these
     ranges = df.sparkSession.createDataFrame(table, "r int, shard int, first long")
     out = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
         F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("k1"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LOW)).alias("k2"),
     ).withColumn("r", F.pandas_udf(range_of, "int")("k1", "k2"))
     rank = F.row_number().over(Window.partitionBy("r").orderBy("k1", "k2"))
     out = out.withColumn("rank", rank.cast("long")).join(F.broadcast(ranges), "r")  # two rows a shard, or one for each RANGE_ROWS
-    mine = [F.col(f"row.`{c}`").alias(c + "_in" if c.lower() in ("shard", "slot") else c) for c in df.columns]
+    mine = [F.col(f"row.`{c}`").alias(c + "_in" if c.lower() in ("shard", "slot") else c) for c in columns]
     return out.select(*mine, "shard", (F.col("first") + F.col("rank") - 1).alias("slot"))
