@@ -17,6 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import materialise
+
 #: At least 512 characters, up to the next end of a sentence or line; at most 4096.
 CUT = r"(?s).{512,4095}?[.!?\n]|.{1,4096}"
 
@@ -36,16 +38,19 @@ def clashing(df: DataFrame, text: str = "text", identifier: Callable[[Column], C
 
 
 def _matched(df: DataFrame, key: str, text: str, carry: list[str], identifier: Callable[[Column], Column]) -> DataFrame:
+    ids, sha = F.transform(chunks(_text(text)), lambda c: identifier(c)), F.unhex(F.sha2(_text(text), 256))
+    rows = df.select(F.col(f"`{key}`").alias("k"), ids.alias("ids"), sha.alias("sha"), _text(text).alias("own"), F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(0)]).alias("row"))
     # n chunks have about n * n / 2**65 clashes: none here, some ten thousand among 10**12
-    bad = [r.id for r in clashing(df, text, identifier).collect()]
-    ids = F.transform(chunks(_text(text)), lambda c: identifier(c))
-    unsafe = F.arrays_overlap(ids, F.array(*map(F.lit, bad))) if bad else F.lit(False)
-    rows = df.select(
-        F.col(f"`{key}`").alias("k"), ids.alias("ids"), F.when(unsafe, _text(text)).otherwise("").alias("own"),
-        F.unhex(F.sha2(_text(text), 256)).alias("sha"), F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(0)]).alias("row"),
-    )
-    groups = rows.groupBy("ids", "own").agg(F.max("k").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, ["ids", "own"])
+    bad = materialise(clashing(df, text, identifier), "clashes")
+    if bad.limit(1).count():
+        hit = df.select(F.col(f"`{key}`").alias("k2"), sha.alias("sha2"), F.explode(ids).alias("id")).join(bad, "id", "left_semi").select("k2", "sha2").distinct()
+        rows = rows.join(hit, F.col("k").eqNullSafe(F.col("k2")) & (F.col("sha") == F.col("sha2")), "left").withColumn("own", F.when(F.col("sha2").isNotNull(), F.col("own")).otherwise("")).drop("k2", "sha2")
+    else:
+        rows = rows.withColumn("own", F.lit(""))
+    # written, so that a join with a group that a third of all rows share can be split
+    groups = materialise(rows.groupBy("ids", "own").agg(F.max("k").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
+    single = F.col("n").isNull()
+    return rows.join(groups, ["ids", "own"], "left").withColumns({"keep_id": F.when(single, F.col("k")).otherwise(F.col("last")), "group_size": F.coalesce("n", F.lit(1).cast("long"))})
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", identifier: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
