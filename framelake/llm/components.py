@@ -14,12 +14,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     A round hooks each node's neighbours to the smallest of them; sums are made map-side, and joins may be split where a
     node has very many neighbours. The number of rounds grows with the logarithm of the longest path.
     """
-    spark = edges.sparkSession
+    spark, kind = edges.sparkSession, edges.schema[a].dataType.simpleString()
 
     def written(df: DataFrame) -> tuple[DataFrame, str]:
         path = new_path(spark, "stars")
         df.write.parquet(path)
-        return spark.read.schema("u long, v long").parquet(path), path
+        return spark.read.schema(f"u {kind}, v {kind}").parquet(path), path
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         """pairs: u > v."""

@@ -8,10 +8,17 @@ Documents of one set are a single node from the start.
 2. A family's nodes, in the order of their least token (similar sets mostly share it) and size, are partitioned into
    groups of ROW. A group keeps the union of its members' tokens: a row of the matrix of tokens by groups. The overlap of
    a query with a union bounds its similarity with each member.
-3. Only groups whose bound reaches the threshold are opened, and their members compared exactly. Families above CELL nodes
-   are dealt into blocks, of which each two meet in a task of their own, so no task grows with a family.
+3. Only groups whose bound reaches the threshold are opened, and their members compared exactly.
+
+A family above CELL nodes is dealt into cells by that of each node's names which most nodes have, so each text moves once. Some nodes of all
+that is known to belong together then meet in one cell, which joins nearly all of a family of true copies. After that
+a name whose nodes all belong together is done with. Of the names that are left, the nodes outside the name's largest
+class are queries, and meet all nodes of such names, block by block: no task grows with a family, and texts move again
+only for names that hold different classes. Every two nodes that share a name so are known to belong together, or are
+compared.
 
 Links are kept as a spanning forest of each cell; components come from these. All pairs of a group are never emitted.
+A node is a hash of 126 bits of its set.
 
 Tokens that a large share of all sets has (COMMON: a line or passage that very many documents repeat) name no parts:
 leaving tokens out of both sets never makes them differ in more, so what is said above still holds.
@@ -37,12 +44,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks as B
 from .components import components
-from .scratch import drop_path, materialise, new_path
+from .scratch import looked_up, materialise
 
 #: Members, and queries, of a cell at most, or about.
 CELL = 1024
@@ -55,7 +62,8 @@ SLAB = 4096
 #: Tokens in this share of all sets name no parts. There are at most 1 / COMMON times as many as tokens in a set.
 COMMON = 0.0005
 #: Sets of a block with a token for it to be reported.
-LEAST = 3
+LEAST = 2
+NODE = "decimal(38,0)"
 
 
 @lru_cache(maxsize=None)
@@ -108,12 +116,29 @@ def token_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarra
     return np.concatenate(out) if out else np.zeros(0, np.uint64), count
 
 
-def node_hashes(tokens: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each set: its node, and the twin that tells sets of one node apart."""
+def node_hashes(tokens: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A hash of 126 bits of each set, which is its node: two numbers, the low one first."""
     at = np.concatenate([[0], np.cumsum(count)])
     raw = memoryview(np.ascontiguousarray(tokens)).cast("B")
-    whole = [xxhash.xxh3_128_intdigest(raw[8 * a : 8 * z]) for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-    return np.array([x & (1 << 64) - 1 for x in whole], np.uint64).view(np.int64), np.array([x >> 64 for x in whole], np.uint64).view(np.int64)
+    whole = [(xxhash.xxh3_128_intdigest(raw[8 * a : 8 * z]) >> 2).to_bytes(16, "little") for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return np.frombuffer(b"".join(whole), np.uint64).reshape(-1, 2)
+
+
+def node_column(node: np.ndarray, known: np.ndarray) -> pa.Array:
+    """Nodes as decimals, which are of one length in Spark's rows; null where not known."""
+    return pa.Array.from_buffers(pa.decimal128(38, 0), len(node), [pa.array(known, pa.bool_()).buffers()[1], pa.py_buffer(np.ascontiguousarray(node))])
+
+
+def column_nodes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(column.buffers()[1], np.uint64, 2 * len(column), 16 * column.offset).reshape(-1, 2) if len(column) else np.zeros((0, 2), np.uint64)
+
+
+def first_of_each(node: np.ndarray) -> np.ndarray:
+    """Where each different node is first."""
+    seen: dict[bytes, int] = {}
+    for i, x in enumerate(map(bytes, np.ascontiguousarray(node).view("V16").ravel())):
+        seen.setdefault(x, i)
+    return np.array(list(seen.values()), np.int64)
 
 
 def names(tokens: np.ndarray, count: np.ndarray, num: int, den: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +201,7 @@ def common_tokens(df: DataFrame, n: int, text: str) -> np.ndarray:
     """Tokens in a share COMMON of all sets, found over all texts: each block reports those that LEAST of its different sets have."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in B.gathered(batches, "text", 2 * B.BLOCK_BYTES):
+        for block in B.gathered(batches, "text", B.BLOCK_BYTES):
             tokens, size = token_sets(*B.buffers(block.column("text")), n)
             at = np.concatenate([[0], np.cumsum(size)])
             whole = np.concatenate([[np.uint64(0)], np.cumsum(tokens)])
@@ -187,21 +212,22 @@ def common_tokens(df: DataFrame, n: int, text: str) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(times)], ["token", "n"])
 
     sums = df.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    sums = materialise(sums.where("token = 0 or n >= 16"), "common")
     total = next((r.n for r in sums.where("token = 0").collect()), 0)
-    found = sums.where((F.col("token") != 0) & (F.col("n") >= max(16, COMMON * total))).collect()
+    found = sums.where((F.col("token") != 0) & (F.col("n") >= COMMON * total)).collect()
     return np.sort(np.array([r.token for r in found], np.int64).view(np.uint64))
 
 
 def nodes_of(df: DataFrame, n: int, num: int, den: int, key: str, text: str) -> DataFrame:
-    """key, own (the text's hash), node (null without words), size, twin (another hash of the set), parts (null where the same block has named them)."""
+    """key, own (the text's hash), node (null without words), short (half of its bits), size, parts (null where the same block has named them)."""
     common = common_tokens(df, n, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in B.gathered(batches, "text", B.BLOCK_BYTES):
+        for block in B.gathered(batches, "text", B.BLOCK_BYTES // 2):
             tokens, count = token_sets(*B.buffers(block.column("text")), n)
             at = np.concatenate([[0], np.cumsum(count)])
-            node, twin = node_hashes(tokens, count)
-            _, once = np.unique(node, return_index=True)
+            node = node_hashes(tokens, count)
+            once = first_of_each(node)
             once = once[count[once] > 0]
             which, name = names(tokens[B.ragged(at[once], count[once])], count[once], num, den, common)
             order = np.argsort(which, kind="stable")
@@ -214,10 +240,10 @@ def nodes_of(df: DataFrame, n: int, num: int, den: int, key: str, text: str) ->
             rows = np.flatnonzero(full)
             flat = name[order][B.ragged(ends[:-1][rank[rows]], full[rows])]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full)]).astype(np.int32)), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([block.column("key"), block.column("own"), pa.array(node, mask=count == 0), pa.array(count), pa.array(twin), lists], ["key", "own", "node", "size", "twin", "parts"])
+            yield pa.RecordBatch.from_arrays([block.column("key"), block.column("own"), node_column(node, count > 0), pa.array(node[:, 0].view(np.int64)), pa.array(count), lists], ["key", "own", "node", "short", "size", "parts"])
 
     rows = df.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("own"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, own long, node long, size long, twin long, parts array<long>")
+    return rows.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, own long, node {NODE}, short long, size long, parts array<long>")
 
 
 def linked(sets: list[np.ndarray], member: np.ndarray, query: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -286,49 +312,144 @@ def linked(sets: list[np.ndarray], member: np.ndarray, query: np.ndarray, num: i
 def _cell(n: int, num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        tokens, count = token_sets(*B.buffers(table["text"].combine_chunks() if table["text"].num_chunks != 1 else table["text"].chunk(0)), n)
-        node = table["node"].to_numpy()
-        own = np.flatnonzero(node_hashes(tokens, count)[0] == node)  # a text of the node, and of equal ones the first
-        own = own[np.sort(np.unique(node[own], return_index=True)[1])]
+        one = {c: table[c].combine_chunks() if table[c].num_chunks != 1 else table[c].chunk(0) for c in ("text", "node", "member", "query")}
+        tokens, count = token_sets(*B.buffers(one["text"]), n)
+        node = column_nodes(one["node"])
+        own = np.flatnonzero((node_hashes(tokens, count) == node).all(1))  # a text of the node, and of equal ones the first
+        own = own[first_of_each(node[own])]
         sets = np.split(tokens, np.cumsum(count)[:-1])
-        found = linked([sets[i] for i in own], table["member"].to_numpy()[own], table["query"].to_numpy()[own], num, den) if len(own) else []
-        node = node[own]
-        a, b = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
-        return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64())})
+        member, query = (one[c].to_numpy(zero_copy_only=False)[own] for c in ("member", "query"))
+        root = np.arange(len(own))
+        for a, b in linked([sets[i] for i in own], member, query, num, den) if len(own) else []:
+            x, y = sorted((root[a], root[b]))
+            root[root == y] = x
+        star = np.flatnonzero(root != np.arange(len(own)))
+        return pa.table({"a": one["node"].take(pa.array(own[star])), "b": one["node"].take(pa.array(own[root[star]]))})
 
     return run
 
 
-def links(df: DataFrame, nodes: DataFrame, n: int, num: int, den: int, key: str, text: str) -> DataFrame:
-    """Pairs of nodes (a, b) whose components are those of all links. nodes: from nodes_of, written; its parts may be dropped afterwards."""
-    w = Window.partitionBy("part")
-    named = nodes.where("node is not null").select("node", F.explode("parts").alias("part"))
-    met = named.select(F.col("node").alias("a"), F.min("node").over(w).alias("b")).where("a > b").distinct()
-    family = materialise(components(materialise(met, "met")).select("node", F.col("label").alias("g")), "families")
-    # a family of several cells' size is dealt into blocks, and each two blocks meet once: the first as queries, the second as members
-    blocks = family.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("n"))
-    own = family.join(blocks, "g").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    cells = own.select("node", "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") >= F.col("other")).alias("member"), (F.col("own") <= F.col("other")).alias("query"))
-    first = nodes.where("node is not null").groupBy("node").agg(F.min_by(F.struct("key", "own"), F.struct(F.coalesce("key", F.lit(1 << 62)), "own")).alias("row")).select("node", "row.key", F.col("row.own").alias("text_hash"))
-    cells = materialise(cells.join(first, "node"), "cells")
+def compared(filled: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Components inside cells as stars: a, b (the node that stands for a's component). filled: node, text, g, m, i, j (which cell), member, query."""
+    return filled.groupBy("g", "m", "i", "j").applyInArrow(_cell(n, num, den), f"a {NODE}, b {NODE}")
+
+
+def labels_of(df: DataFrame, nodes: DataFrame, n: int, num: int, den: int, key: str, text: str) -> DataFrame:
+    """node, label: the component of each node that has links, written. nodes: from nodes_of, written."""
+    # families only say what may link, so half of a node's bits will do for them: a clash puts two families together
+    sets, w = nodes.where("node is not null"), Window.partitionBy("part")
+    named = sets.select("short", F.explode("parts").alias("part")).withColumns({"b": F.min("short").over(w), "z": F.max("short").over(w)})
+    shared = materialise(named.where("b <> z").select("part", "short", "b"), "shared-names")  # a small share: most names are one node's
+    met = shared.select(F.col("short").alias("a"), "b").where("a > b").distinct()
+    family = components(materialise(met, "met")).select(F.col("node").alias("short"), F.col("label").alias("g"))
+    first = sets.groupBy("node", "short").agg(F.min_by(F.struct("key", "own"), F.struct(F.col("key").isNull(), "key", "own")).alias("row"))
+    first = materialise(first.join(family, "short").select("node", "short", "g", "row.key", F.col("row.own").alias("text_hash")), "first-rows")
     texts = df.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text"))
-    # by a merge at every size: where the cells are few enough to be sent to all tasks, texts would not move, and figures not compare
-    filled = cells.hint("merge").join(texts, cells["key"].eqNullSafe(texts["key"]) & (cells["text_hash"] == texts["text_hash"])).select("g", "i", "j", "node", "member", "query", "text")
-    return filled.groupBy("g", "i", "j").applyInArrow(_cell(n, num, den), "a long, b long")
+    # the one time that all texts move. By a merge at every size: where nodes are few enough to be sent to all tasks, texts would not move, and figures not compare
+    family = first.hint("merge").join(texts, first["key"].eqNullSafe(texts["key"]) & (first["text_hash"] == texts["text_hash"]))
+    family = materialise(family.select("node", "short", "g", "text"), "families")
+    large = materialise(family.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL).select("g"), "large-families")
+    yes = F.lit(True)
+    # a family of one cell's size is a cell; of a larger one each node goes where that of its names says which most nodes have
+    small = family.join(large, "g", "left_anti").select("node", "text", "g", F.lit(0).cast("long").alias("m"), F.lit(0).alias("i"), F.lit(0).alias("j"), yes.alias("member"), yes.alias("query"))
+    if not large.limit(1).count():
+        return _labels(materialise(compared(small, n, num, den), "stars"))
+    crowd = materialise(family.join(large, "g", "left_semi").select("node", "short", "g").distinct(), "crowds")
+    named = materialise(shared.join(crowd, "short").select("node", "part").distinct(), "crowd-names")
+    often = materialise(named.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "often")
+    most = named.join(often, "part").groupBy("node").agg(F.max(F.struct("n", "part"))["part"].alias("name"))
+    crowd = materialise(crowd.join(most, "node"), "crowds-by-name")
+    sizes = materialise(crowd.groupBy("name").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cut")).where("cut > 1"), "crowded-names")
+    deal = lambda c, salt: F.pmod(F.xxhash64("node", F.lit(salt)), c).cast("int")
+    blocks = crowd.join(sizes, "name", "left").select("node", "g", F.col("name").alias("m"), deal(F.coalesce("cut", F.lit(1)), 0).alias("i"), F.lit(0).alias("j"), yes.alias("member"), yes.alias("query"))
+    fill = lambda cells: family.select("node", "text").join(cells, "node")
+    look = lambda filled: materialise(compared(filled, n, num, den), "stars")
+    known = look(small.unionByName(fill(blocks)))
+    own = known.select(F.col("a").alias("node"), F.col("b").alias("label"))  # each node was in one cell, so these are final there
+    label = materialise(crowd.join(own, "node", "left").select("node", "g", F.coalesce("label", "node").alias("label")), "crowd-labels")
+    of = label.select("node", "label")
+
+    def joined(stars: DataFrame) -> DataFrame:
+        """Labels that stars put together."""
+        both = stars.join(of.toDF("a", "u"), "a").join(of.toDF("b", "v"), "b").where("u <> v")
+        return materialise(both.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "label-pairs")
+
+    def now(pairs: DataFrame) -> DataFrame:
+        """The crowds with the labels that pairs leave."""
+        end = materialise(components(pairs).select(F.col("node").alias("label"), F.col("label").alias("end")), "ends")
+        return looked_up(label, end, "label").withColumn("label", F.coalesce("end", "label")).drop("end")
+
+    # what is known so far is joined by some of each: as many as fit in one cell of a family
+    chosen = label.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n")).withColumn("deal", F.pmod(F.xxhash64("label"), F.lit(64)))
+    chosen = _top(chosen, ["g"], [F.desc("n"), F.col("label")], F.lit(CELL // 4))
+    chosen = materialise(chosen.select("g", "label", F.floor(F.lit(CELL) / F.count(F.lit(1)).over(Window.partitionBy("g"))).alias("each")), "some")
+    some = _top(label.withColumn("deal", deal(F.lit(64), 2)).join(chosen, ["g", "label"]), ["g", "label"], [F.xxhash64("node", F.lit(1)), F.col("node")], F.col("each"))
+    pairs = joined(look(fill(some.select("node", "g", F.lit(1).cast("long").alias("m"), F.lit(0).alias("i"), F.lit(0).alias("j"), yes.alias("member"), yes.alias("query")))))
+    seen = materialise(now(pairs), "crowd-labels")
+    # names whose nodes are all known to belong together are done with; of the others, what doesn't belong to the most is compared with all
+    held = seen.join(named, "node").groupBy("part", "label").agg(F.count(F.lit(1)).alias("n"))
+    held = materialise(held, "held")
+    tops = held.groupBy("part").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "label"))["label"].alias("top")).where("k > 1").select("part", "top")
+    tops = materialise(tops, "open-names")
+    if not tops.limit(1).count():
+        return _labels(known, components(pairs))
+    live = seen.join(named, "node").join(tops, "part").groupBy("node", "g").agg(F.max(F.col("label") != F.col("top")).alias("asks"))
+    live = materialise(live, "live")
+    need = live.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("n"), F.greatest(F.lit(1), F.ceil(F.count_if("asks") / CELL)).cast("int").alias("q"))
+    need = materialise(need, "need")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = seen.join(live.drop("g"), "node").join(need, "g").withColumn("own", deal(F.col("n"), 0)).withColumn("turn", deal(F.col("q"), 3))
+    members = dealt.withColumn("j", every("q")).select("node", "g", F.col("own").alias("i"), "j", yes.alias("member"), (F.col("asks") & (F.col("j") == F.col("turn"))).alias("query"))
+    asking = dealt.where("asks").withColumn("i", every("n")).where(F.col("i") != F.col("own")).select("node", "g", "i", F.col("turn").alias("j"), F.lit(False).alias("member"), yes.alias("query"))
+    last = members.unionByName(asking).withColumn("m", F.lit(2).cast("long"))
+    return _labels(known, components(materialise(pairs.unionByName(joined(look(fill(last)))), "label-pairs")))
+
+
+def _labels(stars: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """node, label of stars (a, b), written; ends: node, label of stars' centres, or of nodes without a star, that belong together."""
+    own = stars.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    if ends is None:
+        return materialise(own, "labels")
+    ends = materialise(ends.select(F.col("node").alias("label"), F.col("label").alias("end")), "ends")
+    alone = ends.join(stars.select(F.col("b").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), "label")
+    own = materialise(own.unionByName(alone), "centres")
+    return materialise(looked_up(own, ends, "label").select("node", F.coalesce("end", "label").alias("label")), "labels")
+
+
+def _top(df: DataFrame, keys: list[str], order: list[Column], most: Column) -> DataFrame:
+    """The first `most` rows of each key, found in pieces (by `deal`) first, so that no task ranks a whole key."""
+    for by in ([*keys, "deal"], keys):
+        df = df.withColumn("r__", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("r__") <= most).drop("r__")
+    return df
+
+
+def classes(df: DataFrame, n: int, num: int, den: int, key: str, text: str) -> DataFrame:
+    """For each row, written: key, own (the text's hash), size, least (the smallest key of its component), stay (the component's first row), where stay is null if the row is alone."""
+    nodes = materialise(nodes_of(df, n, num, den, key, text), "nodes")
+    labels = labels_of(df, nodes, n, num, den, key, text)
+    row = F.struct(F.col("key").isNull().alias("none"), "key", "own")
+    own = nodes.where("node is not null").groupBy("node").agg(F.min("key").alias("least"), F.min(row).alias("stay"), F.count(F.lit(1)).alias("rows"))
+    own = materialise(own.join(labels, "node", "left").where("rows > 1 or label is not null").drop("rows"), "nodes-of-several")
+    whole = materialise(own.where("label is not null").groupBy("label").agg(F.min("least").alias("least"), F.min("stay").alias("stay")), "components")
+    far = looked_up(materialise(own.where("label is not null").select("node", "label"), "linked"), whole, "label").select("node", "least", "stay")
+    known = materialise(own.where("label is null").select("node", "least", "stay").unionByName(far), "components-of-nodes")
+    return materialise(looked_up(nodes.select("key", "own", "node", "size"), known, "node").drop("node"), "classes")
 
 
 def join(df: DataFrame, n: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: key, n_shingles, component_id (the smallest key that it reaches by links)."""
-    spark = df.sparkSession
-    path = new_path(spark, "nodes")
-    found = nodes_of(df, n, num, den, key, text)
-    found.write.parquet(path)
-    nodes = spark.read.schema(found.schema).parquet(path)
-    clash = nodes.where("node is not null").groupBy("node").agg(F.min("twin").alias("a"), F.max("twin").alias("b")).where("a <> b")
-    if clash.limit(1).count():  # one chance in a hundred among a thousand million sets
-        raise ValueError("two sets of tokens share a hash of 64 bits")
-    labels = components(links(df, nodes, n, num, den, key, text))
-    slim = materialise(nodes.select("key", "node", "size").join(labels, "node", "left").select("key", "size", F.coalesce("label", "node").alias("c")), "labels")
-    drop_path(spark, path)
-    least = slim.where("c is not null").groupBy("c").agg(F.min("key").alias("least"))
-    return slim.join(least, "c", "left").select(F.col("key").alias(key), F.col("size").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("key")).otherwise(F.col("least")).alias("component_id"))
+    found = classes(df, n, num, den, key, text)
+    return found.select(F.col("key").alias(key), F.col("size").alias("n_shingles"), F.when(F.col("stay").isNull(), F.col("key")).otherwise(F.col("least")).alias("component_id"))
+
+
+def survivors(df: DataFrame, n: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """df's rows without those of a component but the first (the least key, a null last; then the least hash of the text). Of rows that repeat key and text one stays, any; rows without words all stay."""
+    found = classes(df, n, num, den, key, text).where("stay is not null").select(F.col("key").alias("__key"), F.col("own").alias("__own"), ((F.col("stay.own") == F.col("own")) & F.col("stay.key").eqNullSafe(F.col("key"))).alias("first"))
+    gone = found.where("not first").select("__key", "__own").distinct()
+    same = df[key].eqNullSafe(gone["__key"]) & (F.xxhash64(df[text]) == gone["__own"])
+    left = df.join(gone, same, "left_anti")
+    twice = materialise(found.where("first").groupBy("__key", "__own").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
+    if not twice.limit(1).count():
+        return left
+    same = left[key].eqNullSafe(twice["__key"]) & (F.xxhash64(left[text]) == twice["__own"])
+    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates([key, text]))

@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a folder of our own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="framelake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from ..sources.scratch import shared_root
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nobody uses yet; it goes when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(conf).deleteOnExit(p)
@@ -45,6 +38,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows (a written table) with the columns of table (written; one row a key), or nulls. Keys with more rows than a task's fair share are
+    no more than there are tasks: they get theirs by broadcast, and their rows don't move, nor do those without a key."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n__"))
+    hot = [r[0] for r in counts.where(F.col("n__") > max(1000, rows.count() // tasks)).collect()]  # tasks of them at most
+    if not hot:
+        return rows.join(table, key, "left")
+    hot = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in hot], rows.select(key).schema))
+    some = F.broadcast(table.join(hot, key, "left_semi"))  # as few
+    held = rows.join(hot, key, "left_semi").join(some, key, "left")
+    rest = rows.join(hot, key, "left_anti")
+    out = rest.where(F.col(key).isNotNull()).join(table, key, "left")
+    none = rest.where(F.col(key).isNull()).select(*rest.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name != key])
+    return held.unionByName(out).unionByName(none)
+
+
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """One small file, by Hadoop's own file system for that path."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

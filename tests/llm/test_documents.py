@@ -53,6 +53,19 @@ def test_a_group_larger_than_a_shard_is_cut(spark):
     assert sizes.max() <= 1.05 * sizes.mean() and sizes.min() >= 0.95 * sizes.mean()
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_equal_rows_are_cut(spark, key):
+    """Rows that nothing tells apart, alone and beside others."""
+    same = [(key, "same words")] * 2400
+    for rows in (same, same + [(k, f"text {k}") for k in range(1200)]):
+        got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 24).collect()
+        assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, rows))
+        sizes = [sum(len(r.text) + 8 for r in got if r.shard == s) for s in range(24)]
+        assert max(sizes) - min(sizes) <= 2 * 18 + 0.02 * sum(sizes) / 24
+        for s in range(24):
+            assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 def test_null_keys_and_repeated_rows(docs, rows):
     df = docs.withColumn("doc_id", F.lit(None).cast("long")).unionByName(docs).unionByName(docs)
     got = sharding.shard(df, 5).collect()
@@ -138,7 +151,7 @@ def test_substrings_in_blocks_of_any_size(docs, rows, limit, monkeypatch):
 
     frame = Frame()
     monkeypatch.setattr(substrings, "_rows", lambda *a: frame)
-    substrings.packed(None, 5, 4, np.zeros(0, np.uint64), "k", "t")
+    substrings.packed(None, 5, 4, np.zeros(4, bool), "k", "t")
     order = sorted(rows, key=lambda r: hash(r[0] * 7919))
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in order]), pa.array([r[1] for r in order], pa.string())], ["key", "text"])
     table = pa.Table.from_batches(list(frame.f(iter([batch.slice(0, 11), batch.slice(11)]))))
@@ -151,14 +164,33 @@ def test_substrings_in_blocks_of_any_size(docs, rows, limit, monkeypatch):
     assert {k: len(g) for k, g in gone.items()} == {k: v[1] for k, v in kept_words(rows, 5).items()}
 
 
-def test_substrings_with_hot_grams(docs, rows):
-    """Grams that rank last change buckets, not results."""
+def test_substrings_with_large_buckets(docs):
+    """Buckets whose grams rank last change the way, not results."""
     found = set()
-    for hot in (np.zeros(0, np.uint64), np.sort(np.arange(1 << 20, dtype=np.uint64) << np.uint64(43))):
-        out = substrings.packed(docs, 5, 8, hot, "doc_id", "text").groupBy("bucket").applyInArrow(substrings._bucket(5), "key long, lo long, hi long")
+    for large in (np.zeros(8, bool), np.arange(8) < 3, np.ones(8, bool)):
+        out = substrings.packed(docs, 7, 8, large, "doc_id", "text").groupBy("bucket").applyInArrow(substrings._bucket(7), "key long, lo long, hi long")
         words = frozenset((r.key, k) for r in out.collect() for k in range(r.lo, r.hi))
         found.add(words)
-    assert len(found) == 1
+    assert len(found) == 1 and found.pop()
+
+
+@pytest.mark.parametrize("size", [1, 3, 5, 20])
+def test_a_gram_of_many_texts_makes_no_large_bucket(spark, monkeypatch, size):
+    """A sentence in a third of all texts, between words of their own."""
+    import random
+
+    monkeypatch.setattr(substrings, "LARGE", 40_000)
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 10_000)
+    rnd = random.Random(size)
+    own = lambda n: " ".join(f"o{rnd.randrange(10**7)}" for _ in range(n))
+    rows = [(k, f"{own(15)} all rights of this text are kept by {own(15)}" if k % 3 == 0 else own(38)) for k in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    buckets = sum(len(t) for _, t in rows) // 10_000
+    large = substrings.large_buckets(df, size, buckets)
+    raw = {r.bucket: r.n for r in substrings.packed(df, size, buckets, large, "doc_id", "text").groupBy("bucket").agg(F.sum("raw").alias("n")).collect()}
+    if size > 5:
+        assert 0 < large.sum() < buckets / 3 and max(raw.values()) < 4 * 40_000
+    assert {r.row.doc_id: r.n_removed for r in substrings.dedup(df, size).collect()} == {k: w[1] for k, w in kept_words(rows, size).items()}
 
 
 def test_two_windows_of_one_hash():
@@ -293,3 +325,10 @@ def test_query_of_near_copies(spark, sf_dir):
     sets = sets_of(rows, 3)
     label = classes(sets, 9, 10)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in queries.QUERIES["op7_token_groups"](spark, sf_dir).collect()} == {k: (len(sets[k]), label[k]) for k in sets}
+
+
+def test_exact_dedup_is_native(spark, sf_dir):
+    """No Python, pandas or Arrow on its way."""
+    for df in (exact_dedup.dedup(queries.documents(spark, sf_dir)), exact_dedup.survivors(queries.documents(spark, sf_dir))):
+        text = df._jdf.queryExecution().toString()
+        assert not re.search("Python|Pandas|Arrow|ExternalRDD", text)

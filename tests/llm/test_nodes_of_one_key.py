@@ -19,4 +19,4 @@ def test_a_key_links_nothing(spark):
     assert sorted((r.doc_id, r.component_id) for r in jaccard.join(df, 3, 9, 10).collect()) == [(0, 0), (1, 0), (1, 1)]
     same = [(None, texts[0]), (None, texts[1])] * 3
     nodes = jaccard.nodes_of(spark.createDataFrame(same, "doc_id long, text string"), 3, 9, 10, "doc_id", "text")
-    assert jaccard.links(spark.createDataFrame(same, "doc_id long, text string"), nodes, 3, 9, 10, "doc_id", "text").count() == 0
+    assert jaccard.labels_of(spark.createDataFrame(same, "doc_id long, text string"), nodes, 3, 9, 10, "doc_id", "text").count() == 0
