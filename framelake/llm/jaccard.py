@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .components import components
-from .scratch import looked_up, materialise
+from .scratch import folder, looked_up, materialise
 
 #: Members, and queries, of a cell at most, or about.
 CELL = 1024
@@ -425,15 +425,16 @@ def _top(df: DataFrame, keys: list[str], order: list[Column], most: Column) -> D
 
 def classes(df: DataFrame, n: int, num: int, den: int, key: str, text: str) -> DataFrame:
     """For each row, written: key, own (the text's hash), size, least (the smallest key of its component), stay (the component's first row), where stay is null if the row is alone."""
-    nodes = materialise(nodes_of(df, n, num, den, key, text), "nodes")
-    labels = labels_of(df, nodes, n, num, den, key, text)
-    row = F.struct(F.col("key").isNull().alias("none"), "key", "own")
-    own = nodes.where("node is not null").groupBy("node").agg(F.min("key").alias("least"), F.min(row).alias("stay"), F.count(F.lit(1)).alias("rows"))
-    own = materialise(own.join(labels, "node", "left").where("rows > 1 or label is not null").drop("rows"), "nodes-of-several")
-    whole = materialise(own.where("label is not null").groupBy("label").agg(F.min("least").alias("least"), F.min("stay").alias("stay")), "components")
-    far = looked_up(materialise(own.where("label is not null").select("node", "label"), "linked"), whole, "label").select("node", "least", "stay")
-    known = materialise(own.where("label is null").select("node", "least", "stay").unionByName(far), "components-of-nodes")
-    return materialise(looked_up(nodes.select("key", "own", "node", "size"), known, "node").drop("node"), "classes")
+    with folder(df.sparkSession, "jaccard"):
+        nodes = materialise(nodes_of(df, n, num, den, key, text), "nodes")
+        labels = labels_of(df, nodes, n, num, den, key, text)
+        row = F.struct(F.col("key").isNull().alias("none"), "key", "own")
+        own = nodes.where("node is not null").groupBy("node").agg(F.min("key").alias("least"), F.min(row).alias("stay"), F.count(F.lit(1)).alias("rows"))
+        own = materialise(own.join(labels, "node", "left").where("rows > 1 or label is not null").drop("rows"), "nodes-of-several")
+        whole = materialise(own.where("label is not null").groupBy("label").agg(F.min("least").alias("least"), F.min("stay").alias("stay")), "components")
+        far = looked_up(materialise(own.where("label is not null").select("node", "label"), "linked"), whole, "label").select("node", "least", "stay")
+        known = materialise(own.where("label is null").select("node", "least", "stay").unionByName(far), "components-of-nodes")
+        return materialise(looked_up(nodes.select("key", "own", "node", "size"), known, "node").drop("node"), "classes", keep=True)
 
 
 def join(df: DataFrame, n: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +33,25 @@ def input_bytes(df: DataFrame) -> int:
     return size if size < 1 << 60 else 0
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: what comes after no longer depends on its lineage."""
-    spark = df.sparkSession
+_inside: ContextVar[str | None] = ContextVar("inside", default=None)
+
+
+@contextmanager
+def folder(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables that are written meanwhile go at the end, but those to keep."""
     path = new_path(spark, name)
+    before = _inside.set(path)
+    try:
+        yield
+    finally:
+        _inside.reset(before)
+        drop_path(spark, path)
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: what comes after no longer depends on its lineage."""
+    spark, inside = df.sparkSession, _inside.get()
+    path = f"{inside}/{name}-{uuid.uuid4().hex}" if inside and not keep else new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
