@@ -10,12 +10,11 @@ Documents of one set are a single node from the start.
    a query with a union bounds its similarity with each member.
 3. Only groups whose bound reaches the threshold are opened, and their members compared exactly.
 
-A family above CELL nodes is dealt into cells by that of each node's names which most nodes have, so each text moves once. Some nodes of all
-that is known to belong together then meet in one cell, which joins nearly all of a family of true copies. After that
-a name whose nodes all belong together is done with. Of the names that are left, the nodes outside the name's largest
-class are queries, and meet all nodes of such names, block by block: no task grows with a family, and texts move again
-only for names that hold different classes. Every two nodes that share a name so are known to belong together, or are
-compared.
+A family above CELL nodes is dealt into cells by that of each node's names which most nodes have, so each text moves once.
+Some nodes of all that is known to belong together then meet in one cell, which joins nearly all of a family of true
+copies. If a family still holds several classes, the nodes outside its largest one are queries, and meet all nodes of the
+family, block by block: no task grows with a family, and texts move again only for such families. Every two nodes of a
+family so are known to belong together, or are compared.
 
 Links are kept as a spanning forest of each cell; components come from these. All pairs of a group are never emitted.
 A node is a hash of 126 bits of its set.
@@ -338,8 +337,8 @@ def labels_of(df: DataFrame, nodes: DataFrame, n: int, num: int, den: int, key:
     """node, label: the component of each node that has links, written. nodes: from nodes_of, written."""
     # families only say what may link, so half of a node's bits will do for them: a clash puts two families together
     sets, w = nodes.where("node is not null"), Window.partitionBy("part")
-    named = sets.select("short", F.explode("parts").alias("part")).withColumns({"b": F.min("short").over(w), "z": F.max("short").over(w)})
-    shared = materialise(named.where("b <> z").select("part", "short", "b"), "shared-names")  # a small share: most names are one node's
+    named = sets.select("short", F.explode("parts").alias("part")).withColumns({"b": F.min("short").over(w), "z": F.max("short").over(w), "n": F.count(F.lit(1)).over(w)})
+    shared = materialise(named.where("b <> z").select("part", "short", "b", "n"), "shared-names")  # a small share: most names are one node's
     met = shared.select(F.col("short").alias("a"), "b").where("a > b").distinct()
     family = components(materialise(met, "met")).select(F.col("node").alias("short"), F.col("label").alias("g"))
     first = sets.groupBy("node", "short").agg(F.min_by(F.struct("key", "own"), F.struct(F.col("key").isNull(), "key", "own")).alias("row"))
@@ -354,11 +353,8 @@ def labels_of(df: DataFrame, nodes: DataFrame, n: int, num: int, den: int, key:
     small = family.join(large, "g", "left_anti").select("node", "text", "g", F.lit(0).cast("long").alias("m"), F.lit(0).alias("i"), F.lit(0).alias("j"), yes.alias("member"), yes.alias("query"))
     if not large.limit(1).count():
         return _labels(materialise(compared(small, n, num, den), "stars"))
-    crowd = materialise(family.join(large, "g", "left_semi").select("node", "short", "g").distinct(), "crowds")
-    named = materialise(shared.join(crowd, "short").select("node", "part").distinct(), "crowd-names")
-    often = materialise(named.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "often")
-    most = named.join(often, "part").groupBy("node").agg(F.max(F.struct("n", "part"))["part"].alias("name"))
-    crowd = materialise(crowd.join(most, "node"), "crowds-by-name")
+    most = shared.groupBy("short").agg(F.max(F.struct("n", "part"))["part"].alias("name"))
+    crowd = materialise(family.join(large, "g", "left_semi").select("node", "short", "g").distinct().join(most, "short"), "crowds")
     sizes = materialise(crowd.groupBy("name").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cut")).where("cut > 1"), "crowded-names")
     deal = lambda c, salt: F.pmod(F.xxhash64("node", F.lit(salt)), c).cast("int")
     blocks = crowd.join(sizes, "name", "left").select("node", "g", F.col("name").alias("m"), deal(F.coalesce("cut", F.lit(1)), 0).alias("i"), F.lit(0).alias("j"), yes.alias("member"), yes.alias("query"))
@@ -386,19 +382,16 @@ def labels_of(df: DataFrame, nodes: DataFrame, n: int, num: int, den: int, key:
     some = _top(label.withColumn("deal", deal(F.lit(64), 2)).join(chosen, ["g", "label"]), ["g", "label"], [F.xxhash64("node", F.lit(1)), F.col("node")], F.col("each"))
     pairs = joined(look(fill(some.select("node", "g", F.lit(1).cast("long").alias("m"), F.lit(0).alias("i"), F.lit(0).alias("j"), yes.alias("member"), yes.alias("query")))))
     seen = materialise(now(pairs), "crowd-labels")
-    # names whose nodes are all known to belong together are done with; of the others, what doesn't belong to the most is compared with all
-    held = seen.join(named, "node").groupBy("part", "label").agg(F.count(F.lit(1)).alias("n"))
-    held = materialise(held, "held")
-    tops = held.groupBy("part").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "label"))["label"].alias("top")).where("k > 1").select("part", "top")
-    tops = materialise(tops, "open-names")
+    # families that are one class by now are done with; in others, what isn't of the largest class is compared with all
+    tops = seen.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "label"))["label"].alias("top"))
+    tops = materialise(tops.where("k > 1").select("g", "top"), "open-families")
     if not tops.limit(1).count():
         return _labels(known, components(pairs))
-    live = seen.join(named, "node").join(tops, "part").groupBy("node", "g").agg(F.max(F.col("label") != F.col("top")).alias("asks"))
-    live = materialise(live, "live")
+    live = materialise(seen.join(tops, "g").select("node", "g", (F.col("label") != F.col("top")).alias("asks")), "live")
     need = live.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("n"), F.greatest(F.lit(1), F.ceil(F.count_if("asks") / CELL)).cast("int").alias("q"))
     need = materialise(need, "need")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    dealt = seen.join(live.drop("g"), "node").join(need, "g").withColumn("own", deal(F.col("n"), 0)).withColumn("turn", deal(F.col("q"), 3))
+    dealt = live.join(need, "g").withColumn("own", deal(F.col("n"), 0)).withColumn("turn", deal(F.col("q"), 3))
     members = dealt.withColumn("j", every("q")).select("node", "g", F.col("own").alias("i"), "j", yes.alias("member"), (F.col("asks") & (F.col("j") == F.col("turn"))).alias("query"))
     asking = dealt.where("asks").withColumn("i", every("n")).where(F.col("i") != F.col("own")).select("node", "g", "i", F.col("turn").alias("j"), F.lit(False).alias("member"), yes.alias("query"))
     last = members.unionByName(asking).withColumn("m", F.lit(2).cast("long"))
