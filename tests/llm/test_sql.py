@@ -11,7 +11,8 @@ from framelake.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_rows_as_sql(spark, sf_dir, name):
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     want = c.execute(queries.ORACLE_SQL[name])
     columns = [d[0] for d in want.description]
     df = queries.QUERIES[name](spark, sf_dir)
