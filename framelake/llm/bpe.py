@@ -3,7 +3,8 @@
 Pieces are cut by vectorised classes of bytes, each distinct piece of a block is merged once (all pieces of a length side
 by side, one merge each a step, lowest rank first, leftmost first), and ids are gathered back. Texts that hold the string
 of a special token, or a character that Python's tables don't know (the library's may), and pieces of over LONG bytes, go
-through the library itself.
+through the library itself. Where a file's normaliser composes characters, so do texts with a mark, a letter that isn't in
+composed form, or a part of a syllable: the library's tables are older than Python's, so the two may disagree on them.
 """
 
 from __future__ import annotations
@@ -37,6 +38,12 @@ def _kind(cp: int) -> int:
     return UNKNOWN if category == "Cn" else {"L": LETTER, "N": NUMBER}.get(category[0], OTHER)
 
 
+@lru_cache(maxsize=None)
+def settled(char: str) -> bool:
+    """Composition leaves the character as it is, whatever stands before or after it, by any edition of the tables."""
+    return not (unicodedata.category(char)[0] == "M" or unicodedata.combining(char) or 0x1100 <= ord(char) < 0x1200 or unicodedata.normalize("NFC", char) != char)
+
+
 ASCII = np.zeros(256, np.uint8)
 ASCII[:128] = [_kind(c) for c in range(128)]
 
@@ -271,9 +278,13 @@ class Bpe:
             raw = data[a:z].tobytes()
             if raw.isascii():
                 out.append(raw.lower())
-            else:
+                continue
+            text = raw.decode("utf-8", "replace")
+            if all(map(settled, set(text))):
                 # each character by itself: a final sigma is no exception here
-                out.append(unicodedata.normalize("NFC", raw.decode("utf-8", "replace")).replace("Σ", "σ").lower().encode())
+                out.append(text.replace("Σ", "σ").lower().encode())
+            else:
+                out.append(self.library.normalizer.normalize_str(text).encode())
         return np.frombuffer(b"".join(out), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
 
     def cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

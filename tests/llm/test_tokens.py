@@ -46,6 +46,19 @@ def test_every_code_point(path):
         assert not wrong, (len(wrong), wrong[:20])
 
 
+@pytest.mark.parametrize("path", sorted(LIBRARY))
+def test_every_code_point_among_marks(path):
+    """Before and after marks, and between two: whether a later mark composes across it is the library's to say."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for a in range(0, len(points), 65536):
+        texts = [f"e{c}\u0301 \u0323{c}o{c}\u0323\u0302 \u1100{c}\u11a8" for c in map(chr, points[a : a + 65536])]
+        ids, count = bpe.load(path).encode(*B.buffers(pa.array(texts, pa.large_string())))
+        ends = np.cumsum(count)
+        want = LIBRARY[path].encode_batch(texts, add_special_tokens=False)
+        wrong = [hex(points[a + k]) for k, (e, c) in enumerate(zip(ends.tolist(), count.tolist(), strict=True)) if ids[e - c : e].tolist() != want[k].ids]
+        assert not wrong, (len(wrong), wrong[:20])
+
+
 def lexicon_file(path, data):
     path.write_bytes(data)
     return str(path)
