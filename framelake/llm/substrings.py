@@ -299,7 +299,7 @@ def removals(df: DataFrame, size: int = 20, key: str = "doc_id", text: str = "te
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 64, total // BUCKET_BYTES)
     large = large_buckets(df, size, buckets, key, text)
     found = packed(df, size, buckets, large, key, text).groupBy("bucket").applyInArrow(_bucket(size, rows=True), "key long, own long, lo long, hi long")
-    return materialise(found.groupBy("key", "own").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "removals")  # spans of one text
+    return materialise(found.groupBy("key", "own").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "removals")  # different spans of one text: what copies of a row repeat goes map-side
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

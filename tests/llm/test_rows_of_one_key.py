@@ -50,3 +50,12 @@ def test_each_row_loses_its_own_words(spark):
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
         got = sorted(((r.row.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.dedup(df, 20).collect()), key=str)
         assert got == want
+
+
+def test_copies_of_a_row_keep_one_list_of_spans(spark):
+    """An earlier document and 400 rows of one doc_id and text: each row's spans are its own, not those of all copies."""
+    p = words("p", 30)
+    df = spark.createDataFrame([(1, p), *[(2, "x " + p)] * 400], "doc_id long, text string").repartition(7)
+    spans = [r.spans for r in substrings.removals(df, 20).collect()]
+    assert len(spans) == 1 and len(spans[0]) == len({tuple(s) for s in spans[0]}) <= 3
+    assert {(r.row.doc_id, r.n_removed, r.kept) for r in substrings.dedup(df, 20).collect()} == {(1, 0, p), (2, 30, "x")}
