@@ -16,6 +16,11 @@ copies. If a family still holds several classes, the nodes outside its largest o
 family, block by block: no task grows with a family, and texts move again only for such families. Every two nodes of a
 family so are known to belong together, or are compared.
 
+A family that still holds several classes and is above WIDE * CELL nodes (texts of one template, say, which share parts
+but don't link) is first taken apart by its own rarest tokens: in the order of how many of the family's sets hold a token,
+two linked sets share one of their first size - least overlap + 1. Nodes that share none of these belong to no common
+smaller family and never meet; its tokens move once, whatever its size. Smaller families are then treated as above.
+
 Links are kept as a spanning forest of each cell; components come from these. All pairs of a group are never emitted.
 A node is a hash of 126 bits of its set.
 
@@ -52,6 +57,8 @@ from .scratch import folder, looked_up, materialise
 
 #: Members, and queries, of a cell at most, or about.
 CELL = 1024
+#: Cells of a family beyond which its own rare tokens take it apart.
+WIDE = 8
 #: Members of a group.
 ROW = 16
 #: Dealings that a node may go through.
@@ -347,6 +354,8 @@ def labels_of(df: DataFrame, nodes: DataFrame, n: int, num: int, den: int, key:
     # the one time that all texts move. By a merge at every size: where nodes are few enough to be sent to all tasks, texts would not move, and figures not compare
     family = first.hint("merge").join(texts, first["key"].eqNullSafe(texts["key"]) & (first["text_hash"] == texts["text_hash"]))
     family = materialise(family.select("node", "short", "g", "text"), "families")
+    if family.count() > first.count():  # rows that repeat key and text: of a node's texts one goes on (two, should two texts of a key have one hash)
+        family = materialise(family.distinct(), "families")  # map-side first, so copies of a row aren't sent
     large = materialise(family.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL).select("g"), "large-families")
     yes = F.lit(True)
     # a family of one cell's size is a cell; of a larger one each node goes where that of its names says which most nodes have
@@ -383,8 +392,12 @@ def labels_of(df: DataFrame, nodes: DataFrame, n: int, num: int, den: int, key:
     pairs = joined(look(fill(some.select("node", "g", F.lit(1).cast("long").alias("m"), F.lit(0).alias("i"), F.lit(0).alias("j"), yes.alias("member"), yes.alias("query")))))
     seen = materialise(now(pairs), "crowd-labels")
     # families that are one class by now are done with; in others, what isn't of the largest class is compared with all
-    tops = seen.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "label"))["label"].alias("top"))
-    tops = materialise(tops.where("k > 1").select("g", "top"), "open-families")
+    tops = _open(seen)
+    wide = materialise(tops.where(F.col("n") > WIDE * CELL).select("g"), "wide-families")
+    if wide.limit(1).count():
+        apart = seen.join(rarely_met(family.select("node", "text").join(seen.join(wide, "g", "left_semi").select("node", "g"), "node"), n, num, den), "node").select("node", F.col("sub").alias("g"), "label")
+        seen = materialise(seen.join(wide, "g", "left_anti").unionByName(apart.select(*seen.columns)), "crowd-labels")
+        tops = _open(seen)
     if not tops.limit(1).count():
         return _labels(known, components(pairs))
     live = materialise(seen.join(tops, "g").select("node", "g", (F.col("label") != F.col("top")).alias("asks")), "live")
@@ -398,6 +411,36 @@ def labels_of(df: DataFrame, nodes: DataFrame, n: int, num: int, den: int, key:
     return _labels(known, components(materialise(pairs.unionByName(joined(look(fill(last)))), "label-pairs")))
 
 
+def _open(seen: DataFrame) -> DataFrame:
+    """g, n (nodes), top (the largest class) of families that hold several classes, written."""
+    sizes = seen.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"))
+    return materialise(sizes.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "label"))["label"].alias("top")).where("k > 1").drop("k"), "open-families")
+
+
+def rarely_met(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """node, sub: smaller families of nodes that may link, by the rarest tokens of their family; nodes that can't link with any are left out. texts: node, text, g."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in B.gathered(batches, "text", B.BLOCK_BYTES // 2):
+            token, count = token_sets(*B.buffers(block.column("text")), n)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(token.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([block.column("node"), block.column("g"), lists], ["node", "g", "tokens"])
+
+    sets = materialise(texts.select("node", "text", "g").mapInArrow(tokens, f"node {NODE}, g long, tokens array<long>"), "family-tokens")
+    flat = sets.select("node", "g", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    met = materialise(flat.groupBy("g", "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "met-tokens")
+    # tokens of one set come first in the order, and are met by nobody
+    size = F.first("size")
+    own = flat.join(met, ["g", "token"]).groupBy("node", "g").agg(size.alias("size"), F.sort_array(F.collect_list(F.struct("n", "token"))).alias("met"))  # tokens of one set
+    least = F.ceil(F.col("size") * num / den).cast("int")
+    first = F.greatest(F.lit(0), F.col("size") - least + 1 - (F.col("size") - F.size("met")))
+    shared = own.select("node", "g", F.explode(F.slice("met", 1, first)).alias("m")).select("node", "g", F.col("m.token").alias("token"))
+    shared = materialise(shared, "rare-tokens")
+    heads = shared.groupBy("g", "token").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    edges = materialise(shared.join(heads, ["g", "token"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "rarely-met")
+    return components(edges).select("node", F.xxhash64("label").alias("sub"))  # a clash puts two together
+
+
 def _labels(stars: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """node, label of stars (a, b), written; ends: node, label of stars' centres, or of nodes without a star, that belong together."""
     own = stars.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
