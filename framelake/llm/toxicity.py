@@ -3,8 +3,8 @@
 A word (a run of letters, A-Z lower-cased) is the sum of the embeddings of its hash and of the hashes of its first 4, 5
 and 6 bytes, so forms of one stem are near each other. Filters of 1, 2 and 3 words run over the whole text, each
 keeps its greatest response, and a logistic layer makes these a probability. Embeddings start from the log odds of their
-rows in the training texts; all is then trained by stochastic gradients in numpy, on the driver, over a bounded sample of
-labelled rows (SAMPLE of each class). A share of it is held back; on that, a threshold is chosen for each language and
+rows in the training texts; all is then trained by stochastic gradients in numpy, in one task, over a bounded sample of
+labelled rows (SAMPLE of each class, SAMPLE_BYTES of text); the driver gets the weights. A share of it is held back; on that, a threshold is chosen for each language and
 the score rescaled so that the threshold lies at CUT. The language is guessed from the text's own function words.
 
 Defined cases: a null or empty text, or one without letters, is scored by the filters' response to padding; texts are
@@ -15,6 +15,7 @@ columns aren't read (score) or come along unchanged (clean).
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -239,8 +240,8 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % 3 == 1
 
 
-def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """Trains on at most `sample` labelled keys of each class and SAMPLE_BYTES of text, those with the least hash; of rows that repeat a key on the one with the least hash of its text; never on held-out ones."""
+def training_rows(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+    """k, t, y: at most `sample` labelled keys of each class and SAMPLE_BYTES of text, those with the least hash; of rows that repeat a key the one with the least hash of its text; never held-out ones."""
     known = labels.where(F.col(label).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y")).where("k is not null")
     picked = None
     for y in (0, 1):
@@ -250,15 +251,33 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     texts = df.select(F.col(f"`{key}`").cast("long").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).join(F.broadcast(picked), "k")
     one = texts.groupBy("k", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t"))["t"].alias("t"))  # of rows that repeat a key one: 2 * sample rows at most
     one, room, fits = materialise(one, "labelled"), SAMPLE_BYTES, []
-    order = lambda r: (xxhash.xxh3_64_intdigest(str(r.k)), r.k)
-    for r in sorted(one.select("k", F.octet_length("t").alias("n")).collect(), key=order):
+    for r in sorted(one.select("k", F.octet_length("t").alias("n")).collect(), key=lambda r: _place(r.k)):
         if r.n <= room:
             room -= r.n
             fits.append((r.k,))
-    fits = F.broadcast(df.sparkSession.createDataFrame(fits, "k long"))
-    rows = [(r.k, r.t, r.y) for r in sorted(one.join(fits, "k").collect(), key=order)]
-    back = np.arange(len(rows)) % 5 == 4
-    return train([r[1] for r in rows], np.array([r[2] for r in rows], np.float32), back)
+    return one.join(F.broadcast(df.sparkSession.createDataFrame(fits, "k long")), "k").select("k", "t", "y")
+
+
+def _place(key: int) -> tuple[int, int]:
+    return xxhash.xxh3_64_intdigest(str(key)), key
+
+
+def learned(rows: list[tuple[int, str, int]]) -> dict[str, np.ndarray]:
+    """The model of (key, text, label) rows; every fifth in the order of their keys' hashes only chooses thresholds."""
+    rows = sorted(rows, key=lambda r: _place(r[0]))
+    return train([r[1] for r in rows], np.array([r[2] for r in rows], np.float32), np.arange(len(rows)) % 5 == 4)
+
+
+def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> dict[str, np.ndarray]:
+    """Trains on training_rows, which are few by their bounds, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = learned([r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("k", "t", "y")), strict=True)])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    rows = training_rows(df, labels, key, text, label, sample)
+    found = rows.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found.model) if found else learned([])  # noqa: S301  our own bytes
 
 
 def rescaled(p: np.ndarray, theta: np.ndarray) -> np.ndarray:
