@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 _own: dict[str, str] = {}
@@ -35,6 +35,13 @@ def shared(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written in the shared folder and read from there: later steps don't compute it again, and don't depend on executors that made it."""
+    spark, path = df.sparkSession, shared(df.sparkSession, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_json(spark: SparkSession, path: str, value: object) -> None:
     """One small file of JSON, which is there whole or not at all: written beside its place, then moved into it."""
     hadoop = spark._jvm.org.apache.hadoop.fs
