@@ -1,7 +1,11 @@
 """Pairs of boxes inside a frame: overlaps, one-to-one matches, containment, clusters and boxes cut at tile seams.
 
 Joins are equi-joins on the frame with the geometry as a residual condition. What is sequential inside a frame runs in
-numpy over sorted frames, many in a task; a frame is bounded by what a detector returns for one image.
+numpy over sorted frames, many in a task, as long as a frame has no more than CROWD boxes. Of larger ones no matrix is made:
+their overlaps come from a join over grid cells, and what greedy matching or suppression would do box by box is done in
+rounds over the table of overlaps. The order is strict (score, then pos), so what a box gets is settled as soon as no
+unsettled box before it can touch it; a round settles all such boxes at once. When a frame has no more than FEW overlaps
+left, one task ends it in order. Optimal assignment splits frames into connected parts of overlapping boxes.
 """
 
 from __future__ import annotations
@@ -11,12 +15,18 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes as bx
+from ..sources.scratch import written
+from .graphs import components
 
 BOX = ("x1", "y1", "x2", "y2")
+#: Boxes of a frame from which on it is no longer one task's matrix.
+CROWD = 2_000
+#: Overlaps of a frame that one task may end in order.
+FEW = 1 << 20
 
 
 def by_frame(df: DataFrame, keys: list[str], order: list[str], out: dict[str, str], one: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]) -> DataFrame:
@@ -79,6 +89,27 @@ def iou_pairs_in_cells(a: DataFrame, b: DataFrame, keys: list[str], cell: float,
     return pairs.where(first).withColumn("iou", bx.iou("a_", "b_")).where(F.col("iou") > least).drop("cx", "cy")
 
 
+def crowds(boxes: DataFrame, keys: list[str], crowd: int | None = None) -> DataFrame | None:
+    """Frames of more than CROWD boxes: keys, cell (the side of a grid cell: the mean box, or 1/64 of the largest); None without any."""
+    side = F.greatest(bx.width(), bx.height())
+    big = boxes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg(side), F.max(side) / 64, F.lit(1e-9)).alias("cell"))
+    big = big.where(F.col("n") > (CROWD if crowd is None else crowd)).drop("n")
+    return written(big, "crowds") if big.limit(1).count() else None
+
+
+def near_pairs(a: DataFrame, b: DataFrame, big: DataFrame, keys: list[str], least: float, carry: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """Pairs of crowded frames whose iou is above 0 and at least `least`, found by cells: keys, a_* and b_* of what is carried, iou."""
+
+    def cells(df: DataFrame, p: str) -> DataFrame:
+        span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / F.col("cell")), F.floor(F.col(hi) / F.col("cell"))))
+        return prefixed(df.join(big, keys).withColumn("cx", span("x1", "x2")).withColumn("cy", span("y1", "y2")), p, [*keys, "cx", "cy", "cell"])
+
+    both = cells(a, "a_").join(cells(b, "b_").drop("cell"), [*keys, "cx", "cy"])
+    at = lambda c: F.floor(F.greatest(f"a_{c}", f"b_{c}") / F.col("cell"))
+    both = both.where((F.col("cx") == at("x1")) & (F.col("cy") == at("y1"))).withColumn("iou", bx.iou("a_", "b_"))  # once, in the first cell that they share
+    return both.where((F.col("iou") > 0) & (F.col("iou") >= least)).select(*keys, *[f"{p}_{c}" for p in "ab" for c in carry], "iou")
+
+
 def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     lo, hi = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
     inter = np.clip(hi - lo, 0, None).prod(2)
@@ -102,9 +133,27 @@ def greedy(truth: np.ndarray, found: np.ndarray, score: np.ndarray, least: float
 
 
 def assignment(gain: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (row, column), as many as the smaller side has, of the greatest total gain: shortest augmenting paths with potentials."""
+    """Pairs (row, column), as many as the smaller side has, of the greatest total gain."""
+    return _augmented(gain)[0] if gain.size else []
+
+
+def certified(gain: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Pairs (row, column) of positive gain with the greatest total, and potentials of rows and columns that prove it: none is negative,
+    two add up to at least the gain of each pair, to exactly the gain of each pair taken, and whoever is in none has 0. Gains aren't negative."""
+    n, m = gain.shape
     if not gain.size:
-        return []
+        return [], np.zeros(n), np.zeros(m)
+    # with a column that nobody needs, some column stays free, so that no potential has to be negative
+    wide = np.concatenate([gain, np.zeros((n, 1))], 1) if n <= m else np.concatenate([gain.T, np.zeros((m, 1))], 1)
+    pairs, rows, columns = _augmented(wide)
+    rows, columns = np.maximum(rows, 0.0), np.maximum(columns[:-1], 0.0)
+    if n > m:
+        pairs, rows, columns = [(j, i) for i, j in pairs], columns, rows
+    return sorted((i, j) for i, j in pairs if i < n and j < m and gain[i, j] > 0), rows, columns
+
+
+def _augmented(gain: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Shortest augmenting paths with potentials: pairs, potentials of rows and columns."""
     turned = gain.shape[0] > gain.shape[1]
     cost = -(gain.T if turned else gain)
     n, m = cost.shape
@@ -128,29 +177,149 @@ def assignment(gain: np.ndarray) -> list[tuple[int, int]]:
         while at:
             owner[at], at = owner[back[at]], back[at]
     pairs = [(int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j]]
-    return sorted((j, i) if turned else (i, j) for i, j in pairs)
+    rows, columns = -u[1:], -v[1:]
+    return (sorted((j, i) for i, j in pairs), columns, rows) if turned else (sorted(pairs), rows, columns)
+
+
+def pieces(overlap: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows and columns of each connected part of a matrix's positive entries."""
+    n, m = overlap.shape
+    i, j = np.nonzero(overlap > 0)
+    label = np.arange(n + m)
+    while True:
+        low = np.minimum(label[i], label[n + j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, n + j, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return [(np.flatnonzero(label[:n] == k), np.flatnonzero(label[n:] == k)) for k in np.unique(label[i])]
+
+
+def potentials(overlap: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """As certified(), part by part: only boxes that positive overlaps connect have to do with each other."""
+    pairs, rows, columns = [], np.zeros(overlap.shape[0]), np.zeros(overlap.shape[1])
+    for r, c in pieces(overlap):
+        found, rows[r], columns[c] = certified(overlap[np.ix_(r, c)])
+        pairs += [(int(r[i]), int(c[j])) for i, j in found]
+    return sorted(pairs), rows, columns
+
+
+def certificate(boxes: DataFrame, keys: list[str], crowd: int | None = None) -> DataFrame:
+    """keys, is_truth, pos, potential, mate (the pos of the box assigned to it, or null), iou (with it) of an optimal assignment and its proof, see certified(). A crowded frame is split into its connected parts, which are solved in tasks of their own."""
 
+    def one(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        is_truth, pos, box = rows["is_truth"].astype(bool), rows["pos"], corners(rows)
+        t, f = np.flatnonzero(is_truth), np.flatnonzero(~is_truth)
+        worth, mate, iou = np.zeros(len(pos)), np.full(len(pos), -1), np.zeros(len(pos))
+        overlap = iou_matrix(box[t], box[f]) if len(t) and len(f) else np.zeros((len(t), len(f)))
+        pairs, worth[t], worth[f] = potentials(overlap)
+        for i, j in pairs:
+            mate[t[i]], mate[f[j]] = f[j], t[i]
+            iou[[t[i], f[j]]] = overlap[i, j]
+        return {"is_truth": is_truth, "pos": pos, "potential": worth, "mate": np.where(mate < 0, np.nan, pos[mate].astype(float)), "iou": iou}
+
+    def part(edges: pd.DataFrame) -> pd.DataFrame:
+        t, i = np.unique(edges["a_pos"], return_inverse=True)
+        f, j = np.unique(edges["b_pos"], return_inverse=True)
+        gain = np.zeros((len(t), len(f)))
+        gain[i, j] = edges["iou"]
+        pairs, rows, columns = certified(gain)
+        mate, iou = np.full(len(t) + len(f), np.nan), np.zeros(len(t) + len(f))
+        for a, b in pairs:
+            mate[a], mate[len(t) + b] = f[b], t[a]
+            iou[[a, len(t) + b]] = gain[a, b]
+        out = {k: edges[k].iloc[:1].repeat(len(mate)).to_numpy() for k in keys}
+        return pd.DataFrame(out | {"is_truth": np.arange(len(mate)) < len(t), "pos": np.concatenate([t, f]), "potential": np.concatenate([rows, columns]), "mate": mate, "iou": iou})
+
+    kinds = {"is_truth": "boolean", "pos": "long", "potential": "double", "mate": "double", "iou": "double"}
+    tidy = lambda df: df.withColumn("mate", F.nanvl("mate", F.lit(None).cast("double")).cast("long"))
+    small, big = _by_size(boxes.select(*keys, "pos", "is_truth", *BOX), keys, crowd)
+    out = tidy(by_frame(small, keys, ["is_truth", "pos"], kinds, one))
+    if big is None:
+        return out
+    crowded = boxes.join(big.select(*keys), keys, "left_semi").select(*keys, "pos", "is_truth", *BOX)
+    edges = written(near_pairs(crowded.where("is_truth"), crowded.where(~F.col("is_truth")), big, keys, 0.0), "overlaps")
+    node = lambda side, pos: F.struct(*keys, F.lit(side).alias("side"), F.col(pos).alias("pos"))
+    label = components(edges.select(node(0, "a_pos").alias("a"), node(1, "b_pos").alias("b")))
+    parts = edges.withColumn("node", node(0, "a_pos")).join(label, "node").drop("node")
+    schema = ", ".join([f"`{k}` {dict(boxes.dtypes)[k]}" for k in keys] + [f"{k} {t}" for k, t in kinds.items()])
+    solved = tidy(parts.groupBy("label").applyInPandas(lambda g: part(g.drop(columns="label")), schema))
+    alone = crowded.select(*keys, "is_truth", "pos").join(solved, [*keys, "is_truth", "pos"], "left")
+    return out.unionByName(alone.select(*keys, "is_truth", "pos", F.coalesce("potential", F.lit(0.0)).alias("potential"), "mate", F.coalesce("iou", F.lit(0.0)).alias("iou")))
+
+
+def _by_size(boxes: DataFrame, keys: list[str], crowd: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """The boxes of frames that aren't crowded, and the crowded frames (None without any)."""
+    big = crowds(boxes, keys, crowd)
+    return (boxes if big is None else boxes.join(big.select(*keys), keys, "left_anti")), big
+
+
+def _scored(df: DataFrame) -> DataFrame:
+    """A missing score is 1.0."""
+    return df.withColumn("score", F.coalesce(F.nanvl("score", F.lit(1.0)), F.lit(1.0)))
+
+
+def greedy_in_rounds(boxes: DataFrame, big: DataFrame, keys: list[str], least: float, few: int | None = None) -> DataFrame:
+    """keys, truth_pos, pos, iou: what greedy() gives in crowded frames. A box takes its best free truth once no unsettled box before it overlaps that truth enough: nobody can take it first then."""
+    found = _scored(boxes.where(~F.col("is_truth")))
+    live = near_pairs(boxes.where("is_truth").withColumn("score", F.lit(None).cast("double")), found, big, keys, least, ("pos", "score"))
+    live = written(live.select(*keys, F.col("a_pos").alias("truth_pos"), F.col("b_pos").alias("pos"), F.col("b_score").alias("score"), "iou"), "overlaps")
+    done = []
+
+    def ended(edges: pd.DataFrame) -> pd.DataFrame:
+        edges = edges.assign(__s=-edges["score"], __i=-edges["iou"]).sort_values(["__s", "pos", "__i", "truth_pos"], kind="stable")
+        taken, settled, keep = set(), set(), []
+        for k, (t, p) in enumerate(zip(edges["truth_pos"], edges["pos"], strict=True)):
+            if p not in settled and t not in taken:
+                settled.add(p)
+                taken.add(t)
+                keep.append(k)
+        return edges.iloc[keep][[*keys, "truth_pos", "pos", "iou"]]
+
+    schema = ", ".join(f"`{k}` {t}" for k, t in live.dtypes if k != "score")
+    while True:
+        sizes = written(live.groupBy(*keys).agg((F.count(F.lit(1)) > (FEW if few is None else few)).alias("many")), "sizes")
+        done.append(live.join(sizes.where(~F.col("many")), keys, "left_semi").groupBy(*keys).applyInPandas(ended, schema))
+        live = live.join(sizes.where("many"), keys, "left_semi")
+        if not sizes.where("many").limit(1).count():
+            break
+        first = live.groupBy(*keys, "truth_pos").agg(F.max_by("pos", F.struct("score", -F.col("pos"))).alias("pos"))
+        best = live.groupBy(*keys, "pos").agg(F.max(F.struct("iou", (-F.col("truth_pos")).alias("t"))).alias("m")).select(*keys, "pos", (-F.col("m.t")).alias("truth_pos"), "m.iou")
+        settled = written(best.join(first, [*keys, "truth_pos", "pos"]), "settled")
+        done.append(settled.select(*keys, "truth_pos", "pos", "iou"))
+        live = written(live.join(settled.select(*keys, "truth_pos"), [*keys, "truth_pos"], "left_anti").join(settled.select(*keys, "pos"), [*keys, "pos"], "left_anti"), "overlaps")
+    return _union([written(d, "matches").select(*keys, "truth_pos", "pos", "iou") for d in done])
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
-def optimal(truth: np.ndarray, found: np.ndarray, least: float) -> list[tuple[int, int, float]]:
-    """(truth, found, iou) of the assignment with the greatest total overlap; pairs under `least` go only after that."""
-    if not len(truth) or not len(found):
-        return []
-    overlap = iou_matrix(truth, found)
-    return [(i, j, float(overlap[i, j])) for i, j in assignment(overlap) if overlap[i, j] >= least]
 
+def match(boxes: DataFrame, keys: list[str], least: float, how: str = "greedy", crowd: int | None = None) -> DataFrame:
+    """keys, truth_pos, pos, iou: matches of each frame between truths (is_truth) and boxes found, in the order of pos: greedily, or (optimal) with the greatest total overlap, pairs under `least` going only after that."""
+    if how == "optimal":
+        both = certificate(boxes, keys, crowd).where(F.col("is_truth") & F.col("mate").isNotNull() & (F.col("iou") >= least))
+        return both.select(*keys, F.col("pos").alias("truth_pos"), F.col("mate").alias("pos"), "iou")
 
-def match(boxes: DataFrame, keys: list[str], least: float, how: str = "greedy") -> DataFrame:
-    """keys, truth_pos, pos, iou: matches of each frame between truths (is_truth) and boxes found, in the order of pos."""
     def one(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         is_truth, pos, box = rows["is_truth"].astype(bool), rows["pos"], corners(rows)
         t, f = np.flatnonzero(is_truth), np.flatnonzero(~is_truth)
-        found = greedy(box[t], box[f], np.nan_to_num(rows["score"][f].astype(float), nan=1.0), least) if how == "greedy" else optimal(box[t], box[f], least)
+        found = greedy(box[t], box[f], np.nan_to_num(rows["score"][f].astype(float), nan=1.0), least)
         return triples([(pos[t[i]], pos[f[j]], x) for i, j, x in found], ("truth_pos", "pos", "iou"))
 
-    return by_frame(boxes.select(*keys, "pos", "is_truth", "score", *BOX), keys, ["pos"], {"truth_pos": "long", "pos": "long", "iou": "double"}, one)
+    boxes = boxes.select(*keys, "pos", "is_truth", "score", *BOX)
+    small, big = _by_size(boxes, keys, crowd)
+    out = by_frame(small, keys, ["pos"], {"truth_pos": "long", "pos": "long", "iou": "double"}, one)
+    return out if big is None else out.unionByName(greedy_in_rounds(boxes, big, keys, least))
 
 
-def outcomes(boxes: DataFrame, keys: list[str], least: float, carry: list[str] = ()) -> DataFrame:
+def outcomes(boxes: DataFrame, keys: list[str], least: float, carry: list[str] = (), crowd: int | None = None) -> DataFrame:
     """A row for each box: keys, is_truth, score (missing: 1.0), taken (the score of the box found that is in its match, null if it is in none), and columns to carry.
 
     Boxes are matched greedily, best score first, so what a lower score threshold adds comes later and changes no earlier match: the matches at
@@ -166,24 +335,82 @@ def outcomes(boxes: DataFrame, keys: list[str], least: float, carry: list[str] =
             taken[[t[i], f[j]]] = score[f[j]]
         return {"is_truth": is_truth, "score": score, "taken": taken} | {c: rows[c] for c in carry}
 
-    out = by_frame(boxes.select(*keys, "pos", "is_truth", "score", *BOX, *carry), keys, ["pos"], {"is_truth": "boolean", "score": "double", "taken": "double"} | {c: kinds[c] for c in carry}, one)
-    return out.withColumn("taken", F.nanvl("taken", F.lit(None).cast("double")))
+    boxes = boxes.select(*dict.fromkeys([*keys, "pos", "is_truth", "score", *BOX, *carry]))
+    small, big = _by_size(boxes, keys, crowd)
+    out = by_frame(small, keys, ["pos"], {"is_truth": "boolean", "score": "double", "taken": "double"} | {c: kinds[c] for c in carry}, one)
+    out = out.withColumn("taken", F.nanvl("taken", F.lit(None).cast("double")))
+    if big is None:
+        return out
+    crowded = _scored(boxes.join(big.select(*keys), keys, "left_semi"))
+    pairs = greedy_in_rounds(crowded, big, keys, least).join(crowded.where(~F.col("is_truth")).select(*keys, "pos", F.col("score").alias("taken")), [*keys, "pos"])
+    both = pairs.select(*keys, F.lit(True).alias("is_truth"), F.col("truth_pos").alias("pos"), "taken").unionByName(pairs.select(*keys, F.lit(False).alias("is_truth"), "pos", "taken"))
+    return out.unionByName(crowded.join(both, [*keys, "is_truth", "pos"], "left").select(*keys, "is_truth", "score", "taken", *carry))
 
 
-def containment(boxes: DataFrame, keys: list[str], track: str, part: float, ratio: float) -> DataFrame:
-    """track, n, frac, container: in which share of its frames a track's box lies by `part` of its area in one at least `ratio` times as large, and most often whose (the smaller id of equals; of several in a frame the largest box, the first of equals)."""
-    cols = [*keys, track, "pos", *BOX]
-    pairs = prefixed(boxes.select(cols), "a_", keys).join(prefixed(boxes.select(cols), "b_", keys), keys).where(F.col("a_pos") != F.col("b_pos"))
+def containment(boxes: DataFrame, keys: list[str], track: str, part: float, ratio: float, cell: float = 64.0) -> DataFrame:
+    """track, n, frac, container: in which share of its frames a track's box lies by `part` of its area in one at least `ratio` times as large, and most often whose (the smaller id of equals; of several in a frame the largest box, the first of equals).
+
+    A box of which over half lies in another has its middle there, on both axes. So a box looks for containers in the one
+    grid cell of its middle (for a smaller part, in all its cells), and containers stand in all their cells.
+    """
+    at = lambda x: F.floor(x / cell)
+    span = lambda lo, hi: F.explode(F.sequence(at(F.col(lo)), at(F.col(hi))))
+    cells = lambda df: df.withColumn("cx", span("x1", "x2")).withColumn("cy", span("y1", "y2"))
+    rows = boxes.select(*keys, track, "pos", *BOX)
+    middle = part > 0.5
+    inner = rows.withColumns({"cx": at((F.col("x1") + F.col("x2")) / 2), "cy": at((F.col("y1") + F.col("y2")) / 2)}) if middle else cells(rows)
+    on = [*keys, "cx", "cy"]
+    pairs = prefixed(inner, "a_", on).join(prefixed(cells(rows), "b_", on), on).where(F.col("a_pos") != F.col("b_pos"))
+    if not middle:  # once, in the first cell that both are in
+        pairs = pairs.where((F.col("cx") == at(F.greatest("a_x1", "b_x1"))) & (F.col("cy") == at(F.greatest("a_y1", "b_y1"))))
     inside = pairs.where((bx.intersection("a_", "b_") / F.greatest(bx.area("a_"), F.lit(1.0)) >= part) & (bx.area("b_") >= ratio * bx.area("a_")))
-    largest = Window.partitionBy(*keys, "a_pos").orderBy(bx.area("b_").desc(), "b_pos")
-    hits = inside.withColumn("r", F.row_number().over(largest)).where("r = 1").groupBy(F.col(f"a_{track}").alias(track), F.col(f"b_{track}").alias("by")).agg(F.count(F.lit(1)).alias("c"))
+    best = inside.groupBy(*keys, "a_pos", F.col(f"a_{track}").alias(track)).agg(F.max_by(f"b_{track}", F.struct(bx.area("b_"), -F.col("b_pos"))).alias("by"))
+    hits = best.groupBy(track, "by").agg(F.count(F.lit(1)).alias("c"))
     total = hits.groupBy(track).agg(F.sum("c").alias("c"), F.max_by("by", F.struct("c", -F.col("by"))).alias("container"))
     n = boxes.groupBy(track).agg(F.count(F.lit(1)).alias("n"))
     return n.join(total, track, "left").select(track, "n", (F.coalesce("c", F.lit(0)) / F.col("n")).alias("frac"), "container")
 
 
-def clusters(boxes: DataFrame, keys: list[str], least: float) -> DataFrame:
-    """keys, pos, head: greedy suppression, best score first; each cluster bears the place of its head."""
+def suppressed_in_rounds(boxes: DataFrame, big: DataFrame, keys: list[str], least: float, few: int | None = None) -> DataFrame:
+    """keys, pos, head: what clusters() gives in crowded frames. A box that overlaps no unsettled box before it is a head, and what a head overlaps is none; who is nobody's is a head."""
+    boxes = _scored(boxes)
+    pairs = near_pairs(boxes, boxes, big, keys, least, ("pos", "score")).where((F.col("a_score") > F.col("b_score")) | ((F.col("a_score") == F.col("b_score")) & (F.col("a_pos") < F.col("b_pos"))))
+    pairs = written(pairs.drop("iou"), "overlaps")  # a before b
+    live, gone = pairs, []
+
+    def ended(edges: pd.DataFrame) -> pd.DataFrame:
+        """Boxes in order; each that no head before it has met is a head."""
+        edges = edges.assign(__s=-edges["a_score"]).sort_values(["__s", "a_pos"], kind="stable")
+        out: dict = {}
+        for a, b in zip(edges["a_pos"], edges["b_pos"], strict=True):
+            if a not in out:
+                out.setdefault(b, None)
+        return edges.iloc[:1][keys].merge(pd.DataFrame({"pos": list(out)}), how="cross")
+
+    schema = ", ".join(f"`{k}` {t}" for k, t in pairs.select(*keys, F.col("a_pos").alias("pos")).dtypes)
+    while True:
+        sizes = written(live.groupBy(*keys).agg((F.count(F.lit(1)) > (FEW if few is None else few)).alias("many")), "sizes")
+        gone.append(written(live.join(sizes.where(~F.col("many")), keys, "left_semi").groupBy(*keys).applyInPandas(ended, schema), "suppressed"))
+        if not sizes.where("many").limit(1).count():
+            break
+        live = live.join(sizes.where("many"), keys, "left_semi")
+        later = live.select(*keys, F.col("b_pos").alias("a_pos")).distinct()
+        heads = live.select(*keys, "a_pos").distinct().join(later, [*keys, "a_pos"], "left_anti")
+        met = written(live.join(heads, [*keys, "a_pos"], "left_semi").select(*keys, F.col("b_pos").alias("pos")).distinct(), "suppressed")
+        gone.append(met)
+        # whoever is suppressed touches nobody any more
+        left = live.join(met.withColumnRenamed("pos", "a_pos"), [*keys, "a_pos"], "left_anti").join(met.withColumnRenamed("pos", "b_pos"), [*keys, "b_pos"], "left_anti")
+        live = written(left.select(*pairs.columns), "overlaps")
+    none = _union(gone).distinct()
+    heads = pairs.join(none.withColumnRenamed("pos", "a_pos"), [*keys, "a_pos"], "left_anti")
+    own = heads.groupBy(*keys, F.col("b_pos").alias("pos")).agg(F.max_by("a_pos", F.struct("a_score", -F.col("a_pos"))).alias("head"))
+    return boxes.select(*keys, "pos").join(own, [*keys, "pos"], "left").withColumn("head", F.coalesce("head", "pos"))
+
+
+def clusters(boxes: DataFrame, keys: list[str], least: float, crowd: int | None = None) -> DataFrame:
+    """keys, pos, head: greedy suppression, best score first; each cluster bears the place of its head. least: above 0."""
+    if least <= 0:
+        raise ValueError("boxes that don't overlap are in no cluster")
 
     def one(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         b, pos = corners(rows), rows["pos"]
@@ -194,31 +421,32 @@ def clusters(boxes: DataFrame, keys: list[str], least: float) -> DataFrame:
                 head[i] = i
         return {"pos": pos, "head": pos[head]}
 
-    return by_frame(boxes.select(*keys, "pos", "score", *BOX), keys, ["pos"], {"pos": "long", "head": "long"}, one)
+    boxes = boxes.select(*keys, "pos", "score", *BOX)
+    small, big = _by_size(boxes, keys, crowd)
+    out = by_frame(small, keys, ["pos"], {"pos": "long", "head": "long"}, one)
+    return out if big is None else out.unionByName(suppressed_in_rounds(boxes.join(big.select(*keys), keys, "left_semi"), big, keys, least))
 
 
 def rejoin(boxes: DataFrame, keys: list[str], bands: tuple[list[tuple[int, int]], list[tuple[int, int]]], tolerance: float, least: float) -> DataFrame:
     """keys, pos, piece_of: boxes that seams of tiles cut, with the least place of their group (groups of two and more).
 
-    bands: for each axis the (start of the next tile, end of this one) of every seam.
+    bands: for each axis the (start of the next tile, end of this one) of every seam. Boxes that end at a seam meet those that
+    start at it by a join on frame and seam; groups are the connected components of what fits together.
     """
-
-    def one(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        b, pos = corners(rows), rows["pos"]
-        root = np.arange(len(b))
-        for axis, seams in enumerate(bands):
-            lo, hi, other_lo, other_hi = b[:, axis], b[:, axis + 2], b[:, 1 - axis], b[:, 3 - axis]
-            for start, end in seams:
-                left, right = (np.abs(hi - end) <= tolerance) & (lo < start), (np.abs(lo - start) <= tolerance) & (hi > end)
-                for i in np.flatnonzero(left):
-                    for j in np.flatnonzero(right):
-                        union = max(other_hi[i], other_hi[j]) - min(other_lo[i], other_lo[j])
-                        inter = min(other_hi[i], other_hi[j]) - max(other_lo[i], other_lo[j])
-                        if union > 0 and inter / union >= least:
-                            a, z = root[i], root[j]
-                            root[root == max(a, z)] = min(a, z)
-        size = np.bincount(root, minlength=len(b))
-        keep = size[root] > 1
-        return {"pos": pos[keep], "piece_of": pos[root[keep]]}
-
-    return by_frame(boxes.select(*keys, "pos", *BOX), keys, ["pos"], {"pos": "long", "piece_of": "long"}, one)
+    sides = []
+    for axis, seams in enumerate(bands):
+        lo, hi, other = ("x1", "x2", ("y1", "y2")) if axis == 0 else ("y1", "y2", ("x1", "x2"))
+        for k, (start, end) in enumerate(seams):
+            near = lambda c, to: F.abs(F.col(c) - to) <= tolerance
+            kind = F.array_compact(F.array(F.when(near(hi, end) & (F.col(lo) < start), "ends"), F.when(near(lo, start) & (F.col(hi) > end), "starts")))
+            sides.append(F.struct(F.lit(axis).alias("axis"), F.lit(k).alias("seam"), kind.alias("kinds"), F.col(other[0]).alias("from"), F.col(other[1]).alias("to")))
+    if not sides:
+        return boxes.select(*keys, "pos", F.col("pos").alias("piece_of")).limit(0)
+    cut = boxes.select(*keys, "pos", F.explode(F.array(*sides)).alias("s")).select(*keys, "pos", "s.axis", "s.seam", F.explode("s.kinds").alias("kind"), "s.from", "s.to")
+    on = [*keys, "axis", "seam"]
+    a, b = (prefixed(cut.where(F.col("kind") == k).drop("kind"), p, on) for k, p in (("ends", "a_"), ("starts", "b_")))
+    union, inter = F.greatest("a_to", "b_to") - F.least("a_from", "b_from"), F.least("a_to", "b_to") - F.greatest("a_from", "b_from")
+    fits = a.join(b, on).where((union > 0) & (inter / union >= least) & (F.col("a_pos") != F.col("b_pos")))
+    node = lambda c: F.struct(*keys, F.col(c).alias("pos"))
+    found = components(written(fits.select(node("a_pos").alias("a"), node("b_pos").alias("b")), "seams"))
+    return found.select("node.*", F.col("label.pos").alias("piece_of"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes as bx
 from ..operators import matching, metrics
 from ..registry import query
+from ..sources.scratch import written
 from .base import BOXES, boxes, iou_sql, table
 
 INTER, IOU = iou_sql("a", "b")
@@ -81,14 +82,14 @@ def j5(spark, sf_dir):
     return matching.match(boxes(spark, sf_dir), ["frame"], 0.3, "optimal").withColumn("iou", F.round("iou", 9))
 
 
-@query(
-    "j5_assignment_totals",
-    f"""WITH RECURSIVE {BOXES}, t AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY pos) AS i FROM boxes WHERE is_truth),
+TOTALS = f"""WITH RECURSIVE {BOXES}, t AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY pos) AS i FROM boxes WHERE is_truth),
 o AS (SELECT a.frame, a.i, b.pos AS f, {IOU} AS iou FROM t a JOIN boxes b ON a.frame = b.frame AND NOT b.is_truth WHERE {IOU} > 0 UNION ALL SELECT frame, i, NULL, 0.0 FROM t),
 m AS (SELECT DISTINCT frame, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(0 AS DOUBLE) AS total FROM boxes
   UNION ALL SELECT m.frame, o.i, CASE WHEN o.f IS NULL THEN m.used ELSE list_append(m.used, o.f) END, m.total + o.iou FROM m JOIN o ON o.frame = m.frame AND o.i = m.i + 1 WHERE o.f IS NULL OR NOT list_contains(m.used, o.f))
-SELECT frame, round(max(total), 6) AS total FROM m GROUP BY frame""",
-)
+SELECT frame, round(max(total), 6) AS total FROM m GROUP BY frame"""
+
+
+@query("j5_assignment_totals", TOTALS)
 def j5_totals(spark, sf_dir):
     """The greatest total overlap of each frame's one-to-one pairs, which is the same for all optimal assignments."""
     b = boxes(spark, sf_dir)
@@ -96,6 +97,22 @@ def j5_totals(spark, sf_dir):
     return b.select("frame").distinct().join(total, "frame", "left").select("frame", F.round(F.coalesce("total", F.lit(0.0)), 6).alias("total"))
 
 
+@query("j5_dual_certificate", TOTALS.replace("SELECT frame, round(max(total), 6) AS total FROM m", "SELECT frame, round(max(total), 6) AS total, 0 AS too_low, 0 AS loose FROM m"))
+def j5_certificate(spark, sf_dir):
+    """The proof that assignments are optimal, checked here by joins: potentials add up to the best total of all assignments, for no pair to less than its overlap (too_low), and are tight (loose: pairs taken of which they aren't the overlap, boxes in none that have one)."""
+    b = boxes(spark, sf_dir)
+    proof = written(matching.certificate(b, ["frame"]), "certificate")
+    worth = lambda truth, name: proof.where(F.col("is_truth") == truth).select("frame", F.col("pos").alias(f"{name}_pos"), F.col("potential").alias(name))
+    pairs = matching.iou_pairs(b.where("is_truth"), b.where(~F.col("is_truth")), ["frame"]).select("frame", "a_pos", "b_pos", "iou")
+    pairs = pairs.join(worth(True, "a"), ["frame", "a_pos"]).join(worth(False, "b"), ["frame", "b_pos"])
+    low = pairs.groupBy("frame").agg(F.count_if(F.col("a") + F.col("b") < F.col("iou") - 1e-9).alias("too_low"))
+    taken = proof.where("is_truth and mate is not null").select("frame", F.col("pos").alias("a_pos"), F.col("mate").alias("b_pos"), "iou").join(worth(True, "a"), ["frame", "a_pos"]).join(worth(False, "b"), ["frame", "b_pos"])
+    slack = taken.groupBy("frame").agg(F.count_if(F.abs(F.col("a") + F.col("b") - F.col("iou")) > 1e-9).alias("slack"))
+    total = proof.groupBy("frame").agg(F.sum("potential").alias("total"), F.count_if((F.col("potential") < 0) | (F.col("mate").isNull() & (F.abs("potential") > 1e-9))).alias("held"))
+    out = total.join(low, "frame", "left").join(slack, "frame", "left")
+    return out.select("frame", F.round("total", 6).alias("total"), F.coalesce("too_low", F.lit(0)).cast("int").alias("too_low"), (F.col("held") + F.coalesce("slack", F.lit(0))).cast("int").alias("loose"))
+
+
 @query(
     "j7_containment",
     f"""WITH {BOXES}, m AS (
