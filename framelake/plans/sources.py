@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes as bx
 from ..registry import query
 from ..sources import annotations as an
+from ..sources.lines import write_lines
 from ..sources.scratch import named, renamed, shared, write_json, write_text
 from ..streaming import ingest
 from .base import BOXES, boxes, table
@@ -26,16 +27,17 @@ def frames_of(spark, sf_dir):
 
 
 def chunks_of(spark, sf_dir, size: int = CHUNK, open_last: bool = True) -> str:
-    """A folder with chunk files of all frames, written by executors, a file a task at a time: a stale line before each frame's own, broken lines, a marker for all but the last chunk (or for all)."""
-    raw, path = shared(spark, "chunks-raw"), shared(spark, "chunks")
-    rows = frames_of(spark, sf_dir)
+    """A folder with chunk files of all frames and their markers, named and written by tasks: a stale line before each frame's own, broken lines, a marker for all but the last chunk (or for all)."""
+    path, rows = shared(spark, "chunks"), frames_of(spark, sf_dir)
     own = F.to_json(F.struct("flight", "sample_index", "dts_s", "dts_ticks", "utc_us", "width", "height", "shapes"))
     stale = F.format_string('{"flight":"f","sample_index":%d,"shapes":[]}', "sample_index")
-    text = F.concat_ws("\n", stale, own, F.lit('{"flight":"f","sample_i'))
-    rows.select((F.floor(F.col("sample_index") / size) * size).alias("c"), text.alias("text")).repartition("c").write.partitionBy("c").text(raw)
-    found = named(spark, raw, path, lambda c: f"f_chunk_{c}_{c + size}.jsonl")
-    for c in sorted(found)[: -1 if open_last else None]:
-        write_text(spark, f"{path}/f_chunk_{c}_{c + size}.done", "")
+    chunk = (F.floor(F.col("sample_index") / size) * size).alias("c")
+    name = lambda kind: F.concat(F.lit("f_chunk_"), "c", F.lit("_"), F.col("c") + size, F.lit(kind)).alias("file")
+    text = rows.select(chunk, F.concat_ws("\n", stale, own, F.lit('{"flight":"f","sample_i')).alias("value")).select(name(".jsonl"), "value")
+    ids = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sample_index")).select(chunk)
+    last = F.broadcast(ids.agg(F.max("c").alias("last")))  # one row
+    done = ids.distinct().join(last, F.col("c") < F.col("last") + (0 if open_last else 1)).select(name(".done"), F.lit(None).cast("string").alias("value"))
+    write_lines(text.unionByName(done).repartition("file").sortWithinPartitions("file"), path)
     return path
 
 
@@ -261,6 +263,20 @@ def i1(spark, sf_dir):
     return spark.read.parquet(out).select("sample_index", F.size("shapes").cast("long").alias("n"))
 
 
+@query("i3_latest_wins", f"WITH {BOXES} SELECT frame AS sample_index, count(*) AS n, CASE WHEN frame % 3 = 0 THEN 2 ELSE 1 END AS versions FROM boxes GROUP BY frame")
+def i3(spark, sf_dir):
+    """Frames through the file source in two batches, the second of which corrects a third of the first; the second is read after a restart."""
+    path, out, check = (shared(spark, x) for x in ("incoming", "ingested", "progress"))
+    f = frames_of(spark, sf_dir)
+    stale = f.withColumn("shapes", F.filter("shapes", lambda s: F.lit(False)))
+    late = F.col("sample_index") % 3 == 0
+    for part in (stale.where(late).unionByName(f.where(~late)), f.where(late)):
+        part.write.mode("append").json(path)
+        ingest.write(ingest.latest_wins(ingest.line_stream(spark, path)), out, check).awaitTermination()
+    found = spark.read.parquet(out).groupBy("sample_index").agg(F.max_by(F.size("shapes"), "version").cast("long").alias("n"), F.max("version").alias("versions"))
+    return found.select("sample_index", "n", "versions")
+
+
 @query(
     "i2_windowed_counts",
     f"""WITH {BOXES}, f AS (SELECT frame + 1 AS s, count(*) AS n FROM boxes GROUP BY frame)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import boxes as bx
+from . import lines as source_lines
 
 INDEX = "sample_index string, dts_ticks string, timescale string, stream string, valid string, mode string"
 COCO = "images array<struct<id: long, file_name: string, width: int, height: int>>, annotations array<struct<id: long, image_id: long, category_id: long, bbox: array<double>>>, categories array<struct<id: long, name: string>>"
@@ -72,20 +73,18 @@ def in_order(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def frames(spark: SparkSession, path: str, flight: str, start: int | None = None, end: int | None = None, partial: bool = False) -> DataFrame:
-    """Frames of [start, end): the last line of each sample_index wins, broken lines are left out. An unfinished chunk is an error, or (partial) left out."""
-    found = chunk_files(spark, path).where(F.col("flight") == flight)
-    if start is not None:
-        found = found.where(F.col("end") > start)
-    if end is not None:
-        found = found.where(F.col("start") < end)
-    found = sorted((r.start, r.path, r.done) for r in found.collect())  # a row a file
-    if open_ := [p for _, p, done in found if not done and not partial]:
+    """Frames of [start, end): the last line of each sample_index wins, broken lines are left out. An unfinished chunk is an error, or (partial) left out.
+
+    Read by a source of our own (sources/lines.py), which doesn't open files that don't meet the range.
+    """
+    meets = lambda c: c.flight == flight and (start is None or c.end > start) and (end is None or c.start < end)
+    found = [c for c in source_lines.listed(path) if meets(c)]
+    if (open_ := [c.path for c in found if not c.done]) and not partial:
         raise ValueError(f"chunks not finished: {open_}")
-    paths = [p for _, p, done in found if done]
-    if not paths:
+    if len(open_) == len(found):
         raise ValueError(f"no finished chunks of {flight}")
-    # a file's place is said by its name, so no expression grows with the number of files
-    return _latest_frames(in_order(spark, paths), F.struct(F.regexp_extract("path", CHUNK, 2).cast("long").alias("start"), F.col("path").alias("name")), start, end)
+    raw = source_lines.chunks(spark, path, flight, start, end, partial).select(F.struct("start", "path").alias("file"), F.struct("block", "line").alias("place"), "value")
+    return _latest_frames(raw, F.col("file"), start, end)
 
 
 def annotations(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -214,10 +213,8 @@ def clean_shapes(df: DataFrame, labels: dict[str, str], fallback: str, uncertain
 
 
 def append(df: DataFrame, path: str, most_errors: int | None = None, error: str = "error") -> None:
-    """Appends rows as JSON lines; too many rows with an error stop it before anything is written. Whole files appear at once, by Spark's commit."""
-    if most_errors is not None and df.where(F.col(error).isNotNull()).limit(most_errors + 1).count() > most_errors:
-        raise ValueError(f"more than {most_errors} rows with errors")
-    df.write.mode("append").json(path)
+    """Appends rows as JSON lines, in whole files that all appear at once; too many rows with an error, and none does. df is evaluated once."""
+    source_lines.write_lines(df.select(F.to_json(F.struct(*df.columns)).alias("value"), *([F.col(error).cast("string").alias("error")] if most_errors is not None else [])), path, most_errors)
 
 
 def chunk_progress(spark: SparkSession, path: str) -> DataFrame:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..sources.annotations import FRAME
 
+#: The store that keyed state with timers needs.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def frame_stream(spark: SparkSession, path: str, files_each: int = 64) -> DataFrame:
     """Frames as files arrive; broken lines are left out."""
@@ -21,6 +28,64 @@ def once_each(frames: DataFrame, time: str = "utc_us", late: str = "10 minutes")
     return timed.withWatermark("at", late).dropDuplicatesWithinWatermark(["flight", "sample_index"])
 
 
+def line_stream(spark: SparkSession, path: str, files_each: int = 64) -> DataFrame:
+    """Frames' lines as files arrive, with their place: when the file was written, its name, the block read, and the order in it. Broken lines are left out."""
+    raw = spark.readStream.option("maxFilesPerTrigger", files_each).option("maxFileAge", "36500d").text(path)  # how late is too late is said once, by latest_wins()
+    rows = raw.select("value", F.unix_micros("_metadata.file_modification_time").alias("written"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:
+            yield batch.append_column("at", pa.array(range(at, at + batch.num_rows), pa.int64()))
+            at += batch.num_rows
+
+    rows = rows.mapInArrow(counted, "value string, written long, file string, block long, at long")
+    parsed = rows.select(F.from_json("value", "flight string, sample_index long").alias("f"), "written", "file", "block", "at", "value").where("f.sample_index is not null")
+    return parsed.select(F.coalesce("f.flight", F.lit("")).alias("flight"), "f.sample_index", "written", "file", "block", "at", "value")
+
+
+class Latest(StatefulProcessor):
+    """Keeps the place of each frame's last line; a line that isn't later is ignored. State goes by a timer, once the watermark has passed the last line."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.seen = handle, handle.getValueState("seen", "written long, file string, block long, at long, version int")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        best, value = None, None
+        for batch in rows:
+            for place in zip(batch["written"], batch["file"], batch["block"], batch["at"], batch["value"], strict=True):
+                if best is None or place[:4] > best:
+                    best, value = place[:4], place[4]
+        old = self.seen.get() if self.seen.exists() else None
+        if best is None or old is not None and tuple(old[:4]) >= best:
+            return
+        version = 1 if old is None else old[4] + 1
+        self.seen.update((int(best[0]), str(best[1]), int(best[2]), int(best[3]), version))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(best[0]) // 1000)
+        yield pd.DataFrame({"flight": [key[0]], "sample_index": [key[1]], "version": [version], "value": [value]}).astype({"version": "int32"})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def latest_wins(lines: DataFrame, late: str = "3650 days") -> DataFrame:
+    """Frames with `version` from 1: a row whenever a later line of a frame comes. Of all rows of a frame the one with the greatest version is the latest. lines: from line_stream().
+
+    A line is late if its file was written so long before the newest one: such lines no longer count, and what is known of a
+    frame is kept until its last line is as old.
+    """
+    lines.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = lines.withColumn("seen", F.timestamp_micros("written")).withWatermark("seen", late).groupBy("flight", "sample_index")
+    found = rows.transformWithStateInPandas(Latest(), "flight string, sample_index long, version int, value string", "append", "eventTime")
+    return found.select(F.from_json("value", FRAME).alias("f"), "version").select("f.*", "version")
+
+
 def counts_by_window(frames: DataFrame, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """start, flight, frames, boxes of closed windows of time."""
     timed = frames.withColumn("at", F.timestamp_micros("utc_us")).withWatermark("at", late)
