@@ -34,25 +34,32 @@ def binned_recall(outcomes: DataFrame, thresholds: list[float]) -> DataFrame:
 
 
 def track_quality(members: DataFrame, truths: Column | int, least: int = 1) -> DataFrame:
-    """One row of measures. members: track, target (null: false positive), one row a detection, track null if in none; truths: number of true boxes."""
-    sizes = members.where("track is not null").groupBy("track").agg(F.count(F.lit(1)).alias("n"))
-    kept = members.join(sizes.where(F.col("n") >= least), "track")
-    pairs = kept.where("target is not null").groupBy("track", "target").agg(F.count(F.lit(1)).alias("c"))
-    own = pairs.groupBy("track").agg(F.sum("c").alias("count"), F.max("c").alias("top"))
-    pieces = pairs.join(own, "track").where(F.col("c") >= F.greatest(F.lit(2.0), 0.1 * F.col("count"))).groupBy("target").agg(F.count(F.lit(1)).alias("pieces"))
-    dets = members.agg(F.count(F.lit(1)).alias("detections"), F.count("target").alias("true_detections"), F.count_distinct("target").alias("gt_objects"))
-    inside = kept.agg(F.count(F.lit(1)).alias("in_tracks"), (F.count(F.lit(1)) - F.count("target")).alias("fp_in"), F.count_distinct("track").alias("tracks"))
-    pure = own.agg(F.coalesce(F.sum("top"), F.lit(0)).alias("majority"), F.coalesce(F.sum("count"), F.lit(0)).alias("true_in"), F.count_if(F.col("top") < F.col("count")).alias("impure_tracks"))
-    frag = pieces.agg(F.coalesce(F.avg("pieces"), F.lit(0.0)).alias("pieces_per_object"), F.coalesce(F.avg(F.when(F.col("pieces") == 1, 1.0).otherwise(0.0)), F.lit(0.0)).alias("objects_in_one_piece"))
-    row = dets
-    for t in (inside, pure, frag):  # each has one row
-        row = row.join(F.broadcast(t))
-    gt = truths if isinstance(truths, Column) else F.lit(truths)
-    c = F.col
+    """One row of measures. members: track, target (null: false positive), one row a detection, track null if in none; truths: the number of true boxes, or an aggregate over members that gives it.
+
+    Everything is sums over one small table of (track, target) counts: no second pass over members.
+    """
+    c, w = F.col, Window.partitionBy("track")
+    cells = members.groupBy("track", "target").agg(F.count(F.lit(1)).alias("c"), (truths if isinstance(truths, Column) else F.lit(0)).cast("long").alias("truths"))
+    hit = F.when(c("target").isNotNull(), c("c"))
+    cells = cells.withColumns({"n": F.sum("c").over(w), "count": F.sum(hit).over(w), "top": F.max(hit).over(w), "head": F.row_number().over(w.orderBy("target")) == 1})
+    kept = c("track").isNotNull() & (c("n") >= least)
+    once = lambda x: F.sum(F.when(kept & c("head"), x))  # noqa: E731  a track's own figures, from one of its rows
+    by_target = cells.groupBy("target").agg(
+        F.sum("c").alias("c"), F.sum("truths").alias("truths"), F.count_if(kept & c("target").isNotNull() & (c("c") >= F.greatest(F.lit(2.0), 0.1 * c("count")))).alias("pieces"),
+        once(c("n")).alias("in_tracks"), once(F.lit(1)).alias("tracks"), once(c("top")).alias("majority"), once(c("count")).alias("true_in"), once((c("top") < c("count")).cast("long")).alias("impure_tracks"),
+    )
+    none = lambda x: F.coalesce(x, F.lit(0))
+    some = c("pieces") > 0
+    row = by_target.agg(
+        none(F.sum("truths")).alias("truths"), none(F.sum("c")).alias("detections"), none(F.sum(F.when(c("target").isNotNull(), c("c")))).alias("true_detections"), F.count("target").alias("gt_objects"),
+        *[none(F.sum(x)).alias(x) for x in ("in_tracks", "tracks", "majority", "true_in", "impure_tracks")],
+        F.coalesce(F.avg(F.when(some, c("pieces"))), F.lit(0.0)).alias("pieces_per_object"), F.coalesce(F.avg(F.when(some, (c("pieces") == 1).cast("double"))), F.lit(0.0)).alias("objects_in_one_piece"),
+    )
+    gt = c("truths") if isinstance(truths, Column) else F.lit(truths).cast("long")
     return row.select(
-        gt.cast("long").alias("gt_boxes"), "detections", ratio(c("true_detections"), gt).alias("recall_det"), ratio(c("detections") - c("true_detections"), c("detections")).alias("fp_share"),
+        gt.alias("gt_boxes"), "detections", ratio(c("true_detections"), gt).alias("recall_det"), ratio(c("detections") - c("true_detections"), c("detections")).alias("fp_share"),
         "gt_objects", "tracks", ratio(c("in_tracks"), c("detections")).alias("coverage"), ratio(c("majority"), c("true_in")).alias("purity"), "impure_tracks",
-        ratio(c("fp_in"), c("in_tracks")).alias("fp_in_tracks"), "pieces_per_object", "objects_in_one_piece",
+        ratio(c("in_tracks") - c("true_in"), c("in_tracks")).alias("fp_in_tracks"), "pieces_per_object", "objects_in_one_piece",
     )
 
 

@@ -11,21 +11,29 @@ from .ordered import evenly
 
 
 def by_cells(df: DataFrame, group: str, cell: str, cap: int, key: list[str], order: list[Column] | None = None) -> DataFrame:
-    """At most `cap` rows of each group, spread over its cells: max(1, cap // cells) of each."""
-    cells = df.groupBy(group).agg(F.count_distinct(cell).alias("__cells"))
+    """At most `cap` rows of each group, spread over its cells: max(1, cap // cells) of each.
+
+    No cell gives more than `cap` rows, a number known beforehand: so each task sends its own first rows of a cell only.
+    """
     w = Window.partitionBy(group, cell).orderBy(*(order or [F.xxhash64(*key)]), *key)
-    ranked = df.withColumn("__r", F.row_number().over(w)).join(cells, group)
-    return ranked.where(F.col("__r") <= F.greatest(F.lit(1), F.floor(F.lit(cap) / F.col("__cells")))).drop("__r", "__cells")
+    first = df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= max(1, cap))
+    cells = F.size(F.collect_set(cell).over(Window.partitionBy(group)))  # each cell is still there
+    return first.withColumn("__cells", cells).where(F.col("__r") <= F.greatest(F.lit(1), F.floor(F.lit(cap) / F.col("__cells")))).drop("__r", "__cells")
 
 
 def by_tracks(df: DataFrame, group: str, track: str, order: list[str], k: int, cap: int, draw: Column | None = None) -> DataFrame:
-    """At most k evenly spaced rows of each track and about `cap` of each group: with too many tracks, those with the least hash."""
+    """At most k evenly spaced rows of each track and about `cap` of each group: with too many tracks, those with the least hash.
+
+    Of a group's tracks no more than `cap` can be drawn, and each task sends its own first ones only; how many tracks there are is counted apart.
+    """
     tracks = df.select(group, track).distinct()
-    w = Window.partitionBy(group)
-    tracks = tracks.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__r", F.row_number().over(w.orderBy(F.xxhash64(track) if draw is None else draw, track)))
+    n = tracks.groupBy(F.col(group).alias("__group")).agg(F.count(F.lit(1)).alias("__n"))  # a row a group
+    w = Window.partitionBy(group).orderBy(F.xxhash64(track) if draw is None else draw, track)
+    first = tracks.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= max(1, cap))
+    first = first.join(n, F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
     each = F.greatest(F.lit(1), F.least(F.lit(k), F.floor(F.lit(cap) / F.col("__n"))))
-    tracks = tracks.withColumn("__k", each.cast("int")).where((F.col("__n") * F.col("__k") <= cap) | (F.col("__r") <= F.floor(F.lit(cap) / F.col("__k")))).drop("__n", "__r")
-    return evenly(df.join(tracks, [group, track]), [group, track], order, F.col("__k")).drop("__k")
+    first = first.withColumn("__k", each.cast("int")).where((F.col("__n") * F.col("__k") <= cap) | (F.col("__r") <= F.floor(F.lit(cap) / F.col("__k")))).drop("__n", "__r")
+    return evenly(df.join(first, [group, track]), [group, track], order, F.col("__k")).drop("__k")
 
 
 def by_strata(df: DataFrame, strata: list[tuple[str, int, Column]], key: list[str], order: list[Column] | None = None) -> DataFrame:

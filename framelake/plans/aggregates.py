@@ -91,9 +91,8 @@ FROM (SELECT count(*) AS n, count(target) AS t, count(DISTINCT target) AS g, (SE
 (SELECT sum(top) AS maj, sum(cnt) AS tr, count(*) FILTER (WHERE top < cnt) AS imp FROM o) u, (SELECT avg(pieces) AS a, avg(CASE WHEN pieces = 1 THEN 1.0 ELSE 0.0 END) AS b FROM f) q""",
 )
 def a6(spark, sf_dir):
-    b = boxes(spark, sf_dir)
-    members = b.select(F.when(F.col("pos") % 5 != 4, F.col("track")).alias("track"), F.when(F.col("pos") % 3 != 2, F.col("label")).alias("target"))
-    out = metrics.track_quality(members, b.where("is_truth").count(), 3)
+    members = boxes(spark, sf_dir).select(F.when(F.col("pos") % 5 != 4, F.col("track")).alias("track"), F.when(F.col("pos") % 3 != 2, F.col("label")).alias("target"), "is_truth")
+    out = metrics.track_quality(members, F.count_if("is_truth"), 3)
     return out.withColumns({c: F.round(c, 9) for c, t in out.dtypes if t == "double"})
 
 

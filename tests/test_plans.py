@@ -48,3 +48,22 @@ def test_recall_matches_once(spark, sf_dir, name):
     """One Python node and one scan, whatever the number of thresholds."""
     text = plan(registry.queries()[name](spark, sf_dir)).split("(1)")[0]
     assert len(re.findall("MapInPandas", text)) == 1 and len(re.findall("Scan parquet", text)) == 1
+
+
+def test_track_quality_reads_its_table_once(spark, sf_dir):
+    text = plan(registry.queries()["a6_track_quality"](spark, sf_dir)).split("\n\n(1)")[0]
+    assert len(re.findall("Scan parquet", text)) == 1 and len(re.findall("Exchange", text)) <= 5
+    assert "Join" not in text
+
+
+@pytest.mark.parametrize("name", ["m1_cap_by_size", "m2_cap_by_track"])
+def test_samples_are_limited_before_they_move(spark, sf_dir, name):
+    """First rows of a cell or class are found below the exchange already."""
+    text = plan(registry.queries()[name](spark, sf_dir)).split("\n\n(1)")[0]
+    first, last = text.index("WindowGroupLimit"), text.rindex("WindowGroupLimit")
+    assert "Exchange" in text[first:last]
+
+
+def test_containers_meet_in_cells(spark, sf_dir):
+    text = plan(registry.queries()["j7_containment"](spark, sf_dir))
+    assert re.search(r"(Left keys|Right keys).*cx.*cy|hashpartitioning\([^)]*cx", text)
