@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import time
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import boxes as bx
 from ..registry import query
 from ..sources import annotations as an
-from ..sources.lines import write_lines
-from ..sources.scratch import named, renamed, shared, write_json, write_text
+from ..sources.lines import store, write_lines
+from ..sources.scratch import named, renamed, shared, write_json
 from ..streaming import ingest
 from .base import BOXES, boxes, table
 
@@ -87,11 +92,17 @@ def s4(spark, sf_dir):
     return _frames(an.annotations(spark, [old, even, *files]))
 
 
-@query("s5_resume_scan", "SELECT CAST(i AS BIGINT) AS sample_index, CASE WHEN i = 2 THEN 'lost' ELSE '' END AS error FROM range(4) t(i)")
+@query(
+    "s5_resume_scan",
+    """WITH e AS (SELECT event_id, user_id % 8 AS f, CASE WHEN event_type = 'error' THEN 'lost' ELSE '' END AS error FROM events), s AS (SELECT f, min(event_id) AS stop FROM e WHERE event_id % 1000 = 777 GROUP BY f)
+SELECT event_id AS sample_index, error FROM e LEFT JOIN s USING (f) WHERE stop IS NULL OR event_id < stop""",
+)
 def s5(spark, sf_dir):
-    path = shared(spark, "resume") + "/out.jsonl"
-    rows = [f'{{"sample_index":{i},"error":{"null" if i != 2 else chr(34) + "lost" + chr(34)}}}' for i in range(4)]
-    write_text(spark, path, "\n".join([*rows, '{"sample_ind', '{"sample_index":9,"error":null}']) + "\n")
+    """What eight interrupted runs have done: the events of each as lines in their order, some of them broken."""
+    path, e = shared(spark, "resume"), table(spark, sf_dir, "events")
+    line = F.to_json(F.struct(F.col("event_id").alias("sample_index"), F.when(F.col("event_type") == "error", "lost").alias("error")))
+    rows = e.select(F.format_string("run_%d.jsonl", F.col("user_id") % 8).alias("file"), "event_id", F.when(F.col("event_id") % 1000 == 777, F.lit('{"sample_ind')).otherwise(line).alias("value"))
+    write_lines(rows.repartition("file").sortWithinPartitions("file", "event_id").select("file", "value"), path)
     return an.done(an.lines(spark, [path]), retry_errors=False)
 
 
@@ -103,17 +114,18 @@ def s6(spark, sf_dir):
     return an.index(spark, path, "a").select("sample_index", F.round("t", 9).alias("t"), "mode")
 
 
-@query("s7_newest_file", "SELECT 'set' AS name, 2 AS size")
+@query("s7_newest_file", "SELECT o_orderstatus AS name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus")
 def s7(spark, sf_dir):
-    path = shared(spark, "sets")
-    for k, name in enumerate(("b.set", "a.set")):
-        write_text(spark, f"{path}/{name}", "x" * (k + 1))
-        if not k:
-            import time
-
+    """Result sets of orders by status, written in part, then whole under names that come first: the newest file of each counts."""
+    path, orders = shared(spark, "sets"), table(spark, sf_dir, "orders")
+    for k, (version, rows) in enumerate((("b", orders.where("o_orderkey % 2 = 0")), ("a", orders))):
+        if k:
             time.sleep(1.1)  # file times may be whole seconds
-    files = an.listing(spark, path).withColumn("name", F.lit("set"))
-    return files.join(an.newest(files, ["name"]), ["name", "path"], "left_semi").select("name", F.col("length").cast("int").alias("size"))
+        lines = rows.select(F.concat("o_orderstatus", F.lit(f"__{version}.jsonl")).alias("file"), F.to_json(F.struct("o_orderstatus", "o_totalprice")).alias("value"))
+        write_lines(lines.repartition("file").sortWithinPartitions("file"), path)
+    files = an.listing(spark, path).withColumn("name", F.regexp_extract("path", r"([^/]+)__[ab]\.jsonl$", 1))
+    found = [r.path for r in an.newest(files, ["name"]).collect()]  # a row a set
+    return spark.read.schema("o_orderstatus string, o_totalprice double").json(found).groupBy(F.col("o_orderstatus").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query("s8_coco_category", f"WITH {BOXES} SELECT frame AS image_id, frame * 100 + pos AS annotation_id, label, x1, y1, x2, y2 FROM boxes WHERE label = 'L2'")
@@ -153,27 +165,34 @@ def _tracking(spark, b):
     return an.tracking_truth(spark, path).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("s10_zipped_labels", "SELECT 's' || CAST(i % 3 AS VARCHAR) AS sequence, 'n' || CAST(i AS VARCHAR) AS name, 'one' AS label, 1.0::DOUBLE AS x1, 2.0::DOUBLE AS y1, (i + 10)::DOUBLE AS x2, 20.0::DOUBLE AS y2 FROM range(12) t(i) WHERE i % 4 <> 3")
-def s10(spark, sf_dir):
-    import io
-    import json
-    import zipfile
+ZIPPED = {"l0": "zero", "l1": "one", "l2": "two"}
 
+
+@query(
+    "s10_zipped_labels",
+    f"""WITH {BOXES} SELECT 's' || CAST(frame // 500 AS VARCHAR) AS sequence, 'n' || CAST(frame AS VARCHAR) AS name, CASE label WHEN 'L0' THEN 'zero' WHEN 'L1' THEN 'one' ELSE 'two' END AS label, x1, y1, x2, y2
+FROM boxes WHERE frame % 4 <> 3 AND label IN ('L0', 'L1', 'L2')""",
+)
+def s10(spark, sf_dir):
+    """Archives of 500 frames each, written by tasks: the first of two of a sequence counts, frames without an image and labels that the map lacks don't."""
     path = shared(spark, "zips")
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for seq in range(3):
+
+    def archive(rows: pd.DataFrame) -> pd.DataFrame:
+        fs, root = store(path)
+        fs.create_dir(root)
+        sequence = f"s{rows['sequence'].iloc[0]}"
         for version in ("a", "b"):
-            buffer = io.BytesIO()
-            with zipfile.ZipFile(buffer, "w") as z:
-                for i in range(seq, 12, 3):
-                    shapes = [{"label": " One", "points": [[1, 2], [i + 10 + (version == "b"), 20]]}, {"label": "unknown", "points": [[0, 0], [1, 1]]}]
-                    z.writestr(f"n{i}.json", json.dumps({"shapes": shapes}))
-                    if i % 4 != 3:
-                        z.writestr(f"n{i}.jpg", b"")
-            out = jvm.org.apache.hadoop.fs.Path(f"{path}/s{seq}__{version}.zip").getFileSystem(conf).create(jvm.org.apache.hadoop.fs.Path(f"{path}/s{seq}__{version}.zip"), True)
-            out.write(bytearray(buffer.getvalue()))
-            out.close()
-    return an.zipped(spark, path, {"one": "one"})
+            with fs.open_output_stream(f"{root}/{sequence}__{version}.zip") as out, zipfile.ZipFile(out, "w") as z:
+                for frame, own in rows.groupby("frame"):
+                    shapes = [{"label": f" {r.label}", "points": [[r.x1, r.y1], [r.x2 + (version == "b"), r.y2]]} for r in own.itertuples()]
+                    z.writestr(f"n{frame}.json", json.dumps({"shapes": shapes}))
+                    if frame % 4 != 3:
+                        z.writestr(f"n{frame}.jpg", b"")
+        return pd.DataFrame({"sequence": [sequence], "boxes": [len(rows)]})
+
+    rows = boxes(spark, sf_dir).select(F.floor(F.col("frame") / 500).alias("sequence"), "frame", "label", "x1", "y1", "x2", "y2")
+    rows.groupBy("sequence").applyInPandas(archive, "sequence string, boxes long").write.format("noop").mode("overwrite").save()
+    return an.zipped(spark, path, ZIPPED)
 
 
 @query("s13_append_sink", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
