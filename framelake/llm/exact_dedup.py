@@ -7,7 +7,8 @@ Should two different chunks share an identifier, documents that hold one carry t
 
 Defined cases: a null text counts as empty and equals the empty text, whose recipe is empty; a null key is smaller than
 any other; rows that repeat both text and key are each returned by dedup, and all marked as the key that stays, while
-survivors keeps one of them; an empty table gives an empty result; other columns aren't read, whatever their names (dedup) or come along unchanged (survivors).
+survivors keeps one of them; a very long text is taken whole, as a longer list of identifiers of chunks of at most 4096
+characters; of ties (equal texts) the largest key stays; an empty table gives an empty result; other columns aren't read, whatever their names (dedup) or come along unchanged (survivors).
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ then nodes move to where most of their neighbours are while parts keep their siz
 and places every vector of the index; another, trained on where neighbours were placed, gives each query its most
 probable parts. There are about as many parts as a part has vectors, up to one for LEARN_PART vectors of the sample, which
 must tell them apart; only tables of 2 * k candidates or fewer are one part. How many are opened is the least number that
-finds RECALL of the neighbours of sample vectors held out from training. Opened parts are searched exactly: the score is
+finds RECALL of the neighbours of sample vectors held out from training; in the whole index somewhat more are found, as the
+tests measure. Beyond SAMPLE / LEARN_PART parts a part grows with the table (it is then searched in cells of VECTORS), and
+so does the cost of a query. Opened parts are searched exactly: the score is
 the inner product in double precision, summed in the order of components.
 
 Defined cases: vectors null, empty, zero, of another length than most, or with null or non-finite components take no
@@ -30,7 +32,7 @@ from .scratch import materialise
 SAMPLE = 12_000
 #: Vectors of the sample that a part needs.
 LEARN_PART = 25
-RECALL = 0.96
+RECALL = 0.93
 #: Vectors, and queries, of a cell of the search.
 VECTORS, QUERIES = 1 << 15, 1 << 13
 #: Scores worked on at once.

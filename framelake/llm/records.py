@@ -7,8 +7,10 @@ number of records, then each frame's offset and the file's size, 8 bytes each),
 order. Files are numbered in ascending order of the key, as are the frames in each.
 
 Defined cases: a null text is the empty one, whose sequence is the end id alone; a null key comes first and is read back
-as null; rows with equal keys stand in the order of their texts; an empty table gives empty files; a damaged frame raises
-an error when read; other columns aren't read.
+as null; rows with equal keys stand in the order of a hash of their texts (so a key that very many rows share, or the lack
+of one, is cut over files), then of the texts; rows that repeat key and text are side by side; a very long text is one
+record, encoded in a block of its own; an empty table gives empty files; a damaged frame raises an error when read; other
+columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -159,10 +161,10 @@ def filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 def ordered(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, text in ranges of ascending keys, one for each file: one exchange."""
+    """key, text in ranges of ascending keys (and hashes of texts), one for each file: one exchange."""
     rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df) // FILE_BYTES)
-    return rows.repartitionByRange(n, "key").sortWithinPartitions("key", "text")
+    return rows.withColumn("own", F.xxhash64("text")).repartitionByRange(n, "key", "own").sortWithinPartitions("key", "own", "text").drop("own")
 
 
 def write(df: DataFrame, tokenizer: str, end_id: int = 1, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:

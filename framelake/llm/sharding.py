@@ -10,7 +10,8 @@ and the number takes the place of doc_id in the key; so equal rows can be cut li
 
 Defined cases: a null text has no bytes and a size of 8, and its checksum is that of no bytes (0); a null doc_id sorts
 first; rows that repeat key and text share a shard unless they alone outgrow it, and get slots of their own in any
-order (any of them may lie in either of two shards that a group is cut into); fewer rows than shards leave shards empty; an empty table gives an empty result; other columns come along
+order (any of them may lie in either of two shards that a group is cut into); a text too long for a shard's share is a shard's largest part all
+the same, since only its size counts where shards are cut; fewer rows than shards leave shards empty; an empty table gives an empty result; other columns come along
 (shard and slot as shard_in and slot_in).
 """
 

@@ -160,6 +160,22 @@ def test_parts_grow_with_the_table(spark, n, spread):
     assert sum(len(got[q] & {i for _, i in near}) for q, near in want.items()) >= 0.9 * 20 * len(want)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_on_the_tables(spark, sf):
+    """With the parts that the query opens, against brute force; not all parts are opened."""
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect() if r.embedding is not None]
+    ids, x = [r[0] for r in rows], np.array([r[1] for r in rows], float)
+    index = neighbours.Index(x, len(x))
+    size = np.bincount(index.parts_of(x), minlength=index.parts)
+    share = size[index.opened(x[np.array(ids) % 20 == 0])].sum(1).mean() / len(x)
+    assert share < 0.9 and index.probes < index.parts
+    want, got = brute(ids, x, 20), {}
+    for r in neighbours.search(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[q] & {i for _, i in near}) for q, near in want.items()) >= 0.93 * 20 * len(want)
+
+
 def test_rows_that_repeat_an_id_count_once(spark):
     rng = np.random.default_rng(4)
     x, ids = rng.standard_normal((300, 8)).astype(np.float32).astype(float), np.arange(300)

@@ -133,6 +133,18 @@ def test_records(docs, rows, nothing, clashing, spark):
     assert len(got) == 2 * len(rows) and {r.start for r in got if r.key is None} and min(r.start for r in got if r.key is not None) > max(r.start for r in got if r.key is None)
 
 
+def test_rows_of_one_key_are_cut_over_files(spark):
+    """Half of all rows have no key; no file holds them all, and what is read back is in order."""
+    df = spark.createDataFrame([(None if k % 2 else k, f"text {k} " * (k % 7)) for k in range(4000)], "doc_id long, text string").repartition(5)
+    files = records.write(df, WORD)
+    sizes = [r.records for r in files.collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 1800
+    got = records.read(files).orderBy("start").collect()
+    keys = [r.key for r in got]
+    assert keys[:2000] == [None] * 2000 and keys[2000:] == sorted(range(0, 4000, 2))
+    assert [r.start for r in got] == np.cumsum([0, *(len(r["ids"]) // 4 for r in got)])[:-1].tolist()
+
+
 def test_a_damaged_record_is_noticed():
     data, offsets = records.frames(pa.array([5, None]), np.array([1, 2, 3, 70]), np.array([1, 3]), 2)
     keys, ids, count = records.parse(data, offsets)
