@@ -48,8 +48,9 @@ def test_every_code_point(path):
 
 @pytest.mark.parametrize("path", sorted(LIBRARY))
 def test_every_code_point_among_marks(path):
-    """Before and after marks, and between two: whether a later mark composes across it is the library's to say."""
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    """Before and after marks, and between two: whether a later mark composes across it is the library's to say. Of long blocks of one kind some."""
+    alike = lambda c: 0x3400 <= c < 0xA000 or 0xAC00 <= c < 0xD7A4 or 0x17000 <= c < 0x19000 or c >= 0x20000  # noqa: E731  long blocks of one kind
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (not alike(c) or c % 61 == 0)]
     for a in range(0, len(points), 65536):
         texts = [f"e{c}\u0301 \u0323{c}o{c}\u0323\u0302 \u1100{c}\u11a8" for c in map(chr, points[a : a + 65536])]
         ids, count = bpe.load(path).encode(*B.buffers(pa.array(texts, pa.large_string())))
