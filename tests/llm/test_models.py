@@ -176,6 +176,50 @@ def test_recall_on_the_tables(spark, sf):
     assert sum(len(got[q] & {i for _, i in near}) for q, near in want.items()) >= 0.93 * 20 * len(want)
 
 
+@pytest.mark.parametrize(("n", "spread"), [(4000, 1.0), (6000, 0.1)])
+def test_parts_of_parts(spark, n, spread):
+    """With a small leaf and sample, parts are divided again: recall, and what a query meets, in a table whose parts would be large."""
+    rng = np.random.default_rng(n)
+    x = (rng.standard_normal((n, 24)) * spread + rng.standard_normal((60, 24))[rng.integers(0, 60, n)] * (spread < 1)).astype(np.float32).astype(float)
+    df, widest = vectors(spark, range(n), x), 250 // neighbours.LEARN_PART
+    index = neighbours.Index(x[:250], n, recall=neighbours.RECALL**0.5)
+    assert index.parts == widest
+    part = index.parts_of(x)
+    rows = lambda rows, parts: spark.createDataFrame([(int(i), x[i].tolist(), int(p)) for i, p in zip(rows, parts, strict=True)], "id long, x array<double>, part long")
+    ask = np.arange(0, n, 20)
+    to = index.opened(x[ask])
+    placed, asked = neighbours.divided(rows(range(n), part), rows(np.repeat(ask, to.shape[1]), to.ravel()), 20, neighbours.RECALL**0.5, 100, 2000)
+    got = {r.id: r.part for r in placed.collect()}
+    assert len(got) == n == placed.count()  # each row once
+    large = np.flatnonzero(np.bincount(part, minlength=widest) > 100)
+    assert all(got[i] // neighbours.WIDE - 1 == part[i] if part[i] in large else got[i] == part[i] for i in range(n))
+    size = np.bincount([sorted(set(got.values())).index(p) for p in got.values()])
+    assert len(size) > 5 * widest
+    opened = asked.collect()
+    assert len(opened) == len({(r.id, r.part) for r in opened})
+    if spread < 1:
+        share = lambda sizes, opened: sum(sizes.get(p, 0) for p in opened) / len(ask) / n
+        of = lambda parts: dict(zip(*np.unique(parts, return_counts=True), strict=True))
+        assert share(of(list(got.values())), [r.part for r in opened]) < 0.8 * share(of(part), to.ravel())
+    want, found = brute(list(range(n)), x, 20), {}
+    for r in neighbours.search(df, leaf=100, sample=500).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert all(len(v) == len(set(v)) == 20 for v in found.values())
+    assert sum(len(set(found[q]) & {i for _, i in near}) for q, near in want.items()) >= 0.9 * 20 * len(want)
+
+
+def test_a_part_of_equal_vectors(spark):
+    """What can't be divided stays whole, and ties go to the smaller id."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([np.full((900, 8), 0.5), rng.standard_normal((600, 8))]).astype(np.float32).astype(float)
+    got = {}
+    for r in neighbours.search(vectors(spark, range(1500), x), leaf=100).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert sorted(got) == list(range(0, 1500, 20))
+    want = brute(list(range(1500)), x, 20)
+    assert sum(len({v for _, v in got[q]} & {i for _, i in near}) for q, near in want.items()) >= 0.9 * 20 * len(want)
+
+
 def test_rows_that_repeat_an_id_count_once(spark):
     rng = np.random.default_rng(4)
     x, ids = rng.standard_normal((300, 8)).astype(np.float32).astype(float), np.arange(300)
