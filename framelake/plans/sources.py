@@ -13,7 +13,7 @@ from ..functions import boxes as bx
 from ..registry import query
 from ..sources import annotations as an
 from ..sources.lines import store, write_lines
-from ..sources.scratch import named, renamed, shared, write_json
+from ..sources.scratch import renamed, shared, write_json
 from ..streaming import ingest
 from .base import BOXES, boxes, table
 
@@ -84,9 +84,9 @@ def s4(spark, sf_dir):
     old, even, odd = (shared(spark, x) for x in ("old", "even", "odd"))
     rows.select(F.format_string('{"flight":"f","sample_index":%d,"shapes":[{"label":"old","points":[[0,0],[1,1]]}]}', "sample_index")).write.text(f"{old}/raw")
     rows.where("sample_index % 2 = 0").select(text).write.text(f"{even}/raw")
-    block = F.floor(F.col("sample_index") / CHUNK)
-    rows.where("sample_index % 2 = 1").select(block.alias("c"), text.alias("text")).repartition("c").write.partitionBy("c").text(f"{odd}-raw")
-    files = [f"{odd}/odd_{c}.jsonl" for c in named(spark, f"{odd}-raw", odd, lambda c: f"odd_{c}.jsonl")]
+    block = F.concat(F.lit("odd_"), F.floor(F.col("sample_index") / CHUNK), F.lit(".jsonl"))
+    write_lines(rows.where("sample_index % 2 = 1").select(block.alias("file"), text.alias("value")).repartition("file").sortWithinPartitions("file"), odd)
+    files = [path for path, _, _ in an.listed(spark, odd)]
     for folder in (old, even):
         renamed(spark, f"{folder}/raw", folder, ".jsonl")
     return _frames(an.annotations(spark, [old, even, *files]))

@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,17 +32,31 @@ FRAME = (
     "shapes array<struct<label: string, score: double, points: array<array<double>>, group_id: long, description: string, difficult: boolean, shape_type: string, "
     "flags: map<string,string>, attributes: struct<source: string, prompt: string, coarse: string, uncertain: boolean>, kie_linking: array<array<long>>>>, t_inf_s double, error string"
 )
+#: Files given by name of one folder from which on the folder is listed instead of each of them.
+FEW = 32
+JSON_LINES = re.compile(r"\.jsonl(\.zst)?$")
 CHUNK = r"([^/]+)_chunk_(\d+)_(\d+)\.(jsonl|jsonl\.zst|done)$"
 
 
-def listing(spark: SparkSession, path: str) -> DataFrame:
-    """path, modified, length of the files under a folder, empty ones too (which Spark's own readers leave out). Names are listed by the driver, as for any read."""
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """path, modified (ms), length of the files under a folder (or of a file), empty ones too (which Spark's own readers leave out). Names are listed by the driver, as for any read; local ones in one call."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found, rows = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True), []
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.getUri().getScheme() == "file":
+        fs, root = pa.fs.LocalFileSystem(), p.toUri().getPath()
+        own = fs.get_file_info(root)
+        files = [own] if own.is_file else fs.get_file_info(pa.fs.FileSelector(root, recursive=True))
+        return [(f"file:{f.path}", f.mtime_ns // 1_000_000, f.size) for f in files if f.is_file]
+    found, rows = store.listFiles(p, True), []
     while found.hasNext():
         f = found.next()
         rows.append((f.getPath().toString(), f.getModificationTime(), f.getLen()))
-    return spark.createDataFrame(rows, "path string, modified long, length long")
+    return rows
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """What listed() finds, as a table."""
+    return spark.createDataFrame(listed(spark, path), "path string, modified long, length long")
 
 
 def chunk_files(spark: SparkSession, path: str) -> DataFrame:
@@ -68,8 +86,8 @@ def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def in_order(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, place (ascending in a file, with gaps), value: for rules that ask which of two lines is later, without numbering them."""
-    return spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("place"), "value")
+    """path, place (ascending in a file, with gaps), value of files of JSON lines and folders of such: for rules that ask which of two lines is later, without numbering them."""
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl*").text(paths).select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("place"), "value")
 
 
 def frames(spark: SparkSession, path: str, flight: str, start: int | None = None, end: int | None = None, partial: bool = False) -> DataFrame:
@@ -89,16 +107,44 @@ def frames(spark: SparkSession, path: str, flight: str, start: int | None = None
 
 def annotations(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Frames of JSON-lines files and of folders of such files, mixed: the later of two given paths wins, in a folder the later by name, in a file the later line."""
-    files = [(k, r.path) for k, p in enumerate(paths) for r in listing(spark, p).where(F.col("path").rlike(r"\.jsonl(\.zst)?$")).collect()]  # a row a file
-    if not files:
-        raise ValueError(f"no files of JSON lines in {paths}")
-    order = spark.createDataFrame(files, "given int, path string").groupBy("path").agg(F.max("given").alias("given"))
     # names are compared without their schemes, which Spark and Hadoop write differently
-    bare = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")
-    raw = in_order(spark, sorted({p for _, p in files})).join(order.select(bare("path").alias("bare"), "given"), bare("path") == F.col("bare"))
+    bare = lambda p: re.sub("^[a-z0-9]+:/+", "/", p)
+    folders: dict[str, dict[str, str]] = {}
+
+    def under(folder: str) -> dict[str, str]:
+        """Files of JSON lines under a folder, by bare name; each folder is listed once."""
+        if folder not in folders:
+            folders[folder] = {bare(f): f for f, _, _ in listed(spark, folder) if JSON_LINES.search(f)}
+        return folders[folder]
+
+    given: dict[str, int] = {}
+    beside = Counter(p.rpartition("/")[0] for p in paths if JSON_LINES.search(p))
+    for k, p in enumerate(paths):
+        if beside[p.rpartition("/")[0]] > FEW and JSON_LINES.search(p) and bare(p) in under(p.rpartition("/")[0]):
+            given[bare(p)] = k
+        else:
+            given |= dict.fromkeys(under(p.rstrip("/")), k)
+    if not given:
+        raise ValueError(f"no files of JSON lines in {paths}")
+    # a folder of which all files are asked for is read as one, so that Spark doesn't look for each of them
+    whole = [f for f, found in folders.items() if found and found.keys() <= given.keys() and not any(re.search("/[._]", x[len(bare(f)) :]) for x in found)]
+    inside = {x for f in whole for x in folders[f]}
+    names = {x: f for found in folders.values() for x, f in found.items()}
+    order = spark.createDataFrame(list(given.items()), "bare string, given int")
+    raw = in_order(spark, _outermost(whole) + sorted(names[x] for x in given.keys() - inside))
+    raw = raw.join(F.broadcast(order), F.regexp_replace("path", "^[a-z0-9]+:/+", "/") == F.col("bare"))  # a row a file
     return _latest_frames(raw, F.struct("given", "path"))
 
 
+def _outermost(folders: list[str]) -> list[str]:
+    """Those that lie in no other."""
+    kept: list[str] = []
+    for f in sorted(folders, key=lambda f: f"{f}/"):
+        if not kept or not f"{f}/".startswith(f"{kept[-1]}/"):
+            kept.append(f)
+    return kept
+
+
 def _latest_frames(raw: DataFrame, file: Column, start: int | None = None, end: int | None = None) -> DataFrame:
     parsed = raw.select(file.alias("file"), "place", F.from_json("value", FRAME).alias("f")).where("f.sample_index is not null")
     if start is not None:

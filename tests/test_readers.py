@@ -59,3 +59,18 @@ def test_unknown_category(spark):
     assert an.coco(spark, path, "a", with_empty=True).count() == 1
     with pytest.raises(ValueError):
         an.coco(spark, path, "b")
+
+
+def test_files_given_by_name_are_listed_by_folder(spark, tmp_path, monkeypatch):
+    """However many files are given, no Spark job lists them, and a file that isn't given stays out."""
+    for k in range(100):
+        (tmp_path / f"{k}.jsonl").write_text(json.dumps({"flight": "f", "sample_index": k, "stem": "one"}) + "\n")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.jsonl").write_text("".join(json.dumps({"flight": "f", "sample_index": k, "stem": "two"}) + "\n" for k in (0, 100)))
+    monkeypatch.setattr(an, "listing", lambda *_: pytest.fail("a job a path"))
+    files = [f"file://{tmp_path}/{k}.jsonl" for k in range(99)]
+    read = lambda paths: {r.sample_index: r.stem for r in an.annotations(spark, paths).collect()}
+    assert read(files) == dict.fromkeys(range(99), "one")
+    assert read([f"{tmp_path}/in", *files]) == dict.fromkeys(range(99), "one") | {100: "two"}
+    assert read([*files, f"{tmp_path}/in"]) == dict.fromkeys(range(99), "one") | {0: "two", 100: "two"}
+    assert read([str(tmp_path)]) == dict.fromkeys(range(100), "one") | {0: "two", 100: "two"}
