@@ -15,6 +15,10 @@ from ..sources.annotations import FRAME
 #: The store that keyed state with timers needs.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Frames whose state is one value; what orders the lines of a frame.
+SPAN = 256
+PLACE = ["written", "file", "block", "at"]
+
 
 def frame_stream(spark: SparkSession, path: str, files_each: int = 64) -> DataFrame:
     """Frames as files arrive; broken lines are left out."""
@@ -45,31 +49,55 @@ def line_stream(spark: SparkSession, path: str, files_each: int = 64) -> DataFra
 
 
 class Latest(StatefulProcessor):
-    """Keeps the place of each frame's last line; a line that isn't later is ignored. State goes by a timer, once the watermark has passed the last line."""
+    """Keeps the place of each frame's last line, for SPAN neighbouring frames in one value, as each call of the store costs as much as many frames; a line that isn't later is ignored. A frame's state goes by its group's timer, once the watermark has passed the last line."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.seen = handle, handle.getValueState("seen", "written long, file string, block long, at long, version int")
+        self.handle, self.seen = handle, handle.getValueState("seen", "sample_index array<long>, written array<long>, file array<string>, block array<long>, at array<long>, version array<int>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best, value = None, None
+        best = None
         for batch in rows:
-            for place in zip(batch["written"], batch["file"], batch["block"], batch["at"], batch["value"], strict=True):
-                if best is None or place[:4] > best:
-                    best, value = place[:4], place[4]
-        old = self.seen.get() if self.seen.exists() else None
-        if best is None or old is not None and tuple(old[:4]) >= best:
+            batch = batch[["sample_index", *PLACE, "value"]]
+            both = batch if best is None else pd.concat([best, batch])
+            best = both.sort_values(PLACE).drop_duplicates("sample_index", keep="last")
+        if best is None:
             return
-        version = 1 if old is None else old[4] + 1
-        self.seen.update((int(best[0]), str(best[1]), int(best[2]), int(best[3]), version))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(best[0]) // 1000)
-        yield pd.DataFrame({"flight": [key[0]], "sample_index": [key[1]], "version": [version], "value": [value]}).astype({"version": "int32"})
+        known = self._known()
+        new: dict[str, list] = {"sample_index": [], "version": [], "value": []}
+        for i, *place, value in best.itertuples(index=False, name=None):
+            old = known.get(i)
+            if old is not None and old[:4] >= tuple(place):
+                continue
+            version = 1 if old is None else old[4] + 1
+            known[int(i)] = (int(place[0]), str(place[1]), int(place[2]), int(place[3]), version)
+            for column, x in zip(new.values(), (i, version, value), strict=True):
+                column.append(x)
+        if new["value"]:
+            self._keep(known)
+            yield pd.DataFrame({"flight": key[0]} | new).astype({"sample_index": "int64", "version": "int32"})
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seen.clear()
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        self._keep({i: s for i, s in self._known().items() if s[0] // 1000 > until})
         return iter([])
 
+    def _known(self) -> dict[int, tuple]:
+        """Of each frame written, file, block, at, version."""
+        if not self.seen.exists():
+            return {}
+        index, *rest = self.seen.get()
+        return dict(zip(index, zip(*rest, strict=True), strict=True))
+
+    def _keep(self, known: dict[int, tuple]) -> None:
+        """The state, and one timer, for the frame whose state goes first."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if not known:
+            self.seen.clear()
+            return
+        self.seen.update((list(known), *map(list, zip(*known.values(), strict=True))))
+        self.handle.registerTimer(min(s[0] for s in known.values()) // 1000)
+
     def close(self) -> None:
         pass
 
@@ -81,7 +109,7 @@ def latest_wins(lines: DataFrame, late: str = "3650 days") -> DataFrame:
     frame is kept until its last line is as old.
     """
     lines.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    rows = lines.withColumn("seen", F.timestamp_micros("written")).withWatermark("seen", late).groupBy("flight", "sample_index")
+    rows = lines.withColumn("seen", F.timestamp_micros("written")).withWatermark("seen", late).withColumn("span", F.floor(F.col("sample_index") / SPAN)).groupBy("flight", "span")
     found = rows.transformWithStateInPandas(Latest(), "flight string, sample_index long, version int, value string", "append", "eventTime")
     return found.select(F.from_json("value", FRAME).alias("f"), "version").select("f.*", "version")
 

@@ -45,3 +45,25 @@ def test_state_goes_by_a_timer(spark):
         put(path, f"{k}.jsonl", 1_700_000_000 + 100 * k, [("f", 1 if k != 1 else 2, str(k))])
         ingest.write(ingest.latest_wins(ingest.line_stream(spark, path), "50 seconds"), out, check).awaitTermination()
     assert sorted((r.sample_index, r.version, r.stem) for r in spark.read.parquet(out).collect()) == [(1, 1, "0"), (1, 1, "2"), (2, 1, "1")]
+
+
+def test_neighbouring_frames_share_a_call_of_the_store(spark, tmp_path, monkeypatch):
+    """1,000 frames, some of them corrected, in a few calls; what is known of each frame is its own."""
+    calls = tmp_path / "calls"
+
+    class Counted(ingest.Latest):
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+            with open(calls, "a") as f:
+                f.write("x\n")
+            yield from super().handleInputRows(key, rows, timerValues)
+
+    monkeypatch.setattr(ingest, "Latest", Counted)
+    path, out, check = (shared(spark, x) for x in ("incoming", "latest", "progress"))
+    for name, when, step in (("a.jsonl", 1_700_000_000, 1), ("b.jsonl", 1_700_000_100, 3), ("0.jsonl", 1_700_000_050, 2)):
+        put(path, name, when, [("f", i, name) for i in range(-10, 990, step)])
+        ingest.write(ingest.latest_wins(ingest.line_stream(spark, path)), out, check).awaitTermination()
+    found = {(r.sample_index, r.version): r.stem for r in spark.read.parquet(out).collect()}
+    expected = {(i, 1): "a.jsonl" for i in range(-10, 990)} | {(i, 2): "b.jsonl" for i in range(-10, 990, 3)}
+    expected |= {(i, 2): "0.jsonl" for i in range(-10, 990, 2) if (i + 10) % 3}
+    assert found == expected
+    assert len(calls.read_text().split()) <= 20
