@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import json
 import time
 import zipfile
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -181,13 +183,20 @@ def s10(spark, sf_dir):
         fs, root = store(path)
         fs.create_dir(root)
         sequence = f"s{rows['sequence'].iloc[0]}"
+        rows = rows.sort_values("frame", kind="stable")
+        frames = rows["frame"].to_numpy()
+        heads = np.flatnonzero(np.append(True, frames[1:] != frames[:-1])).tolist()
+        boxes_ = list(zip(*(rows[c].tolist() for c in ("label", "x1", "y1", "x2", "y2")), strict=True))
         for version in ("a", "b"):
-            with fs.open_output_stream(f"{root}/{sequence}__{version}.zip") as out, zipfile.ZipFile(out, "w") as z:
-                for frame, own in rows.groupby("frame"):
-                    shapes = [{"label": f" {r.label}", "points": [[r.x1, r.y1], [r.x2 + (version == "b"), r.y2]]} for r in own.itertuples()]
-                    z.writestr(f"n{frame}.json", json.dumps({"shapes": shapes}))
-                    if frame % 4 != 3:
-                        z.writestr(f"n{frame}.jpg", b"")
+            whole, more = io.BytesIO(), version == "b"
+            with zipfile.ZipFile(whole, "w") as z:
+                for at, to in zip(heads, [*heads[1:], len(frames)], strict=True):
+                    shapes = [{"label": f" {label}", "points": [[x1, y1], [x2 + more, y2]]} for label, x1, y1, x2, y2 in boxes_[at:to]]
+                    z.writestr(zipfile.ZipInfo(f"n{frames[at]}.json"), json.dumps({"shapes": shapes}))
+                    if frames[at] % 4 != 3:
+                        z.writestr(zipfile.ZipInfo(f"n{frames[at]}.jpg"), b"")
+            with fs.open_output_stream(f"{root}/{sequence}__{version}.zip") as out:
+                out.write(whole.getvalue())
         return pd.DataFrame({"sequence": [sequence], "boxes": [len(rows)]})
 
     rows = boxes(spark, sf_dir).select(F.floor(F.col("frame") / 500).alias("sequence"), "frame", "label", "x1", "y1", "x2", "y2")

@@ -237,7 +237,8 @@ def zipped(spark: SparkSession, path: str, labels: dict[str, str]) -> DataFrame:
                                 out.append((row.sequence, n[:-5], s["label"], float(min(xs)), float(min(ys)), float(max(xs)), float(max(ys))))
                 yield pd.DataFrame(out, columns=["sequence", "name", "raw", "x1", "y1", "x2", "y2"])
 
-    rows = archives.join(first, ["sequence", "path"], "left_semi").select("sequence", "content").mapInPandas(unpack, schema)
+    # a row an archive; their contents stay where they are read
+    rows = archives.join(F.broadcast(first), ["sequence", "path"], "left_semi").select("sequence", "content").mapInPandas(unpack, schema)
     return normalised(rows, "raw", labels).where("label is not null").select("sequence", "name", "label", "x1", "y1", "x2", "y2")
 
 

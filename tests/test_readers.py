@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import zipfile
 
 import pytest
 
@@ -74,3 +75,17 @@ def test_files_given_by_name_are_listed_by_folder(spark, tmp_path, monkeypatch):
     assert read([f"{tmp_path}/in", *files]) == dict.fromkeys(range(99), "one") | {100: "two"}
     assert read([*files, f"{tmp_path}/in"]) == dict.fromkeys(range(99), "one") | {0: "two", 100: "two"}
     assert read([str(tmp_path)]) == dict.fromkeys(range(100), "one") | {0: "two", 100: "two"}
+
+
+def test_contents_of_archives_are_not_shuffled(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "s__a.zip", "w") as z:
+        z.writestr("n.json", json.dumps({"shapes": [{"label": "l0", "points": [[0, 0], [1, 2]]}]}))
+        z.writestr("n.jpg", b"")
+    found = an.zipped(spark, str(tmp_path), {"l0": "zero"})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = an.zipped(spark, str(tmp_path), {"l0": "zero"})._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan
+    assert [tuple(r) for r in found.collect()] == [("s", "n", "zero", 0.0, 0.0, 1.0, 2.0)]
