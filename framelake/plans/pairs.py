@@ -101,16 +101,18 @@ def j5_totals(spark, sf_dir):
 def j5_certificate(spark, sf_dir):
     """The proof that assignments are optimal, checked here by joins: potentials add up to the best total of all assignments, for no pair to less than its overlap (too_low), and are tight (loose: pairs taken of which they aren't the overlap, boxes in none that have one)."""
     b = boxes(spark, sf_dir)
-    proof = written(matching.certificate(b, ["frame"]), "certificate")
-    worth = lambda truth, name: proof.where(F.col("is_truth") == truth).select("frame", F.col("pos").alias(f"{name}_pos"), F.col("potential").alias(name))
-    pairs = matching.iou_pairs(b.where("is_truth"), b.where(~F.col("is_truth")), ["frame"]).select("frame", "a_pos", "b_pos", "iou")
-    pairs = pairs.join(worth(True, "a"), ["frame", "a_pos"]).join(worth(False, "b"), ["frame", "b_pos"])
-    low = pairs.groupBy("frame").agg(F.count_if(F.col("a") + F.col("b") < F.col("iou") - 1e-9).alias("too_low"))
-    taken = proof.where("is_truth and mate is not null").select("frame", F.col("pos").alias("a_pos"), F.col("mate").alias("b_pos"), "iou").join(worth(True, "a"), ["frame", "a_pos"]).join(worth(False, "b"), ["frame", "b_pos"])
-    slack = taken.groupBy("frame").agg(F.count_if(F.abs(F.col("a") + F.col("b") - F.col("iou")) > 1e-9).alias("slack"))
-    total = proof.groupBy("frame").agg(F.sum("potential").alias("total"), F.count_if((F.col("potential") < 0) | (F.col("mate").isNull() & (F.abs("potential") > 1e-9))).alias("held"))
-    out = total.join(low, "frame", "left").join(slack, "frame", "left")
-    return out.select("frame", F.round("total", 6).alias("total"), F.coalesce("too_low", F.lit(0)).cast("int").alias("too_low"), (F.col("held") + F.coalesce("slack", F.lit(0))).cast("int").alias("loose"))
+    proof = written(matching.certificate(b, ["frame"], carry=matching.BOX), "certificate")
+    side = lambda truth: proof.where(F.col("is_truth") == truth).drop("is_truth", "iou")
+    both, mates = F.col("a_potential") + F.col("b_potential"), F.col("a_mate") == F.col("b_pos")
+    # what a frame's pairs have to do with each other is found in one join on the frame
+    checked = matching.iou_pairs(side(True), side(False), ["frame"]).groupBy("frame").agg(
+        F.count_if(both < F.col("iou") - 1e-9).alias("too_low"), F.count_if(mates).alias("met"), F.count_if(mates & (F.abs(both - F.col("iou")) > 1e-9)).alias("slack")
+    )
+    held = F.count_if((F.col("potential") < 0) | (F.col("mate").isNull() & (F.abs("potential") > 1e-9)))
+    total = proof.groupBy("frame").agg(F.sum("potential").alias("total"), held.alias("held"), F.count_if(F.col("is_truth") & F.col("mate").isNotNull()).alias("taken"))
+    out = total.join(checked, "frame", "left")
+    loose = F.col("held") + F.coalesce("slack", F.lit(0)) + F.col("taken") - F.coalesce("met", F.lit(0))  # pairs taken that don't overlap are loose as well
+    return out.select("frame", F.round("total", 6).alias("total"), F.coalesce("too_low", F.lit(0)).cast("int").alias("too_low"), loose.cast("int").alias("loose"))
 
 
 @query(
