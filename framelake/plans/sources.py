@@ -66,8 +66,11 @@ def s2(spark, sf_dir):
 
 
 def _lines(spark, path):
-    found = [r.path for r in an.chunk_files(spark, path).collect()]  # a row a file
-    return an.lines(spark, found).select(F.regexp_extract("path", an.CHUNK, 2).cast("long").alias("start")).groupBy("start").agg(F.count(F.lit(1)).alias("lines"))
+    name = F.regexp_extract("path", r"([^/]+)$", 1).alias("name")
+    found = an.chunk_files(spark, path).select(name, "start")  # a row a file
+    # the folder is read as one, so that Spark doesn't look for each file
+    rows = an.lines(spark, [path]).select(name).join(F.broadcast(found), "name")
+    return rows.groupBy("start").agg(F.count(F.lit(1)).alias("lines"))
 
 
 @query("s3_frames", f"WITH {BOXES} SELECT frame, pos, label, CASE WHEN pos % 4 = 3 THEN 1.0 ELSE score END AS score, x1, y1, x2, y2 FROM boxes WHERE frame >= 20 AND frame < (SELECT max(frame) // {CHUNK} * {CHUNK} FROM boxes)")
@@ -286,7 +289,7 @@ def i1(spark, sf_dir):
     path, out, check = (shared(spark, x) for x in ("incoming", "ingested", "progress"))
     f = frames_of(spark, sf_dir)
     for part in (0, 1):
-        f.where(F.col("sample_index") % 2 == part).write.mode("append").json(path)
+        f.where(F.col("sample_index") % 2 == part).write.mode("append").option("compression", "gzip").json(path)
         ingest.write(ingest.once_each(ingest.frame_stream(spark, path), late="1000 days"), out, check).awaitTermination()
     return spark.read.parquet(out).select("sample_index", F.size("shapes").cast("long").alias("n"))
 
@@ -299,7 +302,7 @@ def i3(spark, sf_dir):
     stale = f.withColumn("shapes", F.filter("shapes", lambda s: F.lit(False)))
     late = F.col("sample_index") % 3 == 0
     for part in (stale.where(late).unionByName(f.where(~late)), f.where(late)):
-        part.write.mode("append").json(path)
+        part.write.mode("append").option("compression", "gzip").json(path)
         ingest.write(ingest.latest_wins(ingest.line_stream(spark, path)), out, check).awaitTermination()
     found = spark.read.parquet(out).groupBy("sample_index").agg(F.max_by(F.size("shapes"), "version").cast("long").alias("n"), F.max("version").alias("versions"))
     return found.select("sample_index", "n", "versions")
@@ -313,6 +316,6 @@ SELECT s // 60 * 60 AS "start", 'f' AS flight, count(*) AS frames, CAST(sum(n) A
 def i2(spark, sf_dir):
     """Frames and boxes by minute, as windows close."""
     path, out, check = (shared(spark, x) for x in ("incoming", "windows", "progress"))
-    frames_of(spark, sf_dir).write.json(path)
+    frames_of(spark, sf_dir).write.option("compression", "gzip").json(path)
     ingest.write(ingest.counts_by_window(ingest.frame_stream(spark, path), "60 seconds", "30 seconds"), out, check).awaitTermination()
     return spark.read.parquet(out).withColumn("start", F.unix_seconds("start"))

@@ -49,3 +49,24 @@ def test_runs_without_sql(spark, sf_dir, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(registry.queries()) <= set(entry.queries())
+
+
+def test_incoming_files_are_compressed(spark, sf_dir, monkeypatch):
+    """What streams read is written once as text; it is the most that these queries write."""
+    from framelake.plans import sources
+
+    seen, own = [], sources.shared
+    monkeypatch.setattr(sources, "shared", lambda s, name: seen.append(own(s, name)) or seen[-1])
+    sources.i2(spark, sf_dir)
+    incoming = next(p for p in seen if "/incoming" in p)
+    files = [p for p, _, _ in sources.an.listed(spark, incoming) if "/part-" in p]
+    assert files and all(p.endswith(".json.gz") for p in files)
+
+
+def test_lines_are_counted_without_a_path_for_each_file(spark, sf_dir, monkeypatch):
+    from framelake.plans import sources
+
+    asked, own = [], sources.an.lines
+    monkeypatch.setattr(sources.an, "lines", lambda s, paths: asked.extend(paths) or own(s, paths))
+    assert sources.s2(spark, sf_dir).count() > 1
+    assert len(asked) == 1
