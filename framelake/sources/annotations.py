@@ -75,14 +75,14 @@ def newest(files: DataFrame, keys: list[str]) -> DataFrame:
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """path, line (its place in the file, from 0), value; empty lines are left out. Plain or zstd text.
 
-    Plain files are read in blocks by as many tasks as they need, lines are numbered in their block, and a block's first number comes from the
-    lines of the blocks before it.
+    Plain files are read in blocks by as many tasks as they need, lines are numbered as they are read (a block's lines lie in one task, one after
+    the other), and a block's first number comes from the lines of the blocks before it. Texts aren't shuffled.
     """
     rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
-    own = rows.withColumn("i", F.row_number().over(Window.partitionBy("path", "block").orderBy("at")) - 1)
-    sizes = rows.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("path", "block", F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return own.join(before, ["path", "block"]).where("value <> ''").select("path", (F.col("i") + F.col("before")).cast("int").alias("line"), "value")
+    heads = rows.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = F.broadcast(heads.select("path", "block", (before - F.col("first")).alias("shift")))  # a row a block
+    return rows.join(shift, ["path", "block"]).where("value <> ''").select("path", (F.col("at") + F.col("shift")).cast("int").alias("line"), "value")
 
 
 def in_order(spark: SparkSession, paths: list[str]) -> DataFrame:

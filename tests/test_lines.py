@@ -123,3 +123,17 @@ def test_files_have_the_names_that_rows_say(spark):
     lines.write_lines(spark.createDataFrame(rows, "file string, value string").repartition("file").sortWithinPartitions("file", "value"), path)
     assert sorted(os.listdir(local(path))) == ["0.txt", "1.txt", "2.txt", "empty.done"]
     assert sorted(open(f"{local(path)}/1.txt").read().split()) == sorted(str(k) for k in range(30) if k % 3 == 1)
+
+
+def test_texts_are_numbered_where_they_are_read(spark, tmp_path):
+    """Files of several blocks, with empty lines: numbers are places in the file, and texts don't move."""
+    for f in "ab":
+        (tmp_path / f"{f}.jsonl").write_text("".join(f"{f}{k}\n" if k % 7 else "\n" for k in range(4000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        found = an.lines(spark, [f"file://{tmp_path}"])
+        assert "Window [row_number" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert {(r.path[-7], r.line, r.value) for r in found.collect()} == {(f, k, f"{f}{k}") for f in "ab" for k in range(4000) if k % 7}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
