@@ -12,13 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """frame, pos, is_truth, label, track, score, x1..y2 from lineitem; odd line numbers are truths."""
-    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER)) - 1
+def boxes(spark: SparkSession, sf_dir: str, block: int | None = None) -> DataFrame:
+    """frame, pos, is_truth, label, track, score, x1..y2 from lineitem; odd line numbers are truths.
+
+    With block, frames come in blocks of so many, each in one task in the order of frames, and `block` tells the first frame of theirs: what is made of
+    a block or of its frames then needs no further shuffle.
+    """
+    rows, keys = table(spark, sf_dir, "lineitem").withColumn("frame", F.col("l_orderkey")), ["frame"]
+    if block is not None:
+        rows, keys = rows.withColumn("block", F.floor(F.col("frame") / block) * block).repartition("block"), ["block", *keys]
+    pos = F.row_number().over(Window.partitionBy(*keys).orderBy(*ORDER)) - 1
     q = F.col("l_quantity").cast("long")
     x, y = (F.col("l_partkey") % 100).cast("double"), (F.col("l_suppkey") % 100).cast("double")
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("frame"), pos.cast("long").alias("pos"), (F.col("l_linenumber") % 2 == 1).alias("is_truth"), F.concat(F.lit("L"), F.col("l_partkey") % 7).alias("label"),
+    return rows.select(
+        *keys, pos.cast("long").alias("pos"), (F.col("l_linenumber") % 2 == 1).alias("is_truth"), F.concat(F.lit("L"), F.col("l_partkey") % 7).alias("label"),
         (F.col("l_partkey") % 50).alias("track"), F.col("l_discount").alias("score"), x.alias("x1"), y.alias("y1"), (x + q * 3).alias("x2"), (y + q * 7 % 120 + 2).alias("y2"),
     )
 

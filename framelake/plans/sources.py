@@ -9,6 +9,7 @@ import zipfile
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as bx
@@ -23,28 +24,31 @@ from .base import BOXES, boxes, table
 CHUNK, WHOLE = 700, 1000
 
 
-def frames_of(spark, sf_dir):
-    """Frames as JSON rows: a box a shape, some without score, each frame at its order key."""
-    b = boxes(spark, sf_dir)
+def frames_of(spark, sf_dir, block: int | None = None):
+    """Frames as JSON rows: a box a shape, some without score, each frame at its order key; with block as in boxes()."""
+    b = boxes(spark, sf_dir, block)
+    keys = ["frame"] if block is None else ["block", "frame"]
     p = lambda x, y: F.array(F.col(x), F.col(y))
     score = F.when(F.col("pos") % 4 != 3, F.col("score"))
     shape = F.struct("pos", "label", score.alias("score"), F.array(p("x1", "y1"), p("x2", "y1"), p("x2", "y2"), p("x1", "y2")).alias("points"), F.lit("rectangle").alias("shape_type"))
-    rows = b.groupBy("frame").agg(F.sort_array(F.collect_list(shape)).alias("shapes"))  # boxes of one frame
-    return rows.select(F.lit("f").alias("flight"), F.col("frame").alias("sample_index"), (F.col("frame") / 30).alias("dts_s"), (F.col("frame") * 1000).alias("dts_ticks"), ((F.col("frame") + 1) * 1_000_000).alias("utc_us"), F.lit(256).alias("width"), F.lit(224).alias("height"), "shapes")
+    # boxes of one frame, which lie side by side: a window over them takes them as they lie, an aggregate would sort them again
+    shapes = F.sort_array(F.collect_list(shape).over(Window.partitionBy(*keys))).alias("shapes")
+    rows = b.select(*keys, "pos", shapes).where("pos = 0")
+    return rows.select(*keys[:-1], F.lit("f").alias("flight"), F.col("frame").alias("sample_index"), (F.col("frame") / 30).alias("dts_s"), (F.col("frame") * 1000).alias("dts_ticks"), ((F.col("frame") + 1) * 1_000_000).alias("utc_us"), F.lit(256).alias("width"), F.lit(224).alias("height"), "shapes")
 
 
 def chunks_of(spark, sf_dir, size: int = CHUNK, open_last: bool = True) -> str:
     """A folder with chunk files of all frames and their markers, named and written by tasks: a stale line before each frame's own, broken lines, a marker for all but the last chunk (or for all)."""
-    path, rows = shared(spark, "chunks"), frames_of(spark, sf_dir)
+    path, rows = shared(spark, "chunks"), frames_of(spark, sf_dir, size)
     own = F.to_json(F.struct("flight", "sample_index", "dts_s", "dts_ticks", "utc_us", "width", "height", "shapes"))
     stale = F.format_string('{"flight":"f","sample_index":%d,"shapes":[]}', "sample_index")
     chunk = (F.floor(F.col("sample_index") / size) * size).alias("c")
     name = lambda kind: F.concat(F.lit("f_chunk_"), "c", F.lit("_"), F.col("c") + size, F.lit(kind)).alias("file")
-    text = rows.select(chunk, F.concat_ws("\n", stale, own, F.lit('{"flight":"f","sample_i')).alias("value")).select(name(".jsonl"), "value")
+    text = rows.select(F.col("block").alias("c"), F.concat_ws("\n", stale, own, F.lit('{"flight":"f","sample_i')).alias("value")).sortWithinPartitions("c").select(name(".jsonl"), "value")
     ids = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sample_index")).select(chunk)
     last = F.broadcast(ids.agg(F.max("c").alias("last")))  # one row
     done = ids.distinct().join(last, F.col("c") < F.col("last") + (0 if open_last else 1)).select(name(".done"), F.lit(None).cast("string").alias("value"))
-    write_lines(text.unionByName(done).repartition("file").sortWithinPartitions("file"), path)
+    write_lines(text.unionByName(done), path)  # a chunk's frames are made in one task, so texts aren't moved
     return path
 
 

@@ -159,7 +159,11 @@ def _lines(fs: pa.fs.FileSystem, path: str, at: int, to: int) -> Iterator[pa.Arr
 
 
 def _texts(lines: list[bytes]) -> pa.Array:
-    return pa.array([x.decode("utf-8", "replace").rstrip("\r") for x in lines], pa.string())
+    try:
+        texts = pa.array(lines, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:  # not UTF-8 throughout
+        texts = pa.array([x.decode("utf-8", "replace") for x in lines], pa.string())
+    return pc.utf8_rtrim(texts, "\r")
 
 
 class ChunkSource(DataSource):
@@ -198,7 +202,7 @@ class LinesWriter(DataSourceArrowWriter):
             rows += batch.num_rows
             errors += batch.num_rows - columns["error"].null_count if "error" in columns else 0
             names = columns["file"].to_pylist() if "file" in columns else [f"part-{own.rpartition('/')[2]}.jsonl"] * batch.num_rows
-            values = columns["value"].to_pylist()
+            values = columns["value"]
             at = 0
             for k in range(1, len(names) + 1):
                 if k < len(names) and names[k] == names[at]:
@@ -211,7 +215,10 @@ class LinesWriter(DataSourceArrowWriter):
                     fs.create_dir(own)
                     open_ = fs.open_output_stream(staged)
                     files.append((staged, f"{root}/{name}"))
-                open_.write("".join(f"{v}\n" for v in values[at:k] if v is not None).encode())
+                if len(own_lines := values.slice(at, k - at).drop_null()):
+                    # joined as they lie in Arrow's buffers, without an object for each
+                    open_.write(pc.binary_join(pa.ListArray.from_arrays([0, len(own_lines)], own_lines), "\n")[0].as_buffer())
+                    open_.write(b"\n")
                 at = k
         if open_:
             open_.close()
