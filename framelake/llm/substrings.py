@@ -44,6 +44,8 @@ BUCKET_BYTES = 1 << 20
 LARGE = 8 << 20
 #: Bytes of text whose windows are compared before they travel.
 BLOCK = 2 << 20
+#: Bits of the map that says which texts may lose words (8 MB at most; where it fills up, more rows move than need to).
+MARKS = 1 << 26
 #: Bytes from which on a packed string is compressed by itself.
 WORTH = 512
 LOW = -(1 << 63)
@@ -332,9 +334,26 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([block.column("row"), pa.array(count), pa.array(removed), texts], ["row", "n_words", "n_removed", "kept"])
 
 
+def apart(rows: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose texts may be in gone (both have own, the text's hash), and those that aren't: told by bitmaps, MARKS bits in all, so only the first need to move."""
+    bit = F.pmod(F.col("own"), F.lit(MARKS))
+    part, at = F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)
+    maps = gone.groupBy(part.alias("part")).agg(F.bitmap_construct_agg(at).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    told = rows.withColumn("part", part).join(F.broadcast(maps), "part", "left").withColumn("moves", F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False)))
+    return tuple(told.where(x).drop("part", "bits", "moves") for x in (F.col("moves"), ~F.col("moves")))
+
+
 def dedup(df: DataFrame, size: int = 20, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """For each row: row (a struct of key, or of the columns to carry), n_words, n_removed, kept (the words that stay, joined by one space)."""
+    """For each row: row (a struct of key, or of the columns to carry), n_words, n_removed, kept (the words that stay, joined by one space).
+
+    Rows move to the spans of their texts, those without any stay: a bitmap says which may have some. A text moves once, also where it is carried.
+    """
     gone = removals(df, size, key, text)
-    out = df.select(F.struct(*[F.col(f"`{c}`") for c in carry or [key]]).alias("row"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LOW)).alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("own"), F.col(f"`{text}`").alias("text"))
+    carry = carry or [key]
+    own = F.xxhash64(F.col(f"`{text}`"))
+    out = df.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LOW)).alias("key"), own.alias("own"), *([] if text in carry else [F.col(f"`{text}`").alias("text")]))
     schema = T.StructType([out.schema["row"], *T.StructType.fromDDL("n_words long, n_removed long, kept string")])
-    return out.join(gone, ["key", "own"], "left").select("row", "text", "spans").mapInArrow(_kept, schema)
+    some, rest = apart(out, gone)
+    rows = some.join(gone, ["key", "own"], "left").unionByName(rest.withColumn("spans", F.lit(None).cast(gone.schema["spans"].dataType)))
+    return rows.select("row", (F.col(f"row.`{text}`") if text in carry else F.col("text")).alias("text"), "spans").mapInArrow(_kept, schema)
