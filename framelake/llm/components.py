@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .scratch import drop_path, new_path
@@ -12,14 +12,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, label (the smallest node that it reaches), for all nodes of edges: alternating large and small stars, each round written.
 
     A round hooks each node's neighbours to the smallest of them; sums are made map-side, and joins may be split where a
-    node has very many neighbours. The number of rounds grows with the logarithm of the longest path.
+    node has very many neighbours. The number of rounds grows with the logarithm of the longest path. Whether a round has
+    changed anything is seen while its pairs are written, so a round is one query. Edges need not be written.
     """
     spark, kind = edges.sparkSession, edges.schema[a].dataType.simpleString()
 
-    def written(df: DataFrame) -> tuple[DataFrame, str]:
-        path = new_path(spark, "stars")
-        df.write.parquet(path)
-        return spark.read.schema(f"u {kind}, v {kind}").parquet(path), path
+    def written(df: DataFrame) -> tuple[DataFrame, str, tuple]:
+        path, seen = new_path(spark, "stars"), Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")).write.parquet(path)
+        return spark.read.schema(f"u {kind}, v {kind}").parquet(path), path, (seen.get["n"], seen.get["sum"])
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         """pairs: u > v."""
@@ -32,15 +33,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         return out.where("u > v").distinct()
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    pairs, path = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
-    last = state(pairs)
-    while True:
-        new, new_at = written(star(star(pairs, True), False))
+    pairs, path, last = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
+    while last[0]:
+        new, new_at, now = written(star(star(pairs, True), False))
         drop_path(spark, path)
-        pairs, path, now = new, new_at, state(new)
+        pairs, path = new, new_at
         if now == last:
             break
         last = now

@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .components import components
-from .scratch import folder, looked_up, materialise
+from .scratch import counted, folder, looked_up, materialise, measured
 
 #: Members, and queries, of a cell at most, or about.
 CELL = 1024
@@ -218,8 +218,8 @@ def common_tokens(df: DataFrame, n: int, text: str) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(times)], ["token", "n"])
 
     sums = df.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    sums = materialise(sums.where("token = 0 or n >= 16"), "common")
-    total = next((r.n for r in sums.where("token = 0").collect()), 0)
+    sums, seen = measured(sums.where("token = 0 or n >= 16"), "common", total=F.sum(F.when(F.col("token") == 0, F.col("n"))))
+    total = seen["total"] or 0
     found = sums.where((F.col("token") != 0) & (F.col("n") >= COMMON * total)).collect()
     return np.sort(np.array([r.token for r in found], np.int64).view(np.uint64))
 
@@ -347,20 +347,20 @@ def labels_of(df: DataFrame, nodes: DataFrame, n: int, num: int, den: int, key:
     named = sets.select("short", F.explode("parts").alias("part")).withColumns({"b": F.min("short").over(w), "z": F.max("short").over(w), "n": F.count(F.lit(1)).over(w)})
     shared = materialise(named.where("b <> z").select("part", "short", "b", "n"), "shared-names")  # a small share: most names are one node's
     met = shared.select(F.col("short").alias("a"), "b").where("a > b").distinct()
-    family = components(materialise(met, "met")).select(F.col("node").alias("short"), F.col("label").alias("g"))
+    family = components(met).select(F.col("node").alias("short"), F.col("label").alias("g"))
     first = sets.groupBy("node", "short").agg(F.min_by(F.struct("key", "own"), F.struct(F.col("key").isNull(), "key", "own")).alias("row"))
-    first = materialise(first.join(family, "short").select("node", "short", "g", "row.key", F.col("row.own").alias("text_hash")), "first-rows")
+    first, nodes_left = counted(first.join(family, "short").select("node", "short", "g", "row.key", F.col("row.own").alias("text_hash")), "first-rows")
     texts = df.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text"))
     # the one time that all texts move. By a merge at every size: where nodes are few enough to be sent to all tasks, texts would not move, and figures not compare
     family = first.hint("merge").join(texts, first["key"].eqNullSafe(texts["key"]) & (first["text_hash"] == texts["text_hash"]))
-    family = materialise(family.select("node", "short", "g", "text"), "families")
-    if family.count() > first.count():  # rows that repeat key and text: of a node's texts one goes on (two, should two texts of a key have one hash)
+    family, texts_left = counted(family.select("node", "short", "g", "text"), "families")
+    if texts_left > nodes_left:  # rows that repeat key and text: of a node's texts one goes on (two, should two texts of a key have one hash)
         family = materialise(family.distinct(), "families")  # map-side first, so copies of a row aren't sent
-    large = materialise(family.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL).select("g"), "large-families")
+    large, larges = counted(family.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL).select("g"), "large-families")
     yes = F.lit(True)
     # a family of one cell's size is a cell; of a larger one each node goes where that of its names says which most nodes have
     small = family.join(large, "g", "left_anti").select("node", "text", "g", F.lit(0).cast("long").alias("m"), F.lit(0).alias("i"), F.lit(0).alias("j"), yes.alias("member"), yes.alias("query"))
-    if not large.limit(1).count():
+    if not larges:
         return _labels(materialise(compared(small, n, num, den), "stars"))
     most = shared.groupBy("short").agg(F.max(F.struct("n", "part"))["part"].alias("name"))
     crowd = materialise(family.join(large, "g", "left_semi").select("node", "short", "g").distinct().join(most, "short"), "crowds")
@@ -392,13 +392,13 @@ def labels_of(df: DataFrame, nodes: DataFrame, n: int, num: int, den: int, key:
     pairs = joined(look(fill(some.select("node", "g", F.lit(1).cast("long").alias("m"), F.lit(0).alias("i"), F.lit(0).alias("j"), yes.alias("member"), yes.alias("query")))))
     seen = materialise(now(pairs), "crowd-labels")
     # families that are one class by now are done with; in others, what isn't of the largest class is compared with all
-    tops = _open(seen)
-    wide = materialise(tops.where(F.col("n") > WIDE * CELL).select("g"), "wide-families")
-    if wide.limit(1).count():
+    tops, open_ = _open(seen)
+    wide, wides = counted(tops.where(F.col("n") > WIDE * CELL).select("g"), "wide-families")
+    if wides:
         apart = seen.join(rarely_met(family.select("node", "text").join(seen.join(wide, "g", "left_semi").select("node", "g"), "node"), n, num, den), "node").select("node", F.col("sub").alias("g"), "label")
         seen = materialise(seen.join(wide, "g", "left_anti").unionByName(apart.select(*seen.columns)), "crowd-labels")
-        tops = _open(seen)
-    if not tops.limit(1).count():
+        tops, open_ = _open(seen)
+    if not open_:
         return _labels(known, components(pairs))
     live = materialise(seen.join(tops, "g").select("node", "g", (F.col("label") != F.col("top")).alias("asks")), "live")
     need = live.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("n"), F.greatest(F.lit(1), F.ceil(F.count_if("asks") / CELL)).cast("int").alias("q"))
@@ -408,13 +408,13 @@ def labels_of(df: DataFrame, nodes: DataFrame, n: int, num: int, den: int, key:
     members = dealt.withColumn("j", every("q")).select("node", "g", F.col("own").alias("i"), "j", yes.alias("member"), (F.col("asks") & (F.col("j") == F.col("turn"))).alias("query"))
     asking = dealt.where("asks").withColumn("i", every("n")).where(F.col("i") != F.col("own")).select("node", "g", "i", F.col("turn").alias("j"), F.lit(False).alias("member"), yes.alias("query"))
     last = members.unionByName(asking).withColumn("m", F.lit(2).cast("long"))
-    return _labels(known, components(materialise(pairs.unionByName(joined(look(fill(last)))), "label-pairs")))
+    return _labels(known, components(pairs.unionByName(joined(look(fill(last))))))
 
 
-def _open(seen: DataFrame) -> DataFrame:
-    """g, n (nodes), top (the largest class) of families that hold several classes, written."""
+def _open(seen: DataFrame) -> tuple[DataFrame, int]:
+    """g, n (nodes), top (the largest class) of families that hold several classes, written, and how many there are."""
     sizes = seen.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"))
-    return materialise(sizes.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "label"))["label"].alias("top")).where("k > 1").drop("k"), "open-families")
+    return counted(sizes.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "label"))["label"].alias("top")).where("k > 1").drop("k"), "open-families")
 
 
 def rarely_met(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -437,7 +437,7 @@ def rarely_met(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     shared = own.select("node", "g", F.explode(F.slice("met", 1, first)).alias("m")).select("node", "g", F.col("m.token").alias("token"))
     shared = materialise(shared, "rare-tokens")
     heads = shared.groupBy("g", "token").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    edges = materialise(shared.join(heads, ["g", "token"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "rarely-met")
+    edges = shared.join(heads, ["g", "token"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     return components(edges).select("node", F.xxhash64("label").alias("sub"))  # a clash puts two together
 
 
@@ -448,8 +448,8 @@ def _labels(stars: DataFrame, ends: DataFrame | None = None) -> DataFrame:
         return materialise(own, "labels")
     ends = materialise(ends.select(F.col("node").alias("label"), F.col("label").alias("end")), "ends")
     alone = ends.join(stars.select(F.col("b").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), "label")
-    own = materialise(own.unionByName(alone), "centres")
-    return materialise(looked_up(own, ends, "label").select("node", F.coalesce("end", "label").alias("label")), "labels")
+    own, n = counted(own.unionByName(alone), "centres")
+    return materialise(looked_up(own, ends, "label", n).select("node", F.coalesce("end", "label").alias("label")), "labels")
 
 
 def _top(df: DataFrame, keys: list[str], order: list[Column], most: Column) -> DataFrame:
@@ -462,15 +462,16 @@ def _top(df: DataFrame, keys: list[str], order: list[Column], most: Column) -> D
 def classes(df: DataFrame, n: int, num: int, den: int, key: str, text: str) -> DataFrame:
     """For each row, written: key, own (the text's hash), size, least (the smallest key of its component), stay (the component's first row), where stay is null if the row is alone."""
     with folder(df.sparkSession, "jaccard"):
-        nodes = materialise(nodes_of(df, n, num, den, key, text), "nodes")
+        nodes, rows = counted(nodes_of(df, n, num, den, key, text), "nodes")
         labels = labels_of(df, nodes, n, num, den, key, text)
         row = F.struct(F.col("key").isNull().alias("none"), "key", "own")
         own = nodes.where("node is not null").groupBy("node").agg(F.min("key").alias("least"), F.min(row).alias("stay"), F.count(F.lit(1)).alias("rows"))
         own = materialise(own.join(labels, "node", "left").where("rows > 1 or label is not null").drop("rows"), "nodes-of-several")
         whole = materialise(own.where("label is not null").groupBy("label").agg(F.min("least").alias("least"), F.min("stay").alias("stay")), "components")
-        far = looked_up(materialise(own.where("label is not null").select("node", "label"), "linked"), whole, "label").select("node", "least", "stay")
+        few, n_few = counted(own.where("label is not null").select("node", "label"), "linked")
+        far = looked_up(few, whole, "label", n_few).select("node", "least", "stay")
         known = materialise(own.where("label is null").select("node", "least", "stay").unionByName(far), "components-of-nodes")
-        return materialise(looked_up(nodes.select("key", "own", "node", "size"), known, "node").drop("node"), "classes", keep=True)
+        return materialise(looked_up(nodes.select("key", "own", "node", "size"), known, "node", rows).drop("node"), "classes", keep=True)
 
 
 def join(df: DataFrame, n: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -485,8 +486,8 @@ def survivors(df: DataFrame, n: int = 5, num: int = 8, den: int = 10, key: str =
     gone = found.where("not first").select("__key", "__own").distinct()
     same = df[key].eqNullSafe(gone["__key"]) & (F.xxhash64(df[text]) == gone["__own"])
     left = df.join(gone, same, "left_anti")
-    twice = materialise(found.where("first").groupBy("__key", "__own").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
-    if not twice.limit(1).count():
+    twice, twices = counted(found.where("first").groupBy("__key", "__own").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
+    if not twices:
         return left
     same = left[key].eqNullSafe(twice["__key"]) & (F.xxhash64(left[text]) == twice["__own"])
     return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates([key, text]))

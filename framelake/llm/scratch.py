@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import shared_root
@@ -56,12 +56,25 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """rows (a written table) with the columns of table (written; one row a key), or nulls. Keys with more rows than a task's fair share are
+def measured(df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict[str, object]]:
+    """As materialise, with aggregates of df that are taken while it is written: no query of their own, whose plan the driver would keep."""
+    seen = Observation()
+    out = materialise(df.observe(seen, *[c.alias(k) for k, c in sums.items()]), name)
+    return out, seen.get
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """As materialise, with df's number of rows."""
+    out, seen = measured(df, name, n=F.count(F.lit(1)))
+    return out, seen["n"]
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, n: int | None = None) -> DataFrame:
+    """rows (a written table; n: how many, if known) with the columns of table (written; one row a key), or nulls. Keys with more rows than a task's fair share are
     no more than there are tasks: they get theirs by broadcast, and their rows don't move, nor do those without a key."""
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n__"))
-    hot = [r[0] for r in counts.where(F.col("n__") > max(1000, rows.count() // tasks)).collect()]  # tasks of them at most
+    hot = [r[0] for r in counts.where(F.col("n__") > max(1000, (rows.count() if n is None else n) // tasks)).collect()]  # tasks of them at most
     if not hot:
         return rows.join(table, key, "left")
     hot = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in hot], rows.select(key).schema))
