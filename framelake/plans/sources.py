@@ -149,13 +149,12 @@ def s11(spark, sf_dir):
 
 def _coco(spark, sf_dir, category, size: int = CHUNK):
     """All images, `size` of them a COCO document (a file each, written by executors), read back."""
-    b = boxes(spark, sf_dir, size).withColumn("category_id", F.substring("label", 2, 9).cast("long"))
-    image = F.struct(F.col("frame").alias("id"), F.concat(F.col("frame").cast("string"), F.lit(".jpg")).alias("file_name"), F.lit(256).alias("width"), F.lit(224).alias("height"))
-    mark = F.struct((F.col("frame") * 100 + F.col("pos")).alias("id"), F.col("frame").alias("image_id"), "category_id", F.array("x1", "y1", bx.width(), bx.height()).alias("bbox"))
-    # a document's boxes lie in one task, so they aren't moved again
-    doc = b.groupBy("block").agg(F.collect_set(image).alias("images"), F.collect_list(mark).alias("annotations"), F.collect_set(F.struct(F.col("category_id").alias("id"), F.col("label").alias("name"))).alias("categories"))
+    # a document's boxes lie in one task, frame by frame, so they are neither moved nor gathered again
+    first = F.when(F.col("pos") == 0, F.concat(F.col("frame").cast("string"), F.lit(".jpg")))
+    size_of = (F.lit(256).alias("width"), F.lit(224).alias("height"))
+    mark = ((F.col("frame") * 100 + F.col("pos")).alias("annotation_id"), F.substring("label", 2, 9).cast("long").alias("category_id"), "label", "x1", "y1", bx.width().alias("w"), bx.height().alias("h"))
     path = shared(spark, "coco")
-    write_lines(doc.select(F.format_string("%d.json", "block").alias("file"), F.to_json(F.struct("images", "annotations", "categories")).alias("value")), path)
+    write_lines(boxes(spark, sf_dir, size).select(F.col("block").alias("document"), F.col("frame").alias("image_id"), first.alias("file_name"), *size_of, *mark), path)
     return an.coco(spark, path, category)
 
 

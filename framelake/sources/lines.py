@@ -8,7 +8,8 @@ Folders are listed by Arrow's file systems, in one call.
 
 `framelake_lines` writes lines to files that tasks fill in a staging folder. Each task reports its files and how many of its
 rows had an error; the commit adds these up, and either moves all files into place or, over the budget, removes them and
-fails. So the input is evaluated once, and nothing shows before the number of errors is known.
+fails. So the input is evaluated once, and nothing shows before the number of errors is known. Rows of annotations become
+COCO documents as they are written: their texts are made in the task that writes them, and no list of a document's is.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -194,6 +196,12 @@ class LinesWriter(DataSourceArrowWriter):
         self.staging = f".staging-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        first = next(iterator := iter(iterator), None)
+        if first is None:
+            return Written([], 0, 0)
+        iterator = chain([first], iterator)
+        if "annotation_id" in first.schema.names:
+            iterator = coco_documents(iterator)
         fs, root = store(self.path)
         own = f"{root}/{self.staging}/{uuid.uuid4().hex}"  # each attempt has its own folder
         files, rows, errors, open_, name = [], 0, 0, None, None
@@ -243,6 +251,53 @@ class LinesWriter(DataSourceArrowWriter):
             fs.delete_dir(f"{root}/{self.staging}")
 
 
+def coco_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """file, value: COCO documents, each some lines that follow one another. Rows: document (rows of one lie together), image_id, file_name (null but in one row
+    of an image), width, height, annotation_id, category_id, label, x1, y1, w, h."""
+    now, images, marks, kinds = None, [], [], {}
+
+    def done() -> pa.RecordBatch:
+        named = [{"id": i, "name": n} for i, n in kinds]
+        values = ['{"images":[', *_joined(images), '],"annotations":[', *_joined(marks), f'],"categories":{json.dumps(named)}}}']
+        return pa.RecordBatch.from_arrays([pa.array([f"{'null' if now[0] is None else now[0]}.json"] * len(values)), pa.array(values)], ["file", "value"])
+
+    for batch in batches:
+        c = {k: batch.column(k) for k in batch.schema.names}
+        mark = _text('{"id":', c["annotation_id"], ',"image_id":', c["image_id"], ',"category_id":', c["category_id"], ',"bbox":[', c["x1"], ",", c["y1"], ",", c["w"], ",", c["h"], "]}")
+        own = pc.is_valid(c["file_name"])
+        names = c["file_name"].filter(own)
+        quoted = pa.array([json.dumps(n) for n in names.to_pylist()], pa.string()) if pc.any(pc.match_substring_regex(names, r'[\\"\x00-\x1f]')).as_py() else _text('"', names, '"')
+        image = _text('{"id":', c["image_id"].filter(own), ',"file_name":', quoted, ',"width":', c["width"].filter(own), ',"height":', c["height"].filter(own), "}")
+        before = pc.cumulative_sum(own.cast(pa.int32())).to_numpy()  # images up to each row
+        runs = pc.run_end_encode(c["document"])
+        at = 0
+        for document, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+            if now != (document,):
+                if now:
+                    yield done()
+                now, images, marks, kinds = (document,), [], [], {}
+            i = int(before[at - 1]) if at else 0
+            images.append(image.slice(i, int(before[end - 1]) - i))
+            marks.append(mark.slice(at, end - at))
+            pairs = pa.table({k: c[k].slice(at, end - at) for k in ("category_id", "label")}).group_by(["category_id", "label"], use_threads=False).aggregate([])
+            kinds |= dict.fromkeys(zip(*(x.to_pylist() for x in pairs.columns), strict=True))
+            at = end
+    if now:
+        yield done()
+
+
+def _text(*parts: str | pa.Array) -> pa.Array:
+    """Parts side by side as text, nulls as JSON's null."""
+    texts = [x if isinstance(x, str) else x.cast(pa.string()) for x in parts]
+    return pc.binary_join_element_wise(*texts, "", null_handling="replace", null_replacement="null")
+
+
+def _joined(pieces: list[pa.Array]) -> list[str]:
+    """All texts of some arrays, with commas between them."""
+    whole = pa.concat_arrays(pieces)
+    return [pc.binary_join(pa.ListArray.from_arrays([0, len(whole)], whole), ",")[0].as_py()] if len(whole) else []
+
+
 class LinesSink(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -274,7 +329,8 @@ def chunks(spark: SparkSession, path: str, flight: str | None = None, start: int
 
 
 def write_lines(df: DataFrame, path: str, most_errors: int | None = None) -> None:
-    """Appends df's lines (value, and file and error if it has them) under a folder; over most_errors rows with an error, nothing."""
+    """Appends df's lines (value, and file and error if it has them) under a folder; over most_errors rows with an error, nothing. Annotations
+    (annotation_id and the other columns that coco_documents names) become COCO documents, a file each."""
     registered(df.sparkSession)
     writer = df.write.format(LinesSink.name()).mode("append")
     (writer if most_errors is None else writer.option("mostErrors", most_errors)).save(path)
