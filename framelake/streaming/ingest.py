@@ -24,6 +24,9 @@ PLACE = ["written", "file", "block", "at"]
 #: Bytes of lines that a task holds to make packs of them, and of a pack.
 HELD, PACK = 16 << 20, 1 << 20
 
+#: Bytes that go to Python at once: packs are large rows, and each task's Python keeps the memory of the largest batch.
+ARROW_BYTES = 4 << 20
+
 #: Bytes of incoming files, as they lie there, for which the state gets a partition.
 STATE_BYTES = 128 << 20
 
@@ -196,12 +199,13 @@ def write(frames: DataFrame, path: str, checkpoint: str, partitions: int | None
     partitions: of the state, where a shuffle's number isn't wanted. Each of them is opened and written in every batch, whatever it holds. A checkpoint keeps its first number.
     """
     stream = frames.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True)
-    conf, name = frames.sparkSession.conf, "spark.sql.shuffle.partitions"
-    if partitions is None:
-        return stream.start()
-    own = conf.get(name)
-    conf.set(name, str(partitions))
+    conf = frames.sparkSession.conf
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES)} | ({} if partitions is None else {"spark.sql.shuffle.partitions": str(partitions)})
+    own = {name: conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        conf.set(name, value)
     try:
         return stream.start()  # the stream has taken a copy of the settings when this returns
     finally:
-        conf.set(name, own)
+        for name, value in own.items():
+            conf.set(name, value)

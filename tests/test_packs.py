@@ -70,3 +70,22 @@ def test_state_has_few_partitions(spark, monkeypatch):
         assert {json.loads(p.json)["stateOperators"][0]["numShufflePartitions"] for p in query.recentProgress} == {n}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_little_goes_to_python_at_once(spark, monkeypatch):
+    """Packs are large rows: batches are cut by bytes, and the session's own number of these stays."""
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(name)
+
+    class Stream:
+        def __getattr__(self, _):
+            return lambda *a, **k: self
+
+        def start(self):
+            seen.append(int(spark.conf.get(name)))
+
+    class Frames:
+        sparkSession, writeStream = spark, Stream()  # noqa: N815
+
+    ingest.write(Frames(), "out", "check")
+    assert seen == [ingest.ARROW_BYTES] and seen[0] <= 8 << 20 and spark.conf.get(name) == before
