@@ -301,7 +301,7 @@ def i1(spark, sf_dir):
 def i3(spark, sf_dir):
     """Frames through the file source in two batches, the second of which corrects a third of the first; the second is read after a restart."""
     path, out, check = (shared(spark, x) for x in ("incoming", "ingested", "progress"))
-    f = frames_of(spark, sf_dir, 4 * ingest.SPAN).drop("block")  # as recorded: neighbouring frames lie together
+    f = frames_of(spark, sf_dir, ingest.SPAN).drop("block")  # as recorded: neighbouring frames lie together
     late = F.col("sample_index") % 3 == 0
     stale = f.withColumn("shapes", F.when(late, F.filter("shapes", lambda s: F.lit(False))).otherwise(F.col("shapes")))
     for part in (stale, f.where(late)):

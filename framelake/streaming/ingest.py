@@ -18,7 +18,7 @@ from ..sources.annotations import FRAME
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 #: Frames whose state is one value; what orders the lines of a frame.
-SPAN = 256
+SPAN = 1024
 PLACE = ["written", "file", "block", "at"]
 
 #: Bytes of lines that a task holds to make packs of them, and of a pack.
